@@ -26,5 +26,44 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder, manifest)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op8_token_binary)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.mtree import every, top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), every(100), k=10)
+
+
+def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.hnsw import nearest
+    from fathom.llm.mtree import every
+
+    return nearest(table(spark, sf_dir, "embeddings"), every(100), k=10)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_topk": """
+        WITH ok AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+            FROM ok q JOIN ok c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id
+            WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10""",
+}
