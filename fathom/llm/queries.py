@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import linededup
+from fathom.llm import jaccard, linededup
 from fathom.llm.common import table
 
 
@@ -45,6 +45,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathom.llm.hnsw import nearest
     from fathom.llm.mtree import every
@@ -64,9 +70,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op4_toxicity, op5_line_dedup, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE_SQL,
+    "op6_ngram_jaccard": jaccard.ORACLE_SQL,
     "op3_exact_topk": """
         WITH ok AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
