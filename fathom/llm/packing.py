@@ -40,15 +40,18 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, order_by: lis
 
     def tokenize(parts):
         tok, pid, at = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], tok.dtype).tobytes()
         for part in parts:
             ids_of, texts = part.column(0), part.column(1).to_pylist()
             for a, b in batches(texts):
-                blobs = [x.tobytes() + end for x in tok.encode(texts[a:b])]
-                n = np.array([len(x) for x in blobs], np.int64) // tok.dtype.itemsize
-                starts = at + np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
-                at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, pid, np.int32)), pa.array(starts), ids_of[a:b], pa.array(n), pa.array(blobs, pa.binary())], names=["pid", "local_start", "doc_id", "n", "ids"])
+                ids, n = tok.encode(texts[a:b])
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
+                ends = np.cumsum(n)
+                starts = at + ends - n
+                at += len(ids)
+                cuts = np.concatenate(([0], ends)) * tok.dtype.itemsize
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, pid, np.int32)), pa.array(starts), ids_of[a:b], pa.array(n), blobs], names=["pid", "local_start", "doc_id", "n", "ids"])
 
     return materialise(df.mapInArrow(tokenize, TOKENS), "packing")
 

@@ -88,19 +88,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         fs, root = open_fs(folder)
         fs.create_dir(root, recursive=True)
-        end, at, n_docs = np.array([end_id], tok.dtype), 0, 0
+        at, n_docs = 0, 0
         index = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         with fs.open_output_stream(f"{root}/{name}.ids.arrow") as a, fs.open_output_stream(f"{root}/{name}.docs.arrow") as b:
             out, docs_out = ShardWriter(a, tok.dtype, seq_len, rows), pa.ipc.new_stream(b, index)
             while part is not None:
                 texts = part.column(1).to_pylist()
                 for lo, hi in batches(texts):
-                    n = []
-                    for ids in tok.encode(texts[lo:hi]):
-                        out.add(ids)
-                        out.add(end)
-                        n.append(len(ids) + 1)
-                    n = np.array(n, np.int64)
+                    ids, n = tok.encode(texts[lo:hi])
+                    out.add(np.insert(ids, np.cumsum(n), end_id))
+                    n = n + 1
                     docs_out.write_batch(pa.RecordBatch.from_arrays([part.column(0)[lo:hi], pa.array(at + np.cumsum(n) - n), pa.array(n)], schema=index))
                     at, n_docs = at + int(n.sum()), n_docs + hi - lo
                 part = next(parts, None)

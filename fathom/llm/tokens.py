@@ -18,14 +18,19 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_IRREGULAR = re.compile(r"\s ")
+# White space before a space: such a text is cut at whole runs.
+_BAD_ASCII = tuple(c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f") + tuple("\x1c\x1d\x1e\x1f")
+_BAD = _BAD_ASCII + tuple(chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _CONTROL = re.compile("[\x1c-\x1f]")
+_TAILS = frozenset(".,;:!?")
 _RUNS = re.compile(r"\s*\S+|\s+")
 
 
 class PieceTokenizer:
-    """``encode(texts)`` gives one little-endian id array (uint16 where the vocabulary fits, else uint32) per text."""
+    """Little-endian ids of texts: uint16 where the vocabulary fits, else uint32."""
 
     def __init__(self, path: str, memo_size: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,9 +45,22 @@ class PieceTokenizer:
         self.mode = self._mode(spec)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the memo before the last renewal: what is used again comes back from it
         self.memo_size = memo_size
+        self.marks = self._marks(spec, "\u0120")
+        self.breaks = self._marks(spec, "\u010a")
         self.lower = self.mode == "drop" and "Lowercase" in json.dumps(spec.get("normalizer"))
 
+    def _marks(self, spec: dict, start: str) -> np.ndarray | None:
+        """For each id, whether its string ends (``drop``) or starts with ``start`` (``lead``)."""
+        suffix = spec["model"].get("end_of_word_suffix")
+        if self.mode == "whole" or self.mode == "drop" and not suffix:
+            return None
+        out = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        for token, i in self.tok.get_vocab().items():
+            out[i] = token.endswith(suffix) if self.mode == "drop" else token[0] == start
+        return out
+
     @staticmethod
     def _mode(spec: dict) -> str:
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
@@ -59,57 +77,91 @@ class PieceTokenizer:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _ids_of_words(self, words: list[str], by: str = " ") -> list[bytes]:
+        """Ids of letter runs, many to a call. Each is one pre-token (after a line break two), so the marks of word
+        ends (or starts) in the token strings part the joined ids again; where their number is not as expected,
+        words go one by one."""
+        out: list[bytes] = []
+        joined = [words[k : k + 128] for k in range(0, len(words), 128)]
+        lead = by if self.mode == "lead" else ""
+        marks = self.marks if by == " " else self.breaks
+        encoded = self.tok.encode_batch_fast([lead + by.join(part) for part in joined], add_special_tokens=False)
+        for part, e in zip(joined, encoded):
+            ids = np.array(e.ids, self.dtype)
+            at = np.flatnonzero(marks[ids])
+            if len(at) != len(part) or len(at) and at[0 if lead else -1] != (0 if lead else len(ids) - 1):
+                out += self._ids([lead + w for w in part])
+                continue
+            blob, width = ids.tobytes(), self.dtype.itemsize
+            cuts = (np.append(at, len(ids)) if lead else np.insert(at + 1, 0, 0)) * width
+            cuts = cuts.tolist()
+            out += [blob[i:j] for i, j in zip(cuts, cuts[1:])]
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
-        """Add ids of unseen pieces. A letter run and the '.' or ',' after it are always two pre-tokens, so
-        ``word,`` is put together from ``word`` and ``,``; lower-cased forms stand for ASCII words."""
-        memo, plan, cores = self.memo, [], {}
-        lower = self.lower
+        """Add ids of unseen pieces. A letter run and one mark after it are always two pre-tokens, so ``word,`` is
+        put together from ``word`` and ``,``; lower-cased forms stand for words in ASCII."""
+        memo, plan, cores, lines = self.memo, [], {}, []
+        lower, old = self.lower, self.old
         for p in pieces:
-            core, tail = (p[:-1], p[-1]) if p[-1:] in (".", ",") and p[-2:-1].isalpha() and p.isascii() else (p, "")
+            if p in old:
+                memo[p] = old[p]
+                continue
+            if not lower and "\n" in p:
+                a, _, b = p.partition("\n")
+                if a and b and not a[-1].isspace() and not b[0].isspace():
+                    lines.append((p, a, b))
+                    continue
+            core, tail = (p[:-1], p[-1]) if p[-1:] in _TAILS and p[-2:-1].isalpha() and p[-2] < "\u0500" else (p, "")
             if lower and core.isascii():
                 core = core.lower()
             plan.append((p, core, tail))
             if core not in memo:
-                cores[core] = None
+                if core in old:
+                    memo[core] = old[core]
+                else:
+                    cores[core] = None
             if tail and "\0" + tail not in memo:
                 memo["\0" + tail] = self._ids([tail])[0]
-        todo = list(cores)
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            memo.update(zip(part, self._ids([" " + p for p in part] if self.mode == "lead" else part)))
+        words = [c for c in cores if c.isalpha()] if self.marks is not None else []
+        memo.update(zip(words, self._ids_of_words(words)))
+        rest = [c for c in cores if c not in memo]
+        memo.update(zip(rest, self._ids([" " + c for c in rest] if self.mode == "lead" else rest)))
         for p, core, tail in plan:
             memo[p] = memo[core] + memo["\0" + tail] if tail else memo[core]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.mode == "whole":
-            return [np.frombuffer(b, self.dtype) for b in self._ids(texts)]
-        out: list = [None] * len(texts)
-        split, first, odd = [], [], []
-        lead = self.mode == "lead"
-        for i, t in enumerate(texts):
-            if "\0" in t or lead and _CONTROL.search(t):
-                odd.append(i)
-                continue
-            if not lead:
-                split.append((i, t.split(" ")))
-            elif _IRREGULAR.search(t):
-                runs = _RUNS.findall(t)
-                split.append((i, ["" if r == " " else r[1:] if r[0] == " " else "\0" + r for r in runs]))
-            else:
-                parts = t.split(" ")
-                if parts[0]:
-                    parts[0] = "\0\0" + parts[0]
-                else:
-                    parts = parts[1:]
-                split.append((i, parts))
-        for i, b in zip(odd, self._ids([texts[i] for i in odd]) if odd else []):
-            out[i] = np.frombuffer(b, self.dtype)
+        if lines:  # a line break between two words is a pre-token of its own
+            left = self._blobs([a for _, a, _ in lines])
+            right = self._blobs_bare([b for _, _, b in lines])
+            for (p, _, _), x, y in zip(lines, left, right):
+                memo[p] = x + y
+
+    def _blobs_bare(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a line break and the text after it, which has no leading space."""
+        memo, cut = self.memo, []
+        for p in pieces:
+            core, tail = (p[:-1], p[-1]) if p[-1:] in _TAILS and p[-2:-1].isalpha() and p[-2] < "\u0500" else (p, "")
+            cut.append(("\n" + core, "\0" + tail))
+        new = {c for c, _ in cut if c not in memo}
+        words = [c for c in new if c[1:].isalpha()]
+        memo.update(zip(words, self._ids_of_words([w[1:] for w in words], "\n")))
+        rest = [c for c in new if c not in memo]
+        memo.update(zip(rest, self._ids(rest)))
+        tails = {t for _, t in cut if t not in memo}
+        memo.update((t, self._ids([t[1:]])[0] if t != "\0" else b"") for t in tails)
+        return [memo[c] + memo[t] for c, t in cut]
+
+    def _pieces_alone(self, text: str) -> np.ndarray:
+        """Ids of a text whose white space needs care (``lead``): cut at whole runs, or not at all."""
+        if "\0" in text or _CONTROL.search(text):
+            return np.frombuffer(self._ids([text])[0], self.dtype)
+        runs = ["" if r == " " else r[1:] if r[0] == " " else "\0" + r for r in _RUNS.findall(text)]
+        return np.frombuffer(b"".join(self._blobs(runs)), self.dtype)
+
+    def _blobs(self, pieces: list[str]) -> list[bytes]:
+        if len(self.memo) > self.memo_size:
+            self.old, self.memo = self.memo, {}
         memo = self.memo
-        if len(memo) > self.memo_size:
-            memo.clear()
-        need = set()
-        for _, parts in split:
-            need.update(parts)
+        need = set(pieces)
         need.difference_update(memo)
         bare = [p for p in need if p[:1] == "\0"]  # pieces without a leading space
         need.difference_update(bare)
@@ -117,10 +169,49 @@ class PieceTokenizer:
             memo.update(zip(bare, self._ids([p.lstrip("\0") for p in bare])))
         if need:
             self._learn(need)
-        get = memo.__getitem__
-        for i, parts in split:
-            out[i] = np.frombuffer(b"".join(map(get, parts)), self.dtype)
-        return out
+        return list(map(memo.__getitem__, pieces))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, one text after the other, and each text's number of ids."""
+        if self.mode == "whole":
+            blobs = self._ids(texts)
+            return np.frombuffer(b"".join(blobs), self.dtype), np.array([len(b) for b in blobs], np.int64) // self.dtype.itemsize
+        lead = self.mode == "lead"
+        alone: dict[int, np.ndarray] = {}
+        plain = []
+        for i, t in enumerate(texts):
+            if "\0" in t or lead and any(x in t for x in (_BAD_ASCII if t.isascii() else _BAD)):
+                alone[i] = self._pieces_alone(t)
+                plain.append("\0\0" if lead else "")
+            elif not lead:
+                plain.append(t.replace("\n", " ") if "\n" in t else t)
+            else:
+                plain.append(t[1:] if t[:1] == " " else "\0\0" + t)
+        lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        blobs = self._blobs(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
+        known = np.frombuffer(b"".join(blobs), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = known[np.repeat(starts[codes] - (ends - size), size) + np.arange(total)]
+        at = np.concatenate(([0], ends))[offsets]
+        lengths = np.diff(at)
+        if alone:
+            parts, before = [], 0
+            for i, x in sorted(alone.items()):
+                parts += [ids[before : at[i]], x]
+                before, lengths[i] = at[i + 1], len(x)
+            ids = np.concatenate([*parts, ids[before:]])
+        return ids, lengths
+
+    def encode_each(self, texts: list[str]) -> list[np.ndarray]:
+        ids, lengths = self.encode(texts)
+        return np.split(ids, np.cumsum(lengths)[:-1]) if len(texts) else []
 
 
 _LOADED: dict[str, PieceTokenizer] = {}
@@ -133,7 +224,7 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _LOADED[path]
 
 
-def batches(texts: list[str], chars: int = 1 << 20):
+def batches(texts: list[str], chars: int = 1 << 24):
     """Index ranges of about ``chars`` characters, so a memo refill and its id arrays stay small."""
     start = size = 0
     for i, t in enumerate(texts):
