@@ -27,6 +27,12 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder, manifest)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.substrings import suffix_dedup
+
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathom.llm.mtree import every, top_k
 
@@ -70,7 +76,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE_SQL,
     "op6_ngram_jaccard": jaccard.ORACLE_SQL,
