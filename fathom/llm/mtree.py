@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm.vectors import sharded_search, usable
 
-PAGE = 32
+PAGE = 256
 FANOUT = 16
 SHARD = 16_384
 BLOCK = 4_096
@@ -31,27 +31,31 @@ SCALE = 1024.0
 
 
 def build(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
-    """Flat pages: page p has the entries first[p]:last[p]; an entry of an inner page names its child page."""
+    """Flat pages: page p has the entries first[p]:last[p]. Leaf entries are rows of ``x`` and ``ids``, which lie in
+    the order of the leaves; entries of an inner page name a pivot's row and the child page."""
     x = np.floor(SCALE * v).astype(np.int64)
-    order = np.lexsort((ids,))
+    order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     f = x.astype(np.float64)
     norm2 = (f * f).sum(1)
     lifted = np.column_stack((f, np.sqrt(np.maximum(norm2.max() - norm2, 0.0))))
     rng = np.random.default_rng(len(ids))
     first, last, leaf = [], [], []
-    pivot, radius, to_parent, child, row = [], [], [], [], []
+    inner: dict[str, list] = {"pivot": [], "radius": [], "child": [], "to_parent": []}
+    leaves: list[np.ndarray] = []  # rows in leaf order
+    leaf_to_parent: list[np.ndarray] = []
+    filled = 0
 
     def page(rows: np.ndarray, at: np.ndarray | None, dist: np.ndarray | None) -> int:
         """Make the page of ``rows`` below the pivot ``at``; ``dist``: the rows' distances to it."""
+        nonlocal filled
         me = len(first)
         first.append(0), last.append(0), leaf.append(len(rows) <= PAGE)
         if len(rows) <= PAGE:
-            first[me] = len(pivot)
-            for i, r in enumerate(rows):
-                pivot.append(r), radius.append(0.0), child.append(-1), row.append(r)
-                to_parent.append(0.0 if dist is None else dist[i])
-            last[me] = len(pivot)
+            first[me], last[me] = filled, filled + len(rows)
+            filled += len(rows)
+            leaves.append(rows)
+            leaf_to_parent.append(np.zeros(len(rows)) if dist is None else dist)
             return me
         picks = rows[rng.choice(len(rows), min(FANOUT, len(rows)), replace=False)]
         p = lifted[picks]
@@ -65,54 +69,81 @@ def build(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
         for g, r in zip(groups, picks):
             if len(g):
                 d = np.sqrt(((lifted[g] - lifted[r]) ** 2).sum(1))
-                entries.append((r, float(d.max()), page(g, lifted[r], d)))
-        first[me] = len(pivot)
-        for r, rad, c in entries:
-            pivot.append(r), radius.append(rad), child.append(c), row.append(-1)
-            to_parent.append(0.0 if at is None else float(np.sqrt(((lifted[r] - at) ** 2).sum())))
-        last[me] = len(pivot)
+                entries.append((r, float(d.max()), page(g, lifted[r], d), 0.0 if at is None else float(np.sqrt(((lifted[r] - at) ** 2).sum()))))
+        first[me] = len(inner["pivot"])
+        for entry in entries:
+            for k, value in zip(inner, entry):
+                inner[k].append(value)
+        last[me] = len(inner["pivot"])
         return me
 
     page(np.arange(len(ids)), None, None)
-    ints = {"first": first, "last": last, "leaf": leaf, "pivot": pivot, "child": child, "row": row}
-    return {k: np.array(a, np.int32) for k, a in ints.items()} | {"radius": np.array(radius), "to_parent": np.array(to_parent), "ids": ids, "x": x, "lift": lifted[:, -1], "norm2": np.array([norm2.max()])}
+    rows = np.concatenate(leaves)
+    place = np.empty(len(rows), np.int64)
+    place[rows] = np.arange(len(rows))
+    return {
+        "first": np.array(first, np.int64), "last": np.array(last, np.int64), "leaf": np.array(leaf, bool),
+        "pivot": place[np.array(inner["pivot"], np.int64)], "radius": np.array(inner["radius"]), "child": np.array(inner["child"], np.int64), "to_parent": np.array(inner["to_parent"]),
+        "ids": ids[rows], "x": x[rows], "leaf_to_parent": np.concatenate(leaf_to_parent), "norm2": np.array([norm2.max()]),
+    }
 
 
 def search(t: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, counter: dict | None = None):
     q_all = np.floor(SCALE * queries).astype(np.int64)
     ids, x, r2 = t["ids"], t["x"], float(t["norm2"][0])
     fx = x.astype(np.float64)
-    first, last, leaf, pivot, child, row, radius, to_parent = (t[n] for n in ("first", "last", "leaf", "pivot", "child", "row", "radius", "to_parent"))
+    pivots = fx[t["pivot"]]
+    first, last, leaf, child = (t[n].tolist() for n in ("first", "last", "leaf", "child"))
+    radius, to_parent, leaf_to_parent = t["radius"], t["to_parent"], t["leaf_to_parent"]
     out: tuple[list, list, list] = ([], [], [])
     for q_id, q in zip(query_ids.tolist(), q_all):
         qf = q.astype(np.float64)
-        base = float(qf @ qf) + r2
+        q2 = float(qf @ qf)
+        base = q2 + r2
+        # Sums of products stay below |q| R; under 2 ** 52 doubles hold them exactly.
+        exact = q2 * r2 < 2.0**104
         slack = 1e-9 * base + 1e-6
         best: list[tuple[int, int]] = []  # heap of (score, -vec_id): the worst first
+        least = -np.inf  # the worst score kept, once there are k
         bound = np.inf  # distance of the k-th best so far, with slack
-        heap = [(0.0, 0, np.nan)]
+        heap = [(0.0, 0, -1.0)]
         while heap:
             low, p, d_parent = heapq.heappop(heap)
             if low > bound:
                 break
-            e = np.arange(first[p], last[p])
-            if d_parent == d_parent and bound < np.inf:
-                e = e[np.abs(d_parent - to_parent[e]) - radius[e] <= bound]
-            if not len(e):
-                continue
-            if counter is not None:
-                counter["distances"] = counter.get("distances", 0) + len(e)
+            a, b = first[p], last[p]
             if leaf[p]:
-                rows = row[e]
-                for s, i in zip((x[rows] @ q).tolist(), ids[rows].tolist()):
+                rows: slice | np.ndarray = slice(a, b)
+                if d_parent >= 0 and bound < np.inf:
+                    near = np.abs(d_parent - leaf_to_parent[a:b]) <= bound
+                    if not near.all():
+                        rows = a + np.flatnonzero(near)
+                scores = fx[rows] @ qf if exact else x[rows] @ q
+                if counter is not None:
+                    counter["distances"] = counter.get("distances", 0) + len(scores)
+                good = np.flatnonzero(scores >= least)
+                if not len(good):
+                    continue
+                for s, i in zip(scores[good].tolist(), ids[rows][good].tolist()):
+                    s = int(s)
                     if i != q_id and (len(best) < k or (s, -i) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
                 if len(best) == k:
-                    bound = np.sqrt(max(base - 2.0 * best[0][0], 0.0) + slack)
+                    least = best[0][0]
+                    bound = np.sqrt(max(base - 2.0 * least, 0.0) + slack)
+                continue
+            e: slice | np.ndarray = slice(a, b)
+            children = child[a:b]
+            if d_parent >= 0 and bound < np.inf:
+                near = np.abs(d_parent - to_parent[a:b]) - radius[a:b] <= bound
+                if not near.all():
+                    e = a + np.flatnonzero(near)
+                    children = [child[j] for j in e]
+            if not children:
                 continue
-            d = np.sqrt(np.maximum(base - 2.0 * (fx[pivot[e]] @ qf), 0.0))
-            lows = np.maximum(np.maximum(d - radius[e], low) - np.sqrt(slack) * (d < 1.0) - 1e-9 * d, 0.0)
-            for lo, c, dd in zip(lows.tolist(), child[e].tolist(), d.tolist()):
+            d = np.sqrt(np.maximum(base - 2.0 * (pivots[e] @ qf), 0.0))
+            lows = np.maximum(np.maximum(d - radius[e] - np.sqrt(slack), low), 0.0)
+            for lo, c, dd in zip(lows.tolist(), children, d.tolist()):
                 if lo <= bound:
                     heapq.heappush(heap, (lo, c, dd))
         for s, i in best:
