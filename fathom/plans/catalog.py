@@ -20,7 +20,7 @@ NODE = """customers AS (
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 ), node AS (
   SELECT CAST(row_number() OVER (ORDER BY exchange, coin) - 1 AS INTEGER) AS node_id, exchange, coin,
-         round(1e0 + (CAST(sum(amount) AS DOUBLE) / count(*) - 4500e0) / 100000e0, 6) AS price
+         1e0 + (CAST(sum(amount) AS DOUBLE) / count(*) - 4500e0) / 100000e0 AS price
   FROM customers GROUP BY exchange, coin
 )"""
 PAIR = """pair AS (
@@ -467,7 +467,7 @@ def algorithm_averages(spark, d):
 
 # ---- snapshots and simulations
 
-PANEL = """panel AS (SELECT date_trunc('day', ts) AS ts, event_type AS exchange, CAST(user_id % 5 AS VARCHAR) AS coin, round(1e0 + (CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) - 50e0) / 10000e0, 6) AS price FROM events GROUP BY 1, 2, 3),
+PANEL = """panel AS (SELECT date_trunc('day', ts) AS ts, event_type AS exchange, CAST(user_id % 5 AS VARCHAR) AS coin, 1e0 + (CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) - 50e0) / 10000e0 AS price FROM events GROUP BY 1, 2, 3),
  ids AS (SELECT exchange, coin, CAST(row_number() OVER (ORDER BY exchange, coin) - 1 AS INTEGER) AS node_id FROM (SELECT DISTINCT exchange, coin FROM panel)),
  pnode AS (SELECT CAST(ts AS TIMESTAMP) AS ts, node_id, exchange, coin, price FROM panel JOIN ids USING (exchange, coin)),
  pedge AS (SELECT s.ts, s.node_id AS src, d.node_id AS dst, s.price AS src_price, d.price AS dst_price, ((s.node_id * 7 + d.node_id * 13) % 11 - 3) * 1e-3 + abs(s.price - d.price) * 1e-3 AS weight, abs(s.price - d.price) * 1e-3 AS v

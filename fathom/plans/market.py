@@ -23,7 +23,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.round(F.lit(1.0) + (F.sum("amount").cast("double") / F.count("*") - 4500.0) / 100000.0, 6)
+    price = F.lit(1.0) + (F.sum("amount").cast("double") / F.count("*") - 4500.0) / 100000.0
     rows = customers(spark, sf_dir).groupBy("exchange", "coin").agg(price.alias("price"))
     return upsert_nodes(rows.withColumn("seq", F.struct("exchange", "coin")))
 
@@ -77,7 +77,7 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean prices by event type and user group."""
     e = table(spark, sf_dir, "events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("exchange"), (F.col("user_id") % 5).cast("string").alias("coin"), F.col("value").cast("decimal(18,2)").alias("v"))
-    return e.groupBy("ts", "exchange", "coin").agg(F.round(F.lit(1.0) + (F.sum("v").cast("double") / F.count("*") - 50.0) / 10000.0, 6).alias("price"))
+    return e.groupBy("ts", "exchange", "coin").agg((F.lit(1.0) + (F.sum("v").cast("double") / F.count("*") - 50.0) / 10000.0).alias("price"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
