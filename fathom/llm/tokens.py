@@ -23,16 +23,27 @@ import pyarrow.compute as pc
 
 # White space before a space: such a text is cut at whole runs.
 _BAD_ASCII = tuple(c + " " for c in " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f") + tuple("\x1c\x1d\x1e\x1f")
-_BAD = _BAD_ASCII + tuple(chr(c) + " " for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_BREAK_ASCII = tuple(c + "\n" for c in " \t\n\r\x0b\x0c") + tuple("\n" + c for c in "\t\r\x0b\x0c")
+_WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_BREAK = _BREAK_ASCII + tuple(c + "\n" for c in _WIDE) + tuple("\n" + c for c in _WIDE)
+_BAD = _BAD_ASCII + tuple(c + " " for c in _WIDE)
 _CONTROL = re.compile("[\x1c-\x1f]")
-_TAILS = frozenset(".,;:!?")
+_TAIL_CHARS = ".,;:!?"
+_TAIL_CODES = {c: i for i, c in enumerate(_TAIL_CHARS)}
+_LETTER_END = "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]$"
 _RUNS = re.compile(r"\s*\S+|\s+")
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. of each run."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class PieceTokenizer:
     """Little-endian ids of texts: uint16 where the vocabulary fits, else uint32."""
 
-    def __init__(self, path: str, memo_size: int = 400_000):
+    def __init__(self, path: str, memo_size: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,6 +60,7 @@ class PieceTokenizer:
         self.memo_size = memo_size
         self.marks = self._marks(spec, "\u0120")
         self.breaks = self._marks(spec, "\u010a")
+        self.tails = self._ids(list(_TAIL_CHARS)) if self.mode != "whole" else []
         self.lower = self.mode == "drop" and "Lowercase" in json.dumps(spec.get("normalizer"))
 
     def _marks(self, spec: dict, start: str) -> np.ndarray | None:
@@ -98,78 +110,97 @@ class PieceTokenizer:
             out += [blob[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Add ids of unseen pieces. A letter run and one mark after it are always two pre-tokens, so ``word,`` is
-        put together from ``word`` and ``,``; lower-cased forms stand for words in ASCII."""
-        memo, plan, cores, lines = self.memo, [], {}, []
-        lower, old = self.lower, self.old
-        for p in pieces:
-            if p in old:
-                memo[p] = old[p]
-                continue
-            if not lower and "\n" in p:
-                a, _, b = p.partition("\n")
-                if a and b and not a[-1].isspace() and not b[0].isspace():
-                    lines.append((p, a, b))
-                    continue
-            core, tail = (p[:-1], p[-1]) if p[-1:] in _TAILS and p[-2:-1].isalpha() and p[-2] < "\u0500" else (p, "")
-            if lower and core.isascii():
-                core = core.lower()
-            plan.append((p, core, tail))
-            if core not in memo:
-                if core in old:
-                    memo[core] = old[core]
-                else:
-                    cores[core] = None
-            if tail and "\0" + tail not in memo:
-                memo["\0" + tail] = self._ids([tail])[0]
-        words = [c for c in cores if c.isalpha()] if self.marks is not None else []
-        memo.update(zip(words, self._ids_of_words(words)))
-        rest = [c for c in cores if c not in memo]
-        memo.update(zip(rest, self._ids([" " + c for c in rest] if self.mode == "lead" else rest)))
-        for p, core, tail in plan:
-            memo[p] = memo[core] + memo["\0" + tail] if tail else memo[core]
-        if lines:  # a line break between two words is a pre-token of its own
-            left = self._blobs([a for _, a, _ in lines])
-            right = self._blobs_bare([b for _, _, b in lines])
-            for (p, _, _), x, y in zip(lines, left, right):
-                memo[p] = x + y
-
-    def _blobs_bare(self, pieces: list[str]) -> list[bytes]:
-        """Ids of a line break and the text after it, which has no leading space."""
-        memo, cut = self.memo, []
-        for p in pieces:
-            core, tail = (p[:-1], p[-1]) if p[-1:] in _TAILS and p[-2:-1].isalpha() and p[-2] < "\u0500" else (p, "")
-            cut.append(("\n" + core, "\0" + tail))
-        new = {c for c, _ in cut if c not in memo}
-        words = [c for c in new if c[1:].isalpha()]
-        memo.update(zip(words, self._ids_of_words([w[1:] for w in words], "\n")))
-        rest = [c for c in new if c not in memo]
-        memo.update(zip(rest, self._ids(rest)))
-        tails = {t for _, t in cut if t not in memo}
-        memo.update((t, self._ids([t[1:]])[0] if t != "\0" else b"") for t in tails)
-        return [memo[c] + memo[t] for c, t in cut]
-
-    def _pieces_alone(self, text: str) -> np.ndarray:
+    def _blobs(self, pieces: list[str], encode) -> list[bytes]:
+        """Ids of distinct pieces, from the memo or by ``encode``."""
+        if len(self.memo) > self.memo_size:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        out = list(map(memo.get, pieces))
+        new = []
+        for i in [i for i, b in enumerate(out) if b is None]:
+            p = pieces[i]
+            b = old.get(p)
+            if b is None:
+                new.append(i)
+            else:
+                out[i] = memo[p] = b
+        if new:
+            words = [pieces[i] for i in new]
+            for i, w, b in zip(new, words, encode(words)):
+                out[i] = memo[w] = b
+        return out
+
+    def _either(self, words: list[str], by: str) -> list[bytes]:
+        """Letter runs many to a call, others one by one; with ``by`` before each in mode ``lead``."""
+        lead = by if self.mode == "lead" else ""
+        plain = [self.marks is not None and w.isalpha() for w in words]
+        runs = iter(self._ids_of_words([w for w, x in zip(words, plain) if x], by))
+        rest = iter(self._ids([lead + w for w, x in zip(words, plain) if not x]))
+        return [next(runs) if x else next(rest) for x in plain]
+
+    def _bare(self, pieces: list[str]) -> list[bytes]:
+        """Pieces without a leading space, marked by a zero byte: the first of a text, or a line break and a word."""
+        out: list = [None] * len(pieces)
+        lines = [i for i, p in enumerate(pieces) if p[1:2] == "\n"]
+        others = [i for i, p in enumerate(pieces) if p[1:2] != "\n"]
+        for i, b in zip(others, self._ids([pieces[i].lstrip("\0") for i in others])):
+            out[i] = b
+        cut = []
+        for i in lines:
+            p = pieces[i][2:]
+            short = p[-1:] in _TAIL_CODES and p[-2:-1].isalpha() and p[-2] < "\u0250"
+            cut.append((p[:-1], p[-1]) if short else (p, ""))
+        cores = list({c for c, _ in cut})
+        known = dict(zip(cores, self._either(cores, "\n")))
+        for i, (core, tail) in zip(lines, cut):
+            out[i] = known[core] + (self.tails[_TAIL_CODES[tail]] if tail else b"")
+        return out
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct pieces, one after the other, and their numbers. A letter run and one mark after it are
+        always two pre-tokens, so ``word,`` is put together from ``word`` and ``,``; A to Z are lower-cased first
+        where the tokenizer does so."""
+        core = pc.utf8_rtrim(words, _TAIL_CHARS)
+        one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(core)), 1)
+        cut = pc.and_(one, pc.match_substring_regex(core, _LETTER_END))
+        bare = pc.starts_with(words, "\0")
+        cut = pc.and_not(cut, bare)
+        core = pc.if_else(cut, core, words)
+        if self.lower:
+            core = pc.ascii_lower(core)
+        tail = np.where(cut.to_numpy(zero_copy_only=False), pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, -1), pa.array(list(_TAIL_CHARS), words.type)), 0).to_numpy(zero_copy_only=False) + 1, 0)
+        core = core.dictionary_encode()
+        codes, cores = core.indices.to_numpy(zero_copy_only=False), core.dictionary.to_pylist()
+        blobs = self._blobs(cores, lambda new: self._new(new))
+        width = self.dtype.itemsize
+        sizes, data = (np.fromiter(map(len, blobs), np.int64, len(blobs)) // width), np.frombuffer(b"".join(blobs), self.dtype)
+        ends = [b"", *self.tails]
+        tail_sizes = np.array([len(b) // width for b in ends], np.int64)
+        first, second = sizes[codes], tail_sizes[tail]
+        total = first + second
+        at = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), self.dtype)
+        out[_spread(at, first)] = data[_spread((np.cumsum(sizes) - sizes)[codes], first)]
+        tails = np.frombuffer(b"".join(ends), self.dtype)
+        out[_spread(at + first, second)] = tails[_spread((np.cumsum(tail_sizes) - tail_sizes)[tail], second)]
+        return out, total
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        mark = [p[:1] == "\0" for p in pieces]
+        if not any(mark):
+            return self._either(pieces, " ")
+        bare = iter(self._bare([p for p, x in zip(pieces, mark) if x]))
+        rest = iter(self._either([p for p, x in zip(pieces, mark) if not x], " "))
+        return [next(bare) if x else next(rest) for x in mark]
+
+    def _alone(self, text: str) -> np.ndarray:
         """Ids of a text whose white space needs care (``lead``): cut at whole runs, or not at all."""
         if "\0" in text or _CONTROL.search(text):
             return np.frombuffer(self._ids([text])[0], self.dtype)
-        runs = ["" if r == " " else r[1:] if r[0] == " " else "\0" + r for r in _RUNS.findall(text)]
-        return np.frombuffer(b"".join(self._blobs(runs)), self.dtype)
-
-    def _blobs(self, pieces: list[str]) -> list[bytes]:
-        if len(self.memo) > self.memo_size:
-            self.old, self.memo = self.memo, {}
-        memo = self.memo
-        need = set(pieces)
-        need.difference_update(memo)
-        bare = [p for p in need if p[:1] == "\0"]  # pieces without a leading space
-        need.difference_update(bare)
-        if bare:
-            memo.update(zip(bare, self._ids([p.lstrip("\0") for p in bare])))
-        if need:
-            self._learn(need)
-        return list(map(memo.__getitem__, pieces))
+        runs = ["" if r == " " else r[1:] if r[0] == " " else "\0\0" + r for r in _RUNS.findall(text)]
+        own = {r: None for r in runs}
+        known = dict(zip(own, self._blobs(list(own), lambda new: [self._ids([p[2:] if p[:1] == "\0" else " " + p])[0] for p in new])))
+        return np.frombuffer(b"".join(map(known.__getitem__, runs)), self.dtype)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and each text's number of ids."""
@@ -180,26 +211,25 @@ class PieceTokenizer:
         alone: dict[int, np.ndarray] = {}
         plain = []
         for i, t in enumerate(texts):
-            if "\0" in t or lead and any(x in t for x in (_BAD_ASCII if t.isascii() else _BAD)):
-                alone[i] = self._pieces_alone(t)
+            ascii_only = t.isascii()
+            if "\0" in t or lead and any(x in t for x in (_BAD_ASCII if ascii_only else _BAD)):
+                alone[i] = self._alone(t)
                 plain.append("\0\0" if lead else "")
             elif not lead:
                 plain.append(t.replace("\n", " ") if "\n" in t else t)
             else:
-                plain.append(t[1:] if t[:1] == " " else "\0\0" + t)
+                first = "" if t[:1] == " " else "\0\0"
+                if "\n" in t and t[0] != "\n" and t[-1] != "\n" and not any(x in t for x in (_BREAK_ASCII if ascii_only else _BREAK)):
+                    t = t.replace("\n", " \0\n")
+                plain.append(first + t if first else t[1:])
         lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         offsets = lists.offsets.to_numpy()
         words = lists.values.dictionary_encode()
         codes = words.indices.to_numpy(zero_copy_only=False)
-        blobs = self._blobs(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.dtype.itemsize
-        known = np.frombuffer(b"".join(blobs), self.dtype)
-        starts = np.cumsum(sizes) - sizes
+        known, sizes = self._distinct(words.dictionary)
         size = sizes[codes]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = known[np.repeat(starts[codes] - (ends - size), size) + np.arange(total)]
-        at = np.concatenate(([0], ends))[offsets]
+        ids = known[_spread((np.cumsum(sizes) - sizes)[codes], size)]
+        at = np.concatenate(([0], np.cumsum(size)))[offsets]
         lengths = np.diff(at)
         if alone:
             parts, before = [], 0
@@ -224,7 +254,7 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _LOADED[path]
 
 
-def batches(texts: list[str], chars: int = 1 << 24):
+def batches(texts: list[str], chars: int = 1 << 23):
     """Index ranges of about ``chars`` characters, so a memo refill and its id arrays stay small."""
     start = size = 0
     for i, t in enumerate(texts):
