@@ -24,7 +24,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fathom_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more, and let Spark's cleaner find the shuffle files of
+    finished steps (it acts when the driver collects its garbage)."""
+    for df in tables:
+        path = getattr(df, "_fathom_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,16 +4,18 @@ A document's set holds the distinct hashes (64 bits) of its ``size``-word shingl
 100 |x n y| >= percent |x u y|. Equal sets form a class, which its smallest doc_id stands for.
 
 Candidates. Tokens have one global order: by the class (power of two) of their count in a sketch of all documents,
-rare first, then by hash. If x and y link they share at least T = ceil(percent/100 max(|x|, |y|)) tokens, so for any l
-the first |x| - T + l of x's tokens and the same of y's share at least l. Each document picks the l that makes
-(prefix length + |x|/8 x expected candidates / l) smallest, where the sketch tells how often its prefix tokens occur;
-a pair is verified when its prefixes share min(l_x, l_y) tokens. The sketch only steers cost: results don't depend on it.
+rare first, then by hash. Let t = percent/100. If x and y link they share at least T = t/(1+t) (|x| + |y|) tokens, so for
+any l they share at least l within the first |x| - T + l tokens of x and |y| - T + l of y; T is at least t |x| and t |y|.
+Each document picks the l that makes (prefix length + |x|/8 x expected candidates / l) smallest, where the sketch tells
+how often its prefix tokens occur; a pair is verified when it shares min(l_x, l_y) tokens within those places. The
+sketch only steers cost: results don't depend on it.
 
 Volume. Tokens travel as packed arrays, one for each task and bucket of hashes; a bucket keeps only tokens of two or
-more classes. Groups of near copies would make all their pairs candidates, so verification has two rounds. In the
+more classes. Groups of near copies would make all their pairs candidates, so verification has rounds. In the
 first every document meets its best partner among the smallest documents of its tokens' lists, and links become
-components. In the second, lists are looked at again, but only pairs from different components count, all of them:
-no link between components is lost, none inside one is needed. Texts are verified on (partner, salt) groups of
+components. While lists still hold many components, their documents meet a few more partners each. In the last,
+lists are looked at again, but only pairs from different components count, all of them: no link between components
+is lost, none inside one is needed. Texts are verified on (partner, salt) groups of
 bounded size. No list, component or fingerprint goes to the driver; the sketch (CELLS bytes) does.
 
 Defined cases: null text, or text without words: n_shingles 0, linked with nothing; fewer words than ``size``: the
@@ -33,14 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialise, shuffle_partitions, text_column
+from fathom.llm.common import forget, materialise, shuffle_partitions, text_column
 from fathom.llm.tokens import batches
 
 SIZE = 5
 PERCENT = 75
-CELLS = 1 << 22
-CHUNKS = 64
-LENGTHS = (1, 2, 4, 8, 16, 32)
+CELLS = 1 << 25
+CHUNKS = 256
+LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
+TURNS = 3
+PARTNERS = 4
+CROWD = 16
 GROUP = 256  # texts that a verification task compares with one
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -78,7 +84,7 @@ def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(42)).astype(np.int64) & (CELLS - 1)
+    return (tokens >> np.uint64(39)).astype(np.int64) & (CELLS - 1)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -124,27 +130,28 @@ def sketch_of(scan: DataFrame) -> np.ndarray:
 
 
 def choose_prefix(tokens: np.ndarray, classes: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
-    """The document's prefix and its l. ``usual``: the mean load of a cell."""
+    """The document's prefix, in the global order, and its l. ``usual``: the mean load of a cell."""
     n = len(tokens)
-    need = -(-percent * n // 100)
+    need, need_equal = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
     own = classes[_cells(tokens)]
     count = np.exp2(own / 4.0)
     rank = np.where(count > 4 * usual + 16, own // 4, 0)  # below that, counts are noise
     order = np.lexsort((tokens, rank))
-    extra = np.cumsum(np.maximum(count[order] - usual, 0) + 0.02)
+    extra = np.cumsum(np.where(rank[order] > 0, count[order], 0) + CHANCE)
     best, pick = np.inf, 1
     for l in LENGTHS:
         p = n - need + l
         if l > need:
             break
-        cost = p + n / 8 * extra[p - 1] / l
+        cost = p + n / 8 * extra[n - need_equal + l - 1] / l  # partners of its own size are the most likely
         if cost < best:
             best, pick = cost, l
     return tokens[order[: n - need + pick]], pick
 
 
 def postings(docs: DataFrame, classes: np.ndarray, usual: float, size: int, percent: int) -> DataFrame:
-    """(g, d, n, l): tokens that prefixes of two or more classes share; d stands for its class."""
+    """(g, d, n, l, pos): tokens that prefixes of two or more classes share; d stands for its class, pos is the token's
+    place in the global order of its set."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(classes)  # CELLS bytes
     buckets = max(shuffle_partitions(spark), 1)
@@ -153,38 +160,43 @@ def postings(docs: DataFrame, classes: np.ndarray, usual: float, size: int, perc
         for part in parts:
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for a, b in batches(texts, 1 << 23):
-                table, tokens, owner, here = [], [], [], set()
-                own = [(i, s) for i, s in zip(ids[a:b], shingle_sets(texts[a:b], size)) if len(s) and i is not None]
-                for doc_id, s in sorted(own, key=lambda x: x[0]):
+                table, tokens, owner, place, here = [], [], [], [], set()
+                sets = [(i, s) for i, s in zip(ids[a:b], shingle_sets(texts[a:b], size)) if len(s) and i is not None]
+                for doc_id, s in sorted(sets, key=lambda x: x[0]):
                     fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if fp in here:  # a copy of a smaller doc_id
                         continue
                     here.add(fp)
                     prefix, l = choose_prefix(s, shared.value, usual, percent)
                     owner.append(np.full(len(prefix), len(table), np.uint32))
+                    place.append(np.arange(len(prefix), dtype=np.uint16 if len(prefix) < 1 << 16 else np.uint32))
                     tokens.append(prefix)
                     table.append((doc_id, int.from_bytes(fp[:8], "little", signed=True), len(s), l))
                 if not table:
                     continue
-                t, o = np.concatenate(tokens), np.concatenate(owner)
+                t, o, q = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
                 bucket = (t % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                t, o, cuts = t[order], o[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+                t, o, q, cuts = t[order], o[order], q[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
                 info = np.array(table, np.int64)
-                rows = ([], [], [], [])
+                rows = ([], [], [], [], [])
                 for k in range(buckets):
-                    x, y = t[cuts[k] : cuts[k + 1]], o[cuts[k] : cuts[k + 1]]
+                    x, y, z = (v[cuts[k] : cuts[k + 1]] for v in (t, o, q))
                     if len(x):
                         used, y = np.unique(y, return_inverse=True)
-                        rows[0].append(k), rows[1].append(info[used].tobytes()), rows[2].append(x.tobytes()), rows[3].append(y.astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "info", "tokens", "owner"])
+                        y = y.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                        for r, v in zip(rows, (k, info[used].tobytes(), x.tobytes(), y.tobytes(), z.tobytes())):
+                            r.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "info", "tokens", "owner", "place"])
 
     def gather(part: pa.Table) -> pa.Table:
         infos = [np.frombuffer(b, np.int64).reshape(-1, 4) for b in part.column("info").to_pylist()]
         base = np.cumsum([0, *map(len, infos)])
         info = np.concatenate(infos)
-        t = np.concatenate([np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist()])
-        o = np.concatenate([np.frombuffer(b, np.uint32).astype(np.int64) + k for b, k in zip(part.column("owner").to_pylist(), base)])
+        tokens = [np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist()]
+        short = lambda name: [np.frombuffer(b, np.uint16 if len(b) == 2 * len(t) else np.uint32).astype(np.int64) for b, t in zip(part.column(name).to_pylist(), tokens)]
+        o = np.concatenate([x + k for x, k in zip(short("owner"), base)])
+        pos, t = np.concatenate(short("place")), np.concatenate(tokens)
         # Copies: the smallest doc_id of a fingerprint stands for it.
         _, cls = np.unique(info[:, 1], return_inverse=True)
         order = np.lexsort((info[:, 0], cls))
@@ -193,17 +205,17 @@ def postings(docs: DataFrame, classes: np.ndarray, usual: float, size: int, perc
         rep[cls[order][first]] = order[first]
         c = cls[o]
         order = np.lexsort((c, t))
-        t, c = t[order], c[order]
+        t, c, pos = t[order], c[order], pos[order]
         fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
-        t, c = t[fresh], c[fresh]
+        t, c, pos = t[fresh], c[fresh], pos[fresh]
         start = np.concatenate(([True], t[1:] != t[:-1]))
         many = np.diff(np.append(np.flatnonzero(start), len(t)))
         keep = np.repeat(many, many) > 1
         row = info[rep[c[keep]]]
-        return pa.table([pa.array(t[keep].view(np.int64)), pa.array(row[:, 0]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3].astype(np.int32))], names=["g", "d", "n", "l"])
+        return pa.table([pa.array(t[keep].view(np.int64)), pa.array(row[:, 0]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["g", "d", "n", "l", "pos"])
 
-    packed = _base(docs).mapInArrow(emit, "bucket int, info binary, tokens binary, owner binary")
-    return materialise(packed.groupBy("bucket").applyInArrow(gather, "g long, d long, n int, l int"), "jaccard-postings")
+    packed = _base(docs).mapInArrow(emit, "bucket int, info binary, tokens binary, owner binary, place binary")
+    return materialise(packed.groupBy("bucket").applyInArrow(gather, "g long, d long, n int, l int, pos int"), "jaccard-postings")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -242,9 +254,11 @@ def components(links: DataFrame, name: str = "jaccard-components") -> DataFrame:
         near = both.join(state.select(F.col("d").alias("b"), "c"), "b").groupBy(F.col("a").alias("d")).agg(F.min("c").alias("m"))
         step = state.join(near, "d").select("d", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = step.select(F.col("d").alias("c"), F.col("c").alias("cc"))
-        step = materialise(step.join(jump, "c").select("d", "old", F.least("c", "cc").alias("c")), name)
+        before, step = state, materialise(step.join(jump, "c").select("d", "old", F.least("c", "cc").alias("c")), name)
         state = step.select("d", "c")
+        forget(before)
         if not step.where("old <> c").take(1):
+            forget(both)
             return state
 
 
@@ -256,6 +270,13 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     lists = postings(docs, sketch_of(scan), total / CELLS, size, percent)
     need = F.lit(percent / 100.0)
 
+    # A document with fewer shared tokens than any pair of its lists needs takes no part.
+    weakest = lists.groupBy("g").agg(F.min("l").alias("least"))
+    able = lists.join(weakest, "g").groupBy("d").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("d")
+    found = lists
+    lists = materialise(lists.join(able, "d", "left_semi"), "jaccard-lists")
+    forget(found)
+
     # Round one: the best partner among the smallest documents of the lists.
     centre = lists.groupBy("g").agg(F.min("d").alias("x"))
     star = lists.join(centre, "g").where("d <> x").groupBy("x", F.col("d").alias("y")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
@@ -265,14 +286,44 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = materialise(verify(first, texts, size, percent), "jaccard-links")
     state = components(links)
 
-    # Round two: pairs from different components that share enough prefix tokens.
-    labelled = lists.join(state, "d", "left").withColumn("c", F.coalesce("c", "d"))
-    mixed = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-    open_ = materialise(labelled.join(mixed, "g", "left_semi"), "jaccard-open")
+    # While lists hold many components, their documents meet a few more partners each.
+    def unsettled(state: DataFrame) -> DataFrame:
+        labelled = lists.join(state, "d", "left").withColumn("c", F.coalesce("c", "d"))
+        mixed = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
+        return materialise(labelled.join(mixed, "g", "left_semi"), "jaccard-open")
+
+    open_ = unsettled(state)
+    for turn in range(TURNS):
+        crowded = open_.groupBy("g").agg(F.approx_count_distinct("c").alias("m")).where(F.col("m") >= CROWD).select("g")
+        if not crowded.take(1):
+            break
+        busy = open_.join(crowded, "g", "left_semi")
+        seeds = [F.struct(F.lit(k).alias("seed"), F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn * PARTNERS + k))).alias("x")) for k in range(PARTNERS)]
+        centres = busy.groupBy("g").agg(F.array(*seeds).alias("xs")).select("g", F.inline("xs")).select("g", "seed", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
+        star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("seed", "x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("seed", "y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x")).select("x", "y").distinct()
+        more = materialise(more, "jaccard-partners")
+        fresh = materialise(verify(more, texts, size, percent), "jaccard-links")
+        links = links.unionByName(fresh)
+        state = components(links)
+        gain = fresh.count() >= more.count() / 10
+        forget(open_, more)
+        open_ = unsettled(state)
+        if not gain:  # the rest is not alike enough to gain from more partners
+            break
+
+    # Last round: all pairs from different components that share enough prefix tokens.
+    # A pair that links shares at least ``both`` tokens, and so ``least`` of them within these places of either set.
     a, b = open_.alias("a"), open_.alias("b")
-    fits = (F.col("a.d") < F.col("b.d")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent)
+    both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+    inside = F.expr(f"a.pos < a.n - {both} + least(a.l, b.l) AND b.pos < b.n - {both} + least(a.l, b.l)")
+    fits = (F.col("a.d") < F.col("b.d")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & inside
     pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & fits).groupBy(F.col("a.d").alias("x"), F.col("b.d").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("a.l", "b.l")).alias("l"))
-    more = materialise(verify(materialise(pairs.where("c >= l").select("x", "y"), "jaccard-pairs"), texts, size, percent), "jaccard-links")
+    pairs = pairs.where("c >= l").select("x", "y")
+    pairs = materialise(pairs, "jaccard-pairs")
+    forget(open_, lists)
+    more = materialise(verify(pairs, texts, size, percent), "jaccard-links")
+    forget(pairs, texts)
     if more.take(1):
         state = components(links.unionByName(more))
 
