@@ -77,9 +77,9 @@ def removals(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_B
 
 def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
     """``docs`` with __text, __lines, __chunks, __dropped and __dropped_lines."""
-    drop = removals(docs, min_lines, min_bytes).select(F.col("doc_id").alias("__d"), F.col("dh").alias("__h"), "drop")
+    drop = removals(docs, min_lines, min_bytes).select(F.col("doc_id").alias("__d"), F.col("dh").alias("__h"), F.col("drop").alias("__drop"))
     df = docs.withColumn("__full", text_column(docs))
-    df = df.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("__full") == F.col("__h")), "left").drop("__d", "__h").withColumnRenamed("drop", "__drop")
+    df = df.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("__full") == F.col("__h")), "left").drop("__d", "__h")
     names = [f"`{c}`" for c in docs.columns]
     df = df.selectExpr(*[f"{n} AS c{i}" for i, n in enumerate(names)], "__full", "coalesce(__drop, array()) AS dropped")
     df = cut_lines(df, "__full")

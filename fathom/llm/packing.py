@@ -33,9 +33,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, order_by: list[str] | None = None) -> DataFrame:
     """Pass one: documents with ids (16 bits each where they fit, else 32) and their start in the partition."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), *[F.col(c) for c in order_by or []])
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), *[F.col(c).alias(f"__order{i}") for i, c in enumerate(order_by or [])])
     if order_by:
-        df = df.repartitionByRange(shuffle_partitions(docs.sparkSession), *order_by).sortWithinPartitions(*order_by)
+        order = [f"__order{i}" for i in range(len(order_by))]
+        df = df.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     df = df.select("doc_id", "text")
 
     def tokenize(parts):

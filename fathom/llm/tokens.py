@@ -30,7 +30,8 @@ _BAD = _BAD_ASCII + tuple(c + " " for c in _WIDE)
 _CONTROL = re.compile("[\x1c-\x1f]")
 _TAIL_CHARS = ".,;:!?"
 _TAIL_CODES = {c: i for i, c in enumerate(_TAIL_CHARS)}
-_LETTER_END = "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{24F}]$"
+# Not U+0130, whose lower case is a letter and a mark.
+_LETTER_END = "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{24F}]$"
 _RUNS = re.compile(r"\s*\S+|\s+")
 
 
