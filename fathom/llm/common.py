@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -30,8 +33,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that nothing reads any more, and let Spark's cleaner find the shuffle files of
-    finished steps (it acts when the driver collects its garbage)."""
+    """Delete tables of materialise() that nothing reads any more, and tidy up."""
     for df in tables:
         path = getattr(df, "_fathom_path", None)
         if path:
@@ -39,7 +41,16 @@ def forget(*tables: DataFrame) -> None:
             where = sc._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        tidy(tables[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Spark's cleaner then finds the shuffle files of finished steps, and memory that
+    was only needed for a moment goes back to the system."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(OSError, AttributeError):  # where there is a malloc_trim()
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import forget, materialise, shuffle_partitions, text_column
+from fathom.llm.common import forget, materialise, shuffle_partitions, text_column, tidy
 from fathom.llm.tokens import batches
 
 SIZE = 5
 PERCENT = 75
-CELLS = 1 << 25
+CELLS = 1 << 24
 CHUNKS = 256
 LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
@@ -84,7 +84,7 @@ def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(39)).astype(np.int64) & (CELLS - 1)
+    return (tokens >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -123,10 +123,12 @@ def sketch_of(scan: DataFrame) -> np.ndarray:
         return pa.table({"k": pa.array([part.column("doc_id")[0].as_py()], pa.int64()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
     rows = scan.where("n < 0").groupBy("doc_id").applyInArrow(add, "k long, classes binary").collect()
-    out = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint8)
-    for r in rows:
-        out[r.k] = np.frombuffer(r.classes, np.uint8)
-    return out.ravel()
+    out = np.zeros(CELLS, np.uint8)
+    step = CELLS // CHUNKS
+    while rows:
+        r = rows.pop()
+        out[r.k * step : (r.k + 1) * step] = np.frombuffer(r.classes, np.uint8)
+    return out
 
 
 def choose_prefix(tokens: np.ndarray, classes: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
@@ -215,7 +217,10 @@ def postings(docs: DataFrame, classes: np.ndarray, usual: float, size: int, perc
         return pa.table([pa.array(t[keep].view(np.int64)), pa.array(row[:, 0]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["g", "d", "n", "l", "pos"])
 
     packed = _base(docs).mapInArrow(emit, "bucket int, info binary, tokens binary, owner binary, place binary")
-    return materialise(packed.groupBy("bucket").applyInArrow(gather, "g long, d long, n int, l int, pos int"), "jaccard-postings")
+    out = materialise(packed.groupBy("bucket").applyInArrow(gather, "g long, d long, n int, l int, pos int"), "jaccard-postings")
+    shared.destroy()
+    tidy(spark)
+    return out
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
