@@ -40,7 +40,7 @@ from fathom.llm.tokens import batches
 
 SIZE = 5
 PERCENT = 75
-CELLS = 1 << 24
+CELLS = 1 << 25
 CHUNKS = 256
 LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
@@ -84,7 +84,7 @@ def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+    return (tokens >> np.uint64(39)).astype(np.int64) & (CELLS - 1)
 
 
 def _base(docs: DataFrame) -> DataFrame:
