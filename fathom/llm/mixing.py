@@ -44,7 +44,7 @@ def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
         out[order[k % len(order)]] += 1
         k += 1
     while sum(out.values()) > cycle:
-        out[max(out, key=lambda s: (out[s] - exact[s], out[s], s))] -= 1
+        out[max((s for s in out if out[s] > 1), key=lambda s: (out[s] - exact[s], out[s], s))] -= 1
     return out
 
 

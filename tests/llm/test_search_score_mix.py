@@ -149,6 +149,15 @@ def test_pfair_plan(weights):
                 assert all(abs(had[s] * size - share[s] * (t - start)) < size for s in share)
 
 
+@pytest.mark.parametrize("weights", [{"a": 3000, "b": 1, "c": 1}, {"a": 1, "b": 1e-4, "c": 1e-4}, {"a": 30_000_000**0.5, "b": 3**0.5, "c": 2**0.5, "d": 1.0}])
+def test_plan_of_skewed_sources(weights):
+    blocks = {s: 5000 if s == "a" else 3 for s in weights}
+    planned = Counter()
+    for p in mixing.plan(blocks, weights):
+        planned[p["source"]] += p["n"]
+    assert planned == blocks
+
+
 def test_mixing(spark):
     rnd = random.Random(6)
     rows = [(i, f"t{i}", rnd.choice(["a", "a", "a", "b", "c", None]), 1) for i in range(700)] + [(3, "t3", "b", 1)] * 3 + [(None, None, "a", 1)]
