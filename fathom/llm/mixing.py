@@ -3,13 +3,14 @@
 Each source's rows, in order of doc_id, form blocks of ``block_rows``. Time has a slot for each block. A source of
 share w has its j-th block (from 1) released at floor((j-1)/w) and due by ceil(j/w); in each slot the earliest
 deadline among the released goes first (ties: the source's name). With shares that sum to 1 every deadline is met,
-so at any slot t a source has had more than w*t - 1 and less than w*t + 1 blocks. Shares are whole parts of
-``CYCLE`` slots, so a schedule is one cycle, repeated. When a source ends, the shares of the others are scaled up
-and a new phase begins: every row is scheduled, none is dropped.
+so at any slot t a source has had more than w*t - 1 and less than w*t + 1 blocks. Shares are the exact ratios of the
+weights as written (fractions, no rounding to slots of a cycle), so this holds for phases of any length. When a
+source ends, the shares of the others are scaled up and a new phase begins: every row is scheduled, none is dropped.
 
-The driver works out one cycle for each phase, from the sources' row counts alone (at most as many phases as sources,
-at most max(CYCLE, 4 x sources) slots each). Rows are numbered in two passes: range partitions that split a large
-source, running counts within a partition and source, and prefix sums over (partition, source) totals.
+The driver works the slots out one by one, from the sources' row counts alone, and writes them in pieces (a table of
+source, block and slot): it holds at most ``PIECE`` + ``cycle`` slots, but its time grows with the number of blocks.
+Rows are numbered in two passes: range partitions that split a large source, running counts within a partition and
+source, and prefix sums over (partition, source) totals.
 
 Defined cases: a null source is the source '' ; null doc_ids come first; repeated rows take neighbouring places; an
 empty table gives no rows; texts only matter as a tie-break between equal doc_ids; extra columns are ignored by
@@ -20,71 +21,97 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialise, shuffle_partitions, text_column
+from fathom.llm.common import materialise, shared_folder, shuffle_partitions, text_column
 
 BLOCK_ROWS = 16
-CYCLE = 1024
+CYCLE = 1024  # slots in a row of the plan
+PIECE = 1 << 16  # slots written at a time
 ALPHA = 0.5  # without given weights, targets follow rows ** ALPHA
 
-PLAN = "array<struct<source:string,phase:int,first:long,n:long,start:long,cycle:int,share:int,slots:array<int>>>"
+PLAN = "array<struct<source:string,phase:int,first:long,start:long,slots:array<int>>>"
 
 
-def shares(weights: dict[str, float], cycle: int) -> dict[str, int]:
-    """Whole slots of a cycle for each source, by largest remainder, at least 1 each."""
-    total = sum(weights.values())
-    exact = {s: w / total * cycle for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    k = 0
-    while sum(out.values()) < cycle:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out.values()) > cycle:
-        out[max((s for s in out if out[s] > 1), key=lambda s: (out[s] - exact[s], out[s], s))] -= 1
-    return out
+def shares(weights: dict[str, float]) -> tuple[dict[str, int], int]:
+    """Whole numbers in the exact ratio of the weights as written, and their sum."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    share = {s: int(x * scale) for s, x in exact.items()}
+    return share, sum(share.values())
 
 
-def one_cycle(share: dict[str, int], cycle: int) -> dict[str, list[int]]:
-    """Slots of each source in a cycle, earliest deadline first."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
+def earliest(share: dict[str, int], whole: int) -> Iterator[str]:
+    """The source of each slot, earliest deadline first, without end."""
     waiting = [(0, s, 1) for s in sorted(share)]
-    heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    for t in range(cycle):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-j * cycle // share[s]), s, j))
+            heapq.heappush(ready, (-(-j * whole // share[s]), s, j))
         deadline, s, j = heapq.heappop(ready)
         if t >= deadline:
             raise AssertionError("a deadline was missed")
-        slots[s].append(t)
-        if j < share[s]:
-            heapq.heappush(waiting, (j * cycle // share[s], s, j + 1))
-    return slots
+        yield s
+        heapq.heappush(waiting, (j * whole // share[s], s, j + 1))
+        t += 1
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYCLE) -> list[dict]:
-    """Phases: which blocks of each source go where. Slots follow each other without a gap."""
-    left, done, start, phase, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0, []
+def pieces(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYCLE) -> Iterator[dict]:
+    """Which blocks of each source go where, ``cycle`` slots at a time: block first + k has the slot start + slots[k].
+    Slots follow each other without a gap; the target of a phase is share / cycle."""
+    left, done, start, phase = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0
     while left:
-        size = max(cycle, 4 * len(left))
-        share = shares({s: weights[s] for s in left}, size)
-        slots = one_cycle(share, size)
-        end = 1 + min((n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] for s, n in left.items())
-        for s in sorted(left):
-            whole, rest = divmod(end, size)
-            n = whole * share[s] + sum(t < rest for t in slots[s])
-            if n:
-                out.append({"source": s, "phase": phase, "first": done[s], "n": n, "start": start, "cycle": size, "share": share[s], "slots": slots[s]})
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start, phase = start + end, phase + 1
-    return out
+        share, whole = shares({s: weights[s] for s in left})
+        turns, ended = earliest(share, whole), False
+        while not ended:
+            slots: dict[str, list[int]] = {}
+            for t in range(cycle):
+                s = next(turns)
+                slots.setdefault(s, []).append(t)
+                if len(slots[s]) == left[s]:
+                    ended = True
+                    break
+            for s in sorted(slots):
+                n = len(slots[s])
+                yield {"source": s, "phase": phase, "first": done[s], "n": n, "start": start, "cycle": whole, "share": share[s], "slots": slots[s]}
+                done[s] += n
+                left[s] -= n
+            start += t + 1
+        left, phase = {s: n for s, n in left.items() if n}, phase + 1
+
+
+def plan(blocks: dict[str, int], weights: dict[str, float], cycle: int = CYCLE) -> list[dict]:
+    return list(pieces(blocks, weights, cycle))
+
+
+def slot_table(spark: SparkSession, found: Iterator[dict]) -> DataFrame:
+    """(source, block, phase, slot) of all blocks, written to the shared folder piece by piece."""
+    path = shared_folder(spark, "mixing-slots")
+    schema = "source string, block long, phase int, slot long"
+
+    def write(rows: list[dict]) -> None:
+        names = ("source", "phase", "first", "start", "slots")
+        body = json.dumps([{c: r[c] for c in names} for r in rows])
+        table = spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(body), PLAN)))
+        table = table.selectExpr("source", "first", "start", "phase", "posexplode(slots) AS (k, s)")
+        table.selectExpr("source", "first + k AS block", "phase", "start + s AS slot").write.mode("append").parquet(path)
+
+    rows, n = [], 0
+    for r in found:
+        rows.append(r)
+        n += r["n"]
+        if n >= PIECE:
+            write(rows)
+            rows, n = [], 0
+    write(rows)
+    return spark.read.schema(schema).parquet(path)
 
 
 def ranked(docs: DataFrame) -> DataFrame:
@@ -110,14 +137,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     wanted = {s: float((weights or {}).get(s, 0.0)) if weights else n**ALPHA for s, n in counts.items()}
     least = min((w for w in wanted.values() if w > 0), default=1.0)
     wanted = {s: w if w > 0 else least / 2 for s, w in wanted.items()}  # sources without a target come in at half the least
-    phases = plan({s: -(-n // block_rows) for s, n in counts.items()}, wanted, cycle)
-    spark = docs.sparkSession
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(phases)), PLAN)))
-    p, r = F.broadcast(table).alias("p"), rows.withColumn("block", F.expr(f"rank div {block_rows}")).alias("r")
-    inside = F.col("r.block").between(F.col("p.first"), F.col("p.first") + F.col("p.n") - 1)
-    out = r.join(p, (F.col("r.source") == F.col("p.source")) & inside)
-    k = "(r.block - p.first)"
-    out = out.selectExpr("r.*", "p.phase", f"p.start + {k} div p.share * p.cycle + p.slots[cast({k} % p.share AS int)] AS slot")
+    slots = slot_table(docs.sparkSession, pieces({s: -(-n // block_rows) for s, n in counts.items()}, wanted, cycle))
+    out = rows.withColumn("block", F.expr(f"rank div {block_rows}")).join(slots, ["source", "block"])
     return out.withColumn("position", F.expr(f"slot * {block_rows} + rank % {block_rows}"))
 
 

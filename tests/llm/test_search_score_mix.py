@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -158,6 +159,18 @@ def test_plan_of_skewed_sources(weights):
     assert planned == blocks
 
 
+@pytest.mark.parametrize("weights", [dict.fromkeys("abc", 1), {f"s{i:02d}": (3_333_333 if i == 0 else 350_877) ** 0.5 for i in range(20)}, {"a": 1, "b": 0.5, "c": 1e-5}])
+def test_plan_keeps_to_exact_targets(weights):
+    blocks = dict.fromkeys(weights, 30_000 // len(weights))
+    whole = sum(Fraction(str(w)) for w in weights.values())
+    for p in mixing.plan(blocks, weights):
+        if p["phase"] == 0:
+            target = Fraction(str(weights[p["source"]])) / whole
+            for k in range(p["n"]):
+                slot, had = p["start"] + k // p["share"] * p["cycle"] + p["slots"][k % p["share"]], p["first"] + k
+                assert had - target * slot > -1 and had + 1 - target * (slot + 1) < 1
+
+
 def test_mixing(spark):
     rnd = random.Random(6)
     rows = [(i, f"t{i}", rnd.choice(["a", "a", "a", "b", "c", None]), 1) for i in range(700)] + [(3, "t3", "b", 1)] * 3 + [(None, None, "a", 1)]
