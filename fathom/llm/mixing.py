@@ -12,7 +12,8 @@ source, block and slot): it holds at most ``PIECE`` + ``cycle`` slots, but its t
 Rows are numbered in two passes: range partitions that split a large source, running counts within a partition and
 source, and prefix sums over (partition, source) totals.
 
-Defined cases: a null source is the source '' ; null doc_ids come first; repeated rows take neighbouring places; an
+Defined cases: a null source is the source '' ; null doc_ids come first; repeated rows have neighbouring ranks, each in the
+block of its own; an
 empty table gives no rows; texts only matter as a tie-break between equal doc_ids; extra columns are ignored by
 schedule() and kept by mixed().
 """
@@ -129,32 +130,55 @@ def ranked(docs: DataFrame) -> DataFrame:
     return placed.withColumn("within", within).join(base.select("pid", "source", "base"), ["pid", "source"]).select(*keys, "copies", (F.col("base") + F.col("within")).alias("rank"))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
-    """doc_id, source, text_hash, copies, rank, block, phase, slot, position of each distinct row; positions grow in
-    the order of mixing and have gaps only after a source's last, shorter block."""
-    rows = ranked(docs)
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE, rows: DataFrame | None = None) -> DataFrame:
+    """doc_id, source, text_hash, copies, copy, rank, block, phase, slot, position of each row; equal rows differ in copy
+    (from 0). Positions grow in the order of mixing and have gaps only after a source's last, shorter block. ``rows``
+    is ranked(docs), where that is at hand."""
+    rows = ranked(docs) if rows is None else rows
     counts = {r.source: r.rows for r in rows.groupBy("source").agg(F.sum("copies").alias("rows")).collect()}
     wanted = {s: float((weights or {}).get(s, 0.0)) if weights else n**ALPHA for s, n in counts.items()}
     least = min((w for w in wanted.values() if w > 0), default=1.0)
     wanted = {s: w if w > 0 else least / 2 for s, w in wanted.items()}  # sources without a target come in at half the least
     slots = slot_table(docs.sparkSession, pieces({s: -(-n // block_rows) for s, n in counts.items()}, wanted, cycle))
-    out = rows.withColumn("block", F.expr(f"rank div {block_rows}")).join(slots, ["source", "block"])
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("rank", F.col("rank") + F.col("copy"))
+    out = each.withColumn("block", F.expr(f"rank div {block_rows}")).join(slots, ["source", "block"])
     return out.withColumn("position", F.expr(f"slot * {block_rows} + rank % {block_rows}"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """doc_id, source, block, slot, position for every row."""
     out = schedule(docs, weights, block_rows, cycle)
-    each = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    rank = "(rank + copy)"
-    # Copies of a row may go over the border of a block; they then stay in the first block's slot, after its rows.
-    return each.selectExpr("doc_id", "source", "block", "phase", "slot", "position + copy AS position", f"{rank} AS source_rank")
+    return out.selectExpr("doc_id", "source", "block", "phase", "slot", "position", "rank AS source_rank")
+
+
+KEY = ["__known", "__doc_id", "__source", "__hash"]
+
+
+def keyed(df: DataFrame, source, text_hash) -> DataFrame:
+    """``df`` with KEY, which has no nulls."""
+    doc_id = F.col("doc_id").cast("long")
+    return df.withColumns({"__known": doc_id.isNotNull(), "__source": source, "__hash": text_hash, "__doc_id": F.coalesce(doc_id, F.lit(0).cast("long"))})
+
+
+def with_copy(docs: DataFrame) -> DataFrame:
+    """``docs`` with __copy, which numbers rows of equal KEY from 0, in two passes as in ranked()."""
+    at = F.monotonically_increasing_id()
+    placed = materialise(docs.select("*", F.spark_partition_id().alias("__pid"), at.alias("__at")), "mixing-copies")
+    parts = placed.groupBy("__pid", *KEY).agg(F.count("*").alias("__n"))
+    base = parts.withColumn("__base", F.sum("__n").over(Window.partitionBy(*KEY).orderBy("__pid")) - F.col("__n")).drop("__n")
+    within = F.row_number().over(Window.partitionBy("__pid", *KEY).orderBy("__at")) - 1
+    return placed.withColumn("__within", within).join(base, ["__pid", *KEY]).withColumn("__copy", F.col("__base") + F.col("__within"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, cycle: int = CYCLE) -> DataFrame:
     """``docs`` with its own columns, in the order of mixing (range partitions, sorted)."""
-    keys = schedule(docs, weights, block_rows, cycle).select("doc_id", F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("position").alias("__position")).withColumnRenamed("doc_id", "__doc_id")
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (source == F.col("__source")) & (F.xxhash64(text_column(docs)) == F.col("__hash"))
-    out = docs.join(keys, on)
+    rows = ranked(docs)
+    places = keyed(schedule(docs, weights, block_rows, cycle, rows), F.col("source"), F.col("text_hash"))
+    places = places.select(*KEY, "copies", F.col("copy").alias("__copy"), F.col("position").alias("__position"))
+    own = keyed(docs, F.coalesce(F.col("source").cast("string"), F.lit("")), F.xxhash64(text_column(docs)))
+    out = own.join(places.where("copies = 1").drop("copies", "__copy"), KEY).select(*docs.columns, "__position")
+    repeated = keyed(rows.where("copies > 1"), F.col("source"), F.col("text_hash")).select(*KEY)
+    if repeated.take(1):
+        copies = with_copy(own.join(repeated, KEY, "left_semi"))
+        out = out.unionByName(copies.join(places.where("copies > 1").drop("copies"), [*KEY, "__copy"]).select(*docs.columns, "__position"))
     return out.repartitionByRange(shuffle_partitions(docs.sparkSession), "__position").sortWithinPartitions("__position").select(*docs.columns)

@@ -189,6 +189,18 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_of_equal_rows(spark):
+    rows = [(1, "same", "a", k) for k in range(1000)] + [(None, "none", "b", k) for k in range(40)] + [(i, f"t{i}", "b", 0) for i in range(960)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+    weights = {"a": 1, "b": 1}
+    got = mixing.mix(docs, weights, 8, 64).collect()
+    assert sorted(r.position for r in got) == list(range(2000))
+    assert all(r.block == r.source_rank // 8 and r.position == 8 * r.slot + r.source_rank % 8 for r in got)
+    out = [(r.doc_id, r.text, r.source, r.n) for r in mixing.mixed(docs, weights, 8, 64).collect()]
+    assert sorted(out, key=repr) == sorted(rows, key=repr)
+    assert all(abs(2 * k - t) <= 16 for t, k in enumerate(np.cumsum([r[2] == "a" for r in out])))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from test_dedup import brute_jaccard, brute_lines
