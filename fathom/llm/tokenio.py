@@ -4,7 +4,7 @@ Documents are dealt out by ranges of doc_id and sorted, so each shard holds a ru
 two Arrow IPC stream files: ``.ids.arrow`` with batches of ``rows`` sequences, each a fixed-size list of ``seq_len``
 ids and one of mask bits (false: padding, only at a shard's end), and ``.docs.arrow`` with doc_id, start and n_tokens
 (starts count within the shard). All batches of a shard but the last have the same size, so sequence i is in batch
-i // rows, and a memory-mapped file is read without a copy. File names carry the task attempt; the returned manifest,
+i // rows, whose place in the file follows from the first batch's size, and a memory-mapped file is read without a copy. File names carry the task attempt; the returned manifest,
 made only of tasks that succeeded, says which files count, so a lost executor or a repeated attempt does no harm.
 
 Defined cases: null or empty text gives just the end id; repeated doc_ids stay next to each other, once for each
@@ -116,6 +116,7 @@ class ShardReader:
         path = f"{root}/{name}"
         source = (lambda x: pa.memory_map(x)) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file
         self.ids, self.docs = source(f"{path}.ids.arrow"), source(f"{path}.docs.arrow")
+        self.at: tuple[int, int, int] | None = None
 
     def id_batches(self):
         for batch in pa.ipc.open_stream(self.ids):
@@ -126,12 +127,26 @@ class ShardReader:
         yield from pa.ipc.open_stream(self.docs)
 
     def sequence(self, i: int):
-        self.ids.seek(0)
-        for batch in pa.ipc.open_stream(self.ids):
-            if i < batch.num_rows:
-                return batch.column(0)[i].values.to_numpy(), batch.column(1)[i].values
-            i -= batch.num_rows
-        raise IndexError(i)
+        if self.at is None:  # where batches begin, and the size and rows of a full one
+            self.ids.seek(0)
+            self.schema, begin = pa.ipc.read_schema(pa.ipc.read_message(self.ids)), self.ids.tell()
+            try:
+                rows = pa.ipc.read_record_batch(pa.ipc.read_message(self.ids), self.schema).num_rows
+            except EOFError:  # no batch
+                raise IndexError(i) from None
+            self.at = begin, self.ids.tell() - begin, rows
+        begin, size, rows = self.at
+        b, k = divmod(i, rows)
+        if i < 0 or begin + b * size >= self.ids.size():
+            raise IndexError(i)
+        self.ids.seek(begin + b * size)
+        try:
+            batch = pa.ipc.read_record_batch(pa.ipc.read_message(self.ids), self.schema)
+        except EOFError:  # the end mark
+            raise IndexError(i) from None
+        if k >= batch.num_rows:
+            raise IndexError(i)
+        return batch.column(0)[k].values.to_numpy(), batch.column(1)[k].values
 
 
 def read_documents(spark: SparkSession, folder: str, manifest: list) -> DataFrame:

@@ -1,9 +1,11 @@
 """Tokens, packing (1), binary output (8) and counts (9) against the tokenizers library."""
 
+import io
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers  # noqa: E402
 
 from fathom.llm import counts  # noqa: E402
 from fathom.llm.packing import pack  # noqa: E402
-from fathom.llm.tokenio import ShardReader, export_tokens, read_documents  # noqa: E402
+from fathom.llm.tokenio import ShardReader, ShardWriter, export_tokens, read_documents  # noqa: E402
 from fathom.llm.tokens import PieceTokenizer  # noqa: E402
 
 WORD, BYTE, PIECE = (P.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -107,6 +109,35 @@ def test_binary_output(spark, plain):
     assert empty[1] == [] and read_documents(spark, *empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 5, 64, 8 * 4 * 50, 8 * 4 * 50 + 9])
+def test_sequence_reads_its_own_batch(tmp_path, n):
+    ids = np.arange(n, dtype=np.uint16)
+    with pa.OSFile(f"{tmp_path}/s.ids.arrow", "wb") as f:
+        out = ShardWriter(f, np.uint16, 8, 4)
+        out.add(ids)
+        out.close()
+    (tmp_path / "s.docs.arrow").write_bytes(b"-")
+    count = -(-n // 8)
+    reader = ShardReader(str(tmp_path), "s")
+    for i in range(count):
+        got, mask = reader.sequence(i)
+        assert got[mask.to_numpy(zero_copy_only=False)].tolist() == ids[8 * i : 8 * i + 8].tolist()
+    for i in (-1, count, count + 1, count + 4, count + 1000):
+        with pytest.raises(IndexError):
+            reader.sequence(i)
+    if count > 100:
+        class Counted(io.FileIO):
+            def read(self, size=-1):
+                sizes.append(len(x := super().read(size)))
+                return x
+
+        sizes: list[int] = []
+        reader = ShardReader(str(tmp_path), "s")
+        reader.ids = pa.PythonFile(Counted(f"{tmp_path}/s.ids.arrow"), "r")
+        reader.sequence(count - 1)
+        assert sum(sizes) < (tmp_path / "s.ids.arrow").stat().st_size / 5
+
+
 @pytest.mark.parametrize("fallback", [False, True])
 def test_counts(spark, fallback):
     vocabulary = counts.read_vocabulary(PIECE)
