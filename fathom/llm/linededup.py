@@ -1,136 +1,160 @@
 """Line dedup (5): content-defined chunks of lines, DataFrame and SQL functions only.
 
-Lines are hashed (32 bits of md5). After line i a chunk ends where h[i] + 31 h[i-1] is a multiple of ``MODULUS``: the
-rolling hash sees only two lines, so a passage that moved to another place in another text is cut alike from its
-second line on. Chunks of at least ``min_lines`` lines and ``min_bytes`` bytes that occur more than once are compared
-byte by byte; the first occurrence, by (doc_id, text hash, chunk number), stays and all others are removed.
-
-The thin table of chunk hashes is made straight from the scan. Hashes that occur once drop out by an aggregation with
-map-side combine. Texts of the other chunks are grouped by (hash, text), which is the byte comparison and keeps one
-row for each task and text, however often a chunk occurs. Occurrences are joined on the hash by sort-merge joins,
-whose hot keys Spark splits. Should two texts share a hash, their occurrences are decided by text in a join of their
-own.
+Lines are hashed, and a rolling hash over two lines slides through each text. A chunk boundary falls between two lines
+whose rolling hash no earlier place has, so a chunk is a longest run of lines that follow each other elsewhere, too.
+Boundaries depend on the lines next to them alone: a passage that moved to another place in another text is cut at its
+own ends, whatever stands around it. (A boundary wherever the rolling hash is a multiple of some number would glue a
+passage's first and last lines to their neighbours and leave short passages without any chunk of their own.) A line of at
+least ``LONG`` bytes that an earlier place has is a chunk, too. Chunks of at least ``min_lines`` lines and ``min_bytes``
+bytes, and long lines, are removed; the first occurrence, by (doc_id, text hash, line), stays. Within a document a pair
+of lines does not count as earlier for the pair that starts at its second line.
+
+The table of rolling hashes is thin and made straight from the scan. Its repeats are found by an aggregation with
+map-side combine and written, so the join that tells them to the places has plain inputs and Spark splits its hot keys.
+Bytes are compared by grouping (line hash, line): one row for each distinct line and task. Should two lines share a hash,
+their pairs are decided by text in a join of their own. No row carries its document's lines along.
 
 Defined cases: null text is empty; an empty text is one empty line; a text that is removed whole becomes empty and
-its row stays; rows with equal doc_id and text are one document, so neither is the other's copy; an empty table gives
-no rows; extra columns are ignored by line_dedup() and kept by deduplicated().
+its row stays; rows with equal doc_id and text are one document, so neither is the other's copy; null doc_ids come
+first; an empty table gives no rows; extra columns are ignored by line_dedup() and kept by deduplicated(), whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialise, text_column
+from fathom.llm.common import forget, materialise, text_column
 
-MODULUS = 3
 MIN_LINES = 2
 MIN_BYTES = 40
+LONG = 200
+HASH = "xxhash64({})"
+KEY = ["a", "b", "two"]
 
 
-def cut_lines(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``lines`` and ``ends`` (the last line's number of each chunk). Each step is an inline(), which keeps the
-    optimizer from writing the arrays into the lambdas that read them, where they would be made once for each line."""
+def split_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep``, ``lines`` and ``h``, the lines' hashes. Each step is an inline(), which keeps the optimizer from writing
+    the arrays into the lambdas that read them, where they would be made once for each line."""
     lines = f"split({text}, '\n', -1)"
-    step = df.selectExpr("*", f"inline(array(struct({lines} AS lines)))")
-    step = step.selectExpr("*", "inline(array(struct(transform(lines, x -> cast(conv(substring(md5(x), 1, 8), 16, 10) AS bigint)) AS h)))")
-    ends = f"filter(sequence(0, size(h) - 1), i -> i = size(h) - 1 OR (h[i] + 31 * IF(i = 0, 0, h[i - 1])) % {MODULUS} = 0)"
-    return step.selectExpr("*", f"inline(array(struct({ends} AS ends)))").drop("h")
+    step = df.selectExpr(*keep, f"inline(array(struct({lines} AS lines)))")
+    return step.selectExpr(*keep, "lines", f"inline(array(struct(transform(lines, x -> {HASH.format('x')}) AS h)))")
 
 
-def chunk(k: str) -> str:
-    start = f"IF({k} = 0, 0, ends[{k} - 1] + 1)"
-    return f"array_join(slice(lines, {start} + 1, ends[{k}] + 1 - {start}), '\n')"
+def pairs(keyed: DataFrame, bodies: bool = False) -> DataFrame:
+    """(doc_id, dh, i, a, b, two): two = 1 for lines i and i + 1 with hashes a and b, two = 0 for a long line i (b is 0);
+    with ``bodies`` their text as well."""
+    body = ", concat(lines[i], '\n', lines[i + 1]) AS body" if bodies else ""
+    alone = ", lines[i] AS body" if bodies else ""
+    two = f"transform(sequence(0, size(h) - 2), i -> struct(i AS i, h[i] AS a, h[i + 1] AS b, 1 AS two{body}))"
+    one = f"transform(filter(sequence(0, size(h) - 1), i -> octet_length(lines[i]) >= {LONG}), i -> struct(i AS i, h[i] AS a, 0L AS b, 0 AS two{alone}))"
+    return split_lines(keyed, "text", "doc_id", "dh").selectExpr("doc_id", "dh", f"inline(concat(IF(size(h) > 1, {two}, array()), {one}))")
 
 
-def chunk_rows(df: DataFrame, text: str, min_lines: int, min_bytes: int) -> DataFrame:
-    """A row for each chunk that can be removed: doc_id, dh, k, n_lines, body, ch."""
-    rows = cut_lines(df, text).selectExpr("doc_id", "dh", "lines", "ends", "posexplode(ends) AS (k, last)")
-    rows = rows.selectExpr("doc_id", "dh", "k", "last + 1 - IF(k = 0, 0, ends[k - 1] + 1) AS n_lines", f"{chunk('k')} AS body")
-    rows = rows.where(f"n_lines >= {min_lines} AND octet_length(body) >= {min_bytes}")
-    return rows.withColumn("ch", F.xxhash64("body"))
+PLACE = "struct(doc_id IS NOT NULL AS known, doc_id, dh, i)"
+#: ``first`` is an earlier place of the row's pair, and not the pair one line before.
+EARLIER = f"{PLACE} <> first AND NOT (two = 1 AND doc_id <=> first.doc_id AND dh = first.dh AND i = first.i + 1)"
 
 
-def removals(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(doc_id, dh, drop): the numbers of the chunks to remove from a document; dh is the hash of its text."""
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, dh, chunks): the chunks (s, e: first and last line) of a document that repeat an earlier place; dh is the
+    hash of its text."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).withColumn("dh", F.xxhash64("text"))
-    thin = materialise(chunk_rows(keyed, "text", min_lines, min_bytes).select("ch", "doc_id", "dh", "k"), "line-chunks")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "dh", "k")
-    repeated = thin.groupBy("ch").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    twice = repeated.select("ch")
-    again = thin.join(twice, "ch", "left_semi")
-    wanted = again.groupBy("doc_id", "dh").agg(F.collect_set("k").alias("ks")).select(F.col("doc_id").alias("d"), F.col("dh").alias("h"), "ks")
-    # One row for each text: equal (doc_id, text) rows are one document.
-    bodies = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("h")))
-    bodies = cut_lines(bodies.select("doc_id", "dh", "text", "ks"), "text").selectExpr("doc_id", "dh", "lines", "ends", "explode(ks) AS k")
-    bodies = bodies.selectExpr("doc_id", "dh", "k", f"{chunk('k')} AS body").withColumn("ch", F.xxhash64("body"))
-    verified = materialise(bodies.groupBy("ch", "body").agg(F.min(place).alias("first"), F.max(place).alias("last")), "line-bodies")
-    by_hash = verified.groupBy("ch").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    plain = by_hash.where("texts = 1").select("ch", "first")
-    drop = again.join(plain, "ch").where(place != F.col("first")).select("doc_id", "dh", "k")
-    shared = by_hash.where("texts > 1").select("ch")
+    thin = materialise(pairs(keyed), "line-pairs")
+    repeats = thin.groupBy(*KEY).agg(F.expr(f"min({PLACE})").alias("first"), F.expr(f"max({PLACE})").alias("last")).where("first <> last").drop("last")
+    repeats = materialise(repeats, "line-repeats")
+    # Byte comparison: a hash that stands for one line only needs no more.
+    lines = split_lines(keyed, "text", "doc_id").selectExpr("explode(lines) AS line").selectExpr(f"{HASH.format('line')} AS a", "line")
+    shared = materialise(lines.distinct().groupBy("a").agg(F.count("*").alias("texts")).where("texts > 1").select("a"), "line-collisions")
     if shared.take(1):
-        by_text = verified.join(shared, "ch", "left_semi").select("ch", "body", "first")
-        drop = drop.unionByName(bodies.join(shared, "ch", "left_semi").join(by_text, ["ch", "body"]).where(place != F.col("first")).select("doc_id", "dh", "k"))
-    return drop.groupBy("doc_id", "dh").agg(F.collect_set("k").alias("drop"))
+        doubtful = thin.join(shared, "a", "left_semi").unionByName(thin.join(shared.select(F.col("a").alias("b")), "b", "left_semi")).select(*KEY).distinct()
+        plain = thin.join(doubtful, KEY, "left_anti").join(repeats, KEY)
+        by_text = materialise(pairs(keyed, bodies=True).join(doubtful, KEY, "left_semi"), "line-bodies")
+        firsts = by_text.groupBy("two", "body").agg(F.expr(f"min({PLACE})").alias("first"))
+        columns = ["doc_id", "dh", "i", "two"]
+        copies = plain.where(EARLIER).select(*columns).unionByName(by_text.join(firsts, ["two", "body"]).where(EARLIER).select(*columns))
+    else:
+        copies = thin.join(repeats, KEY).where(EARLIER)
+    # Pairs that share a line make one chunk. A document's rows: as many as its lines.
+    edges = copies.select("doc_id", "dh", F.col("i").alias("s"), (F.col("i") + F.col("two")).alias("e"))
+    own = Window.partitionBy("doc_id", "dh").orderBy("s", F.col("e").desc())
+    before = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.withColumn("new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
+    chunks = edges.withColumn("k", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "dh", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    found = materialise(chunks.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("chunks")), "line-chunks")
+    forget(thin, repeats, shared)
+    return found
 
 
 def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
-    """``docs`` with __text, __lines, __chunks, __dropped and __dropped_lines."""
-    drop = removals(docs, min_lines, min_bytes).select(F.col("doc_id").alias("__d"), F.col("dh").alias("__h"), F.col("drop").alias("__drop"))
-    df = docs.withColumn("__full", text_column(docs))
-    df = df.join(drop, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("__full") == F.col("__h")), "left").drop("__d", "__h")
-    names = [f"`{c}`" for c in docs.columns]
-    df = df.selectExpr(*[f"{n} AS c{i}" for i, n in enumerate(names)], "__full", "coalesce(__drop, array()) AS dropped")
-    df = cut_lines(df, "__full")
-    keep = f"array_join(transform(filter(sequence(0, size(ends) - 1), k -> NOT array_contains(dropped, k)), k -> {chunk('k')}), '\n')"
-    count = "aggregate(dropped, 0, (n, k) -> n + ends[k] - IF(k = 0, -1, ends[k - 1]))"
-    return df.selectExpr(*[f"c{i} AS {n}" for i, n in enumerate(names)], f"IF(size(dropped) = 0, __full, {keep}) AS __text", "size(lines) AS __lines", "size(ends) AS __chunks", "size(dropped) AS __dropped", f"{count} AS __dropped_lines")
+    """The columns of ``docs`` as c0, c1, ... with text (what is left), n_lines, n_chunks, dropped (chunks)."""
+    found = repeated_chunks(docs)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("full"))
+    df = df.withColumn("dh", F.xxhash64("full")).alias("x").join(found.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.dh") == F.col("y.dh")), "left")
+    df = df.select(*own, "full", "chunks").selectExpr(*own, "full", "chunks", "inline(array(struct(split(full, '\n', -1) AS lines)))")
+    size = "octet_length(array_join(slice(lines, c.s + 1, c.e - c.s + 1), '\n'))"
+    drop = f"filter(coalesce(chunks, array()), c -> (c.e - c.s + 1 >= {min_lines} AND {size} >= {min_bytes}) OR (c.e = c.s AND {size} >= {LONG}))"
+    df = df.selectExpr(*own, "full", "lines", "coalesce(size(chunks), 0) AS n_chunks", f"inline(array(struct({drop} AS dropped)))")
+    piece = "slice(lines, IF(k = 0, 0, dropped[k - 1].e + 1) + 1, IF(k = size(dropped), size(lines), dropped[k].s) - IF(k = 0, 0, dropped[k - 1].e + 1))"
+    left = f"array_join(flatten(transform(sequence(0, size(dropped)), k -> {piece})), '\n')"
+    return df.selectExpr(*own, f"IF(size(dropped) = 0, full, {left}) AS text", "size(lines) AS n_lines", "n_chunks", "dropped")
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, text (what is left)."""
-    names = ["doc_id", "text"]
-    out = kept(docs.select(*names), min_lines, min_bytes)
-    long = lambda c, name: F.col(c).cast("long").alias(name)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), long("__lines", "n_lines"), long("__chunks", "n_chunks"), long("__dropped", "n_removed_chunks"), long("__dropped_lines", "n_removed_lines"), F.col("__text").alias("text"))
+    """doc_id, n_lines, n_chunks (that repeat an earlier place), n_removed_chunks, n_removed_lines, text (what is left)."""
+    out = kept(docs.select("doc_id", "text"), min_lines, min_bytes)
+    lines = "aggregate(dropped, 0L, (n, c) -> n + c.e - c.s + 1)"
+    return out.selectExpr("cast(c0 AS long) AS doc_id", "cast(n_lines AS long) AS n_lines", "cast(n_chunks AS long) AS n_chunks", "cast(size(dropped) AS long) AS n_removed_chunks", f"{lines} AS n_removed_lines", "text")
 
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with its own columns and shortened texts; n_chars, where there is one, follows. Untouched texts stay
     as they are, nulls included."""
     out = kept(docs, min_lines, min_bytes)
-    cut = F.col("__dropped") > 0
+    cut = F.size("dropped") > 0
     columns = []
-    for c in docs.columns:
-        new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema[c].dataType)}.get(c)
-        columns.append(F.when(cut, new).otherwise(F.col(f"`{c}`")).alias(c) if new is not None else F.col(f"`{c}`"))
+    for i, f in enumerate(docs.schema.fields):
+        new = {"text": F.col("text"), "n_chars": F.length("text")}.get(f.name)
+        own = F.col(f"c{i}")
+        columns.append((own if new is None else F.when(cut, new.cast(f.dataType)).otherwise(own)).alias(f.name))
     return out.select(*columns)
 
 
-# One text for each (doc_id, text): the hash that orders equal doc_ids has no counterpart in DuckDB, so the SQL takes
-# doc_id to be unique, as it is in the table.
+# The hash that orders rows of equal doc_ids has no counterpart in DuckDB, so the SQL takes doc_id to be unique, as it is
+# in the table.
 ORACLE_SQL = f"""
 WITH lined AS (
     SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
-), hashed AS (
-    SELECT *, CAST('0x' || substring(md5(line), 1, 8) AS BIGINT) AS h FROM lined
-), ended AS (
-    SELECT *, CAST(i = n - 1 OR (h + 31 * coalesce(lag(h) OVER w, 0)) % {MODULUS} = 0 AS INTEGER) AS e
-    FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), followed AS (
+    SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM lined
+), parts AS (
+    SELECT doc_id, i AS s, i + 1 AS e, line || chr(10) || next AS body, 1 AS two FROM followed WHERE i < n - 1
+    UNION ALL SELECT doc_id, i, i, line, 0 FROM lined WHERE strlen(line) >= {LONG}
+), placed AS (
+    SELECT *, first_value(doc_id) OVER w AS fd, first_value(s) OVER w AS fs FROM parts WINDOW w AS (PARTITION BY two, body ORDER BY doc_id, s)
+), copied AS (
+    SELECT doc_id, s, e FROM placed WHERE (doc_id <> fd OR s <> fs) AND NOT (two = 1 AND doc_id = fd AND s = fs + 1)
+), fresh AS (
+    SELECT *, CAST(coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS INTEGER) AS new FROM copied
 ), numbered AS (
-    SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended
+    SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM fresh
 ), chunks AS (
-    SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines FROM numbered GROUP BY doc_id, k
-), judged AS (
-    SELECT *, n_lines >= {MIN_LINES} AND strlen(body) >= {MIN_BYTES}
-              AND row_number() OVER (PARTITION BY body ORDER BY doc_id, k) > 1 AS gone
-    FROM chunks
+    SELECT doc_id, min(s) AS s, max(e) AS e FROM numbered GROUP BY doc_id, k
+), sized AS (
+    SELECT c.doc_id, c.s, c.e, sum(strlen(l.line)) + count(*) - 1 AS bytes
+    FROM chunks c JOIN lined l ON l.doc_id = c.doc_id AND l.i BETWEEN c.s AND c.e GROUP BY ALL
+), gone AS (
+    SELECT * FROM sized WHERE (e - s + 1 >= {MIN_LINES} AND bytes >= {MIN_BYTES}) OR (e = s AND bytes >= {LONG})
+), marked AS (
+    SELECT l.*, g.doc_id IS NOT NULL AS gone FROM lined l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i BETWEEN g.s AND g.e
 )
-SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) AS n_chunks,
-       count(*) FILTER (gone) AS n_removed_chunks,
-       CAST(coalesce(sum(n_lines) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-       coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
-FROM judged GROUP BY doc_id
+SELECT m.doc_id, count(*) AS n_lines,
+       (SELECT count(*) FROM chunks c WHERE c.doc_id = m.doc_id) AS n_chunks,
+       (SELECT count(*) FROM gone g WHERE g.doc_id = m.doc_id) AS n_removed_chunks,
+       count(*) FILTER (gone) AS n_removed_lines,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+FROM marked m GROUP BY m.doc_id
 """

@@ -67,46 +67,76 @@ def test_suffix_dedup_empty(spark):
 
 
 def brute_lines(rows):
-    place, cut = {}, {}
-    for d, t in sorted(set(rows)):
-        lines = (t or "").split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        chunks, start = [], 0
-        for i in range(len(lines)):
-            if i == len(lines) - 1 or (h[i] + 31 * (h[i - 1] if i else 0)) % linededup.MODULUS == 0:
-                chunks.append(lines[start : i + 1])
-                start = i + 1
-        cut[d] = chunks
+    lines = {d: (t or "").split("\n") for d, t in sorted(set(rows))}
+    first = {}
+
+    def parts(d):
+        x = lines[d]
+        yield from ((i, i + 1, (x[i], x[i + 1])) for i in range(len(x) - 1))
+        yield from ((i, i, x[i]) for i in range(len(x)) if len(x[i].encode()) >= linededup.LONG)
+
+    for d in lines:
+        for s, _, body in parts(d):
+            first[body] = min(first.get(body, (d, s)), (d, s))
     out = {}
-    for d in sorted(cut):
-        kept = []
-        for k, c in enumerate(cut[d]):
-            body = "\n".join(c)
-            if len(c) >= linededup.MIN_LINES and len(body.encode()) >= linededup.MIN_BYTES and place.setdefault(body, (d, k)) != (d, k):
-                continue
-            kept.append(body)
-        out[d] = "\n".join(kept)
+    for d, x in lines.items():
+        joined, gone = set(), set()
+        for s, e, body in parts(d):
+            at = first[body]
+            if at != (d, s) and not (e > s and at == (d, s - 1)):
+                joined.add((s, e))
+        k = 0
+        while k < len(x):
+            end = k
+            while (end, end + 1) in joined:
+                end += 1
+            size = len("\n".join(x[k : end + 1]).encode())
+            if end > k and size >= linededup.MIN_BYTES or end == k and (k, k) in joined:
+                gone.update(range(k, end + 1))
+            k = end + 1
+        out[d] = "\n".join(y for i, y in enumerate(x) if i not in gone)
     return out
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hash_", [linededup.HASH, "pmod(xxhash64({}), 7L)"])  # the second one has collisions all over
+def test_line_dedup(spark, monkeypatch, hash_):
+    monkeypatch.setattr(linededup, "HASH", hash_)
     rnd = random.Random(3)
-    pool = ["line number %d with some words" % i for i in range(12)] + ["", "x", "é" * 30]
+    pool = ["line number %d with some words" % i for i in range(12)] + ["", "x", "é" * 30, "long " * 50, "longer " * 60]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for i in range(80)]
-    rows += [(100, "only\nonce " * 30), (101, "")]
+    rows += [(100, "only\nonce " * 30), (101, ""), (102, "x\n" * 50), (103, "the same line of over forty bytes in a row\n" * 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in linededup.line_dedup(df).collect()} == brute_lines(rows)
-    extra = df.selectExpr("doc_id", "text", "length(text) AS n_chars", "1 AS lines", "2 AS `drop`")
+    extra = df.selectExpr("doc_id", "text", "length(text) AS n_chars", "1 AS lines", "2 AS `drop`", "3 AS c0", "4 AS full", "5 AS `meta.url`", "6 AS chunks", "7 AS __full")
     out = linededup.deduplicated(extra)
-    assert out.columns == extra.columns and out.where("n_chars <> length(text)").count() == 0
+    assert out.columns == extra.columns and out.where("n_chars <> length(text) OR lines <> 1 OR c0 <> 3 OR full <> 4 OR chunks <> 6 OR __full <> 7").count() == 0
+
+
+def test_line_passages(spark):
+    """Passages of over 50 words go whole, in however many lines, wherever they stand; what is around them stays."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9)))
+    passages = []
+    for n in range(1, 7):
+        words = [word() for _ in range(60)]
+        passages.append("\n".join(" ".join(words[60 * k // n : 60 * (k + 1) // n]) for k in range(n)))
+    rows, own = [], {}
+    for i in range(90):
+        before, after = ["\n".join(" ".join(word() for _ in range(rnd.randint(1, 30))) for _ in range(rnd.randint(1, 6))) for _ in range(2)]
+        rows.append((i, f"{before}\n{passages[i % 6]}\n{after}"))
+        own[i] = rows[-1][1] if i < 6 else f"{before}\n{after}"
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == own
 
 
 def test_line_dedup_edges(spark):
     text = "\n".join(f"this is a repeated line {i}" for i in range(12))
-    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, None), (None, "x"), (4, "")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, text), (1, text), (1, "other\n" + text), (2, text), (3, None), (None, "x"), (4, ""), (5, text + "\n" + "y z\n" * 50_000)], "doc_id long, text string")
     got = linededup.line_dedup(df).collect()
-    assert len(got) == 6 and {r.text for r in got if r.doc_id == 1} == {text}
-    assert [r.n_removed_chunks > 0 for r in got if r.doc_id == 2] == [True]
+    assert len(got) == 8
+    assert sorted(r.text for r in got if r.doc_id == 1) in (["other", text, text], ["", "", "other\n" + text])
+    assert [(r.n_removed_chunks, r.n_removed_lines, r.text) for r in got if r.doc_id == 2] == [(1, 12, "")]
+    assert [len(r.text) for r in got if r.doc_id == 5] == [8]  # y z, y z and the empty line at the end
     assert linededup.line_dedup(df.where("false")).count() == 0
     plan = linededup.line_dedup(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
