@@ -10,13 +10,16 @@ Each document picks the l that makes (prefix length + |x|/8 x expected candidate
 how often its prefix tokens occur; a pair is verified when it shares min(l_x, l_y) tokens within those places. The
 sketch only steers cost: results don't depend on it.
 
-Volume. Tokens travel as packed arrays, one for each task and bucket of hashes; a bucket keeps only tokens of two or
-more classes. Groups of near copies would make all their pairs candidates, so verification has rounds. In the
+Volume. Of the largest classes (at most LARGEST, broadcast) only the smallest document sends tokens. Tokens travel as
+packed arrays, one for each task's flush and bucket of hashes; the number of buckets follows the number of shingles,
+so a bucket has about BUCKET_BYTES, and over WAYS buckets tokens are dealt in two steps. A bucket keeps only tokens of
+two or more classes. Tokens that the sketch says are in very many documents are dealt by class instead and all kept,
+so no list has to be in one task. Groups of near copies would make all their pairs candidates, so verification has rounds. In the
 first every document meets its best partner among the smallest documents of its tokens' lists, and links become
 components. While lists still hold many components, their documents meet a few more partners each. In the last,
 lists are looked at again, but only pairs from different components count, all of them: no link between components
-is lost, none inside one is needed. Texts are verified on (partner, salt) groups of
-bounded size. No list, component or fingerprint goes to the driver; the sketch (CELLS bytes) does.
+is lost, none inside one is needed. Texts are verified on (partner, salt) groups of bounded size. What goes to the
+driver is bounded: the sketch (CELLS bytes) and the fingerprints of the largest classes.
 
 Defined cases: null text, or text without words: n_shingles 0, linked with nothing; fewer words than ``size``: the
 whole sequence is the one shingle; repeated rows link with each other; rows with equal doc_id and other text each
@@ -27,27 +30,36 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import forget, materialise, shuffle_partitions, text_column, tidy
-from fathom.llm.tokens import batches
+from fathom.llm.common import forget, give_back, materialise, slices, text_column
 
 SIZE = 5
 PERCENT = 75
 CELLS = 1 << 25
-CHUNKS = 256
+CHUNKS = 64
 LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
+_LENGTHS = np.array(LENGTHS)
+_COUNT = np.exp2(np.arange(256) / 4.0)
 CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
 TURNS = 3
 PARTNERS = 4
 CROWD = 16
-GROUP = 256  # texts that a verification task compares with one
+GROUP = 1 << 18  # shingles of the texts that a verification task compares with one
+CHARS = 1 << 20  # of text that is cut into shingles at once
+FLUSH = 1 << 20  # tokens that a task packs at once
+BUCKET_BYTES = 8 << 20
+SHARE = 5  # bytes of packed prefix tokens for a shingle, about
+WAYS = 4_096  # buckets that a task deals to at once
+HEAVY = 4_096  # documents, by the sketch, from which a token's list is dealt by class
+LARGEST = 4_096  # classes that are broadcast
+FAN = 256  # tasks' sketches that are added at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -56,22 +68,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+# A-Z in lower case, the six blanks as a space, all other bytes as they are.
+_PLAIN = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_DEPTH = 64  # a byte's random number depends on its place in the word, up to here
+_RANDOM = np.random.default_rng(20_250_101).integers(0, 1 << 63, (_DEPTH, 256), np.uint64).ravel() * np.uint64(2) + np.uint64(1)
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, one text after the other, and each text's number of words."""
+    blobs = [t.encode() for t in texts]
+    a = np.frombuffer((b" ".join(blobs) + b" ").translate(_PLAIN), np.uint8)
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) + 1
+    black = np.concatenate(([False], a != 32))
+    edges = np.flatnonzero(black[1:] != black[:-1])  # the last byte is a blank
+    first, length = edges[::2], edges[1::2] - edges[::2]
+    counts = np.diff(np.searchsorted(first, np.concatenate(([0], np.cumsum(size)))))
+    if not len(first):
+        return np.zeros(0, np.uint64), counts
+    letters = a[black[1:]]
+    starts = np.cumsum(length) - length
+    place = np.arange(len(letters), dtype=np.int32) - np.repeat(starts, length).astype(np.int32)
+    if length.max() <= _DEPTH:
+        values = _RANDOM[(place << 8) | letters]
+    else:
+        values = _RANDOM[((place % _DEPTH) << 8) | letters] * (np.uint64(2) * (place // _DEPTH).astype(np.uint64) * _M1 + np.uint64(1))
+    return _mix(np.add.reduceat(values, starts) + length.astype(np.uint64) * _M1), counts
+
+
 def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    # bytes.lower() and split() know A-Z and the six blanks only, as wanted.
-    lists = [t.encode().lower().split() for t in texts]
-    n = np.array([len(x) for x in lists], np.int64)
-    words = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
-    codes = words.indices.to_numpy(zero_copy_only=False)
-    known = pd.util.hash_array(np.array(words.dictionary.to_pylist(), object), hash_key="fathom-shingles1", categorize=False) if len(words.dictionary) else np.zeros(0, np.uint64)
-    h = known[codes] if len(codes) else np.zeros(0, np.uint64)
+    h, n = word_hashes(texts)
     full = np.zeros(max(len(h) - size + 1, 0), np.uint64)
     for j in range(size):
         full = _mix(full * _M1 + h[j : j + len(full)] + np.uint64(j + 1))
     out, at = [], 0
     for k in n.tolist():
         if k >= size:
-            out.append(np.unique(full[at : at + k - size + 1]))
+            x = np.sort(full[at : at + k - size + 1])
+            new = x[1:] != x[:-1]
+            out.append(x if new.all() else np.concatenate((x[:1], x[1:][new])))
         elif k:
             x = np.full(1, k, np.uint64) * _M2
             for j in range(k):
@@ -98,12 +133,12 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
         counts = np.zeros(CELLS, np.uint8)
         step = CELLS // CHUNKS
         for part in parts:
-            texts = part.column(1).to_pylist()
-            for a, b in batches(texts, 1 << 22):
-                sets = shingle_sets(texts[a:b], size)
+            for a, b, texts in slices(part.column(1), CHARS):
+                sets = shingle_sets(texts, size)
                 cells, c = np.unique(_cells(np.concatenate(sets)), return_counts=True)
                 counts[cells] = np.minimum(counts[cells].astype(np.int64) + c, 255)
                 yield pa.RecordBatch.from_arrays([part.column(0)[a:b], pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())], names=["doc_id", "n", "fp"])
+        give_back()
         for k in range(CHUNKS):
             own = counts[k * step : (k + 1) * step]
             if own.any():
@@ -113,16 +148,30 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
 
 
 def sketch_of(scan: DataFrame) -> np.ndarray:
-    """Log2 classes of counts by cell, bounded: CELLS bytes. A task's counts stop at 255, so they are lower bounds."""
+    """Log2 classes of counts by cell, bounded: CELLS bytes. A task's counts stop at 255, so they are lower bounds. Parts
+    of at most about FAN tasks are added in one group, and their sums again, until one sum is left."""
+    kinds = {-1: np.uint8, -8: np.int64}
 
-    def add(part: pa.Table) -> pa.Table:
+    def add(part: pa.Table) -> np.ndarray:
         total = np.zeros(CELLS // CHUNKS, np.int64)
-        for blob in part.column("fp").to_pylist():
-            total += np.frombuffer(zlib.decompress(blob), np.uint8)
-        classes = np.ceil(np.log2(np.maximum(total, 1)) * 4).astype(np.uint8)  # quarter powers
-        return pa.table({"k": pa.array([part.column("doc_id")[0].as_py()], pa.int64()), "classes": pa.array([classes.tobytes()], pa.binary())})
-
-    rows = scan.where("n < 0").groupBy("doc_id").applyInArrow(add, "k long, classes binary").collect()
+        for n, blob in zip(part.column("n").to_pylist(), part.column("fp").to_pylist()):
+            total += np.frombuffer(zlib.decompress(blob), kinds[n])
+        return total
+
+    def partial(part: pa.Table) -> pa.Table:
+        return pa.table({"doc_id": part.column("doc_id")[:1], "n": pa.array([-8], pa.int64()), "fp": pa.array([zlib.compress(add(part).tobytes(), 1)], pa.binary())})
+
+    def whole(part: pa.Table) -> pa.Table:
+        classes = np.ceil(np.log2(np.maximum(add(part), 1)) * 4).astype(np.uint8)  # quarter powers
+        return pa.table({"k": part.column("doc_id")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
+
+    parts = scan.where("n < 0")
+    most = -(-parts.count() // CHUNKS)
+    while most > FAN:
+        most = -(-most // FAN)
+        dealt = parts.withColumn("salt", F.floor(F.rand(most) * most))
+        parts = materialise(dealt.groupBy("doc_id", "salt").applyInArrow(partial, "doc_id long, n long, fp binary"), "jaccard-sketch")
+    rows = parts.groupBy("doc_id").applyInArrow(whole, "k long, classes binary").collect()
     out = np.zeros(CELLS, np.uint8)
     step = CELLS // CHUNKS
     while rows:
@@ -133,120 +182,180 @@ def sketch_of(scan: DataFrame) -> np.ndarray:
 
 def choose_prefix(tokens: np.ndarray, classes: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
     """The document's prefix, in the global order, and its l. ``usual``: the mean load of a cell."""
-    n = len(tokens)
+    n = len(tokens)  # sorted
     need, need_equal = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
     own = classes[_cells(tokens)]
-    count = np.exp2(own / 4.0)
-    rank = np.where(count > 4 * usual + 16, own // 4, 0)  # below that, counts are noise
-    order = np.lexsort((tokens, rank))
-    extra = np.cumsum(np.where(rank[order] > 0, count[order], 0) + CHANCE)
-    best, pick = np.inf, 1
-    for l in LENGTHS:
-        p = n - need + l
-        if l > need:
-            break
-        cost = p + n / 8 * extra[n - need_equal + l - 1] / l  # partners of its own size are the most likely
-        if cost < best:
-            best, pick = cost, l
+    noise = math.log2(4 * usual + 16) * 4  # up to there counts are noise
+    order = np.argsort(np.where(own > noise, own >> 2, 0).astype(np.uint8), kind="stable")
+    own = own[order]
+    extra = np.cumsum(np.where(own > noise, _COUNT[own], 0) + CHANCE)
+    lengths = _LENGTHS[_LENGTHS <= need]
+    cost = (n - need + lengths) + n / 8 * extra[n - need_equal + lengths - 1] / lengths  # partners of its own size are the most likely
+    pick = int(lengths[cost.argmin()])
     return tokens[order[: n - need + pick]], pick
 
 
-def postings(docs: DataFrame, classes: np.ndarray, usual: float, size: int, percent: int) -> DataFrame:
-    """(g, d, n, l, pos): tokens that prefixes of two or more classes share; d stands for its class, pos is the token's
-    place in the global order of its set."""
+PACKED = "bucket int, info binary, tokens binary, owner binary, place binary"
+
+
+def pack_tokens(bucket, t, o, q, info) -> pa.RecordBatch:
+    """Tokens ``t`` with owners (rows of ``info``) and places, a row for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, t, o, q = bucket[order], t[order], o[order], q[order]
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    q = q.astype(np.uint16 if q.max() < 1 << 16 else np.uint32)
+    rows = ([], [], [], [], [])
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        used, own = np.unique(o[a:b], return_inverse=True)
+        own = own.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
+        for r, v in zip(rows, (int(bucket[a]), info[used].tobytes(), t[a:b].tobytes(), own.tobytes(), q[a:b].tobytes())):
+            r.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "info", "tokens", "owner", "place"])
+
+
+def unpack_tokens(part):
+    """What went into pack_tokens(), of all rows of ``part``."""
+    infos = [np.frombuffer(b, np.int64).reshape(-1, 5) for b in part.column("info").to_pylist()]
+    base = np.cumsum([0, *map(len, infos)])
+    tokens = [np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist()]
+    short = lambda name: [np.frombuffer(b, np.uint16 if len(b) == 2 * len(t) else np.uint32) for b, t in zip(part.column(name).to_pylist(), tokens)]
+    owner = np.concatenate([x + np.uint32(k) for x, k in zip(short("owner"), base)])
+    return np.concatenate(tokens), owner, np.concatenate(short("place")), np.concatenate(infos)
+
+
+def largest_classes(rows: DataFrame) -> dict[bytes, int]:
+    """The smallest doc_id of each of the LARGEST classes by number of copies."""
+    sizes = rows.where("n > 0").groupBy("fp").agg(F.count("*").alias("k"), F.min("doc_id").alias("d")).where("k > 8 AND d IS NOT NULL")
+    return {bytes(r.fp): r.d for r in sizes.orderBy(F.col("k").desc(), "fp").limit(LARGEST).collect()}
+
+
+def postings(docs: DataFrame, classes: np.ndarray, total: int, largest: dict[bytes, int], size: int, percent: int) -> DataFrame:
+    """(g, d, n, l, pos, least): tokens that prefixes of two or more classes share; d stands for its class, pos is the
+    token's place in the global order of its set, least a lower bound of l in the token's list. ``total``: shingles."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(classes)  # CELLS bytes
-    buckets = max(shuffle_partitions(spark), 1)
+    usual = total / CELLS  # the mean load of a cell
+    heavy = min(255, math.ceil(math.log2(4 * usual + HEAVY) * 4))
+    counts = np.bincount(classes, minlength=256)
+    often = float((counts[heavy:] * np.exp2(np.arange(heavy, 256) / 4.0)).sum())
+    plain_buckets = max(1, math.ceil(total * SHARE / BUCKET_BYTES))
+    heavy_buckets = max(1, math.ceil(min(often, total) * SHARE / BUCKET_BYTES))
+    per = -(-(plain_buckets + heavy_buckets) // WAYS)
+    shared = spark.sparkContext.broadcast((classes, largest))  # CELLS bytes, at most LARGEST fingerprints
+
+    def buckets(t, lo):
+        often = shared.value[0][_cells(t)] >= heavy
+        return np.where(often, plain_buckets + (lo % np.uint64(heavy_buckets)).astype(np.int64), (t % np.uint64(plain_buckets)).astype(np.int64))
 
     def emit(parts):
+        table, here, tokens, owner, place, held = [], {}, [], [], [], 0
+
+        def flush():
+            nonlocal held
+            t, o, q, info = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place), np.array(table, np.int64)
+            for x in (table, here, tokens, owner, place):
+                x.clear()
+            held = 0
+            return pack_tokens(buckets(t, info[o, 1].view(np.uint64)) // per, t, o, q, info)
+
+        classes, largest = shared.value
         for part in parts:
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for a, b in batches(texts, 1 << 23):
-                table, tokens, owner, place, here = [], [], [], [], set()
-                sets = [(i, s) for i, s in zip(ids[a:b], shingle_sets(texts[a:b], size)) if len(s) and i is not None]
-                for doc_id, s in sorted(sets, key=lambda x: x[0]):
+            for a, b, texts in slices(part.column(1), CHARS):
+                for doc_id, s in zip(part.column(0)[a:b].to_pylist(), shingle_sets(texts, size)):
+                    if doc_id is None or not len(s):
+                        continue
                     fp = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                    if fp in here:  # a copy of a smaller doc_id
+                    if largest.get(fp, doc_id) < doc_id:  # a copy
+                        continue
+                    if fp in here:  # the smallest doc_id stands for the class
+                        row = table[here[fp]]
+                        row[0] = min(row[0], doc_id)
                         continue
-                    here.add(fp)
-                    prefix, l = choose_prefix(s, shared.value, usual, percent)
+                    here[fp] = len(table)
+                    prefix, l = choose_prefix(s, classes, usual, percent)
                     owner.append(np.full(len(prefix), len(table), np.uint32))
-                    place.append(np.arange(len(prefix), dtype=np.uint16 if len(prefix) < 1 << 16 else np.uint32))
+                    place.append(np.arange(len(prefix), dtype=np.uint32))
                     tokens.append(prefix)
-                    table.append((doc_id, int.from_bytes(fp[:8], "little", signed=True), len(s), l))
-                if not table:
-                    continue
-                t, o, q = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
-                bucket = (t % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                t, o, q, cuts = t[order], o[order], q[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                info = np.array(table, np.int64)
-                rows = ([], [], [], [], [])
-                for k in range(buckets):
-                    x, y, z = (v[cuts[k] : cuts[k + 1]] for v in (t, o, q))
-                    if len(x):
-                        used, y = np.unique(y, return_inverse=True)
-                        y = y.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32)
-                        for r, v in zip(rows, (k, info[used].tobytes(), x.tobytes(), y.tobytes(), z.tobytes())):
-                            r.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "info", "tokens", "owner", "place"])
+                    table.append([doc_id, *np.frombuffer(fp, np.int64).tolist(), len(s), l])
+                    held += len(prefix)
+                    if held >= FLUSH:
+                        yield flush()
+        if table:
+            yield flush()
+        give_back()
+
+    def split(parts):
+        """From coarse buckets to buckets."""
+        for part in parts:
+            if part.num_rows:
+                t, o, q, info = unpack_tokens(part)
+                yield pack_tokens(buckets(t, info[o, 1].view(np.uint64)), t, o, q, info)
+        give_back()
 
     def gather(part: pa.Table) -> pa.Table:
-        infos = [np.frombuffer(b, np.int64).reshape(-1, 4) for b in part.column("info").to_pylist()]
-        base = np.cumsum([0, *map(len, infos)])
-        info = np.concatenate(infos)
-        tokens = [np.frombuffer(b, np.uint64) for b in part.column("tokens").to_pylist()]
-        short = lambda name: [np.frombuffer(b, np.uint16 if len(b) == 2 * len(t) else np.uint32).astype(np.int64) for b, t in zip(part.column(name).to_pylist(), tokens)]
-        o = np.concatenate([x + k for x, k in zip(short("owner"), base)])
-        pos, t = np.concatenate(short("place")), np.concatenate(tokens)
+        every = part.column("bucket")[0].as_py() >= plain_buckets
+        t, o, pos, info = unpack_tokens(part)
         # Copies: the smallest doc_id of a fingerprint stands for it.
-        _, cls = np.unique(info[:, 1], return_inverse=True)
-        order = np.lexsort((info[:, 0], cls))
-        first = np.concatenate(([True], cls[order][1:] != cls[order][:-1]))
-        rep = np.empty(cls.max() + 1, np.int64)
-        rep[cls[order][first]] = order[first]
+        order = np.lexsort((info[:, 0], info[:, 2], info[:, 1]))
+        keys = info[order][:, 1:3]
+        first = np.concatenate(([True], (keys[1:] != keys[:-1]).any(1)))
+        cls = np.empty(len(info), np.uint32)
+        cls[order] = np.cumsum(first) - 1
+        rep = order[first]
         c = cls[o]
         order = np.lexsort((c, t))
         t, c, pos = t[order], c[order], pos[order]
-        fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
-        t, c, pos = t[fresh], c[fresh], pos[fresh]
-        start = np.concatenate(([True], t[1:] != t[:-1]))
-        many = np.diff(np.append(np.flatnonzero(start), len(t)))
-        keep = np.repeat(many, many) > 1
-        row = info[rep[c[keep]]]
-        return pa.table([pa.array(t[keep].view(np.int64)), pa.array(row[:, 0]), pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["g", "d", "n", "l", "pos"])
-
-    packed = _base(docs).mapInArrow(emit, "bucket int, info binary, tokens binary, owner binary, place binary")
-    out = materialise(packed.groupBy("bucket").applyInArrow(gather, "g long, d long, n int, l int, pos int"), "jaccard-postings")
+        kept = np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+        t, c, pos = t[kept], c[kept], pos[kept]
+        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        many = np.diff(np.append(start, len(t)))
+        row = info[rep[c]]
+        least = np.repeat(np.minimum.reduceat(row[:, 4], start), many)
+        if every:  # other buckets have more of the list
+            least[:] = 1
+        keep = np.repeat(many, many) > (0 if every else 1)
+        row, cut = row[keep], lambda x: pa.array(x[keep].astype(np.int32))
+        return pa.table([pa.array(t[keep].view(np.int64)), pa.array(row[:, 0]), pa.array(row[:, 3].astype(np.int32)), pa.array(row[:, 4].astype(np.int32)), cut(pos), cut(least)], names=["g", "d", "n", "l", "pos", "least"])
+
+    packed = _base(docs).mapInArrow(emit, PACKED)
+    if per > 1:
+        packed = packed.repartition("bucket").mapInArrow(split, PACKED)
+    out = materialise(packed.groupBy("bucket").applyInArrow(gather, "g long, d long, n int, l int, pos int, least int"), "jaccard-postings")
     shared.destroy()
-    tidy(spark)
     return out
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) that link. texts: (doc_id, text). Groups of at most about GROUP texts meet one partner."""
-    salts = pairs.groupBy("x").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    """The pairs (x, y) that link. pairs: (x, y, n), n shingles in y; texts: (doc_id, text). Groups of texts with at most
+    about GROUP shingles meet one partner, whose sets are all that a task keeps of it; texts stream by."""
+    salts = pairs.groupBy("x").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("salts"))
     salted = pairs.join(salts, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("salts")).cast("int")).select("x", "y", "salt")
-    left = salted.join(texts.select(F.col("doc_id").alias("y"), "text"), "y").select("x", "salt", "y", "text")
-    right = salts.join(texts.select(F.col("doc_id").alias("x"), "text"), "x")
-    right = right.select(F.col("x").alias("rx"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("rsalt"), F.col("text").alias("rtext"))
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: tuple[list, list] = ([], [])
-        if a.num_rows and b.num_rows:
-            x = a.column("x")[0].as_py()
-            ones = shingle_sets(b.column("rtext").to_pylist(), size)
-            ys, texts = a.column("y").to_pylist(), a.column("text").to_pylist()
-            for lo, hi in batches(texts, 1 << 21):
-                for y, s in zip(ys[lo:hi], shingle_sets(texts[lo:hi], size)):
-                    for o in ones:
-                        both = len(np.intersect1d(s, o, assume_unique=True))
-                        if 100 * both >= percent * (len(s) + len(o) - both):
-                            out[0].append(x), out[1].append(y)
+    left = salted.join(texts.select(F.col("doc_id").alias("y"), "text"), "y").select("x", "salt", "y", F.lit(1).alias("kind"), "text")
+    right = salts.select("x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.select(F.col("doc_id").alias("x"), "text"), "x")
+    right = right.select("x", "salt", F.col("x").alias("y"), F.lit(0).alias("kind"), "text")
+    both = left.unionByName(right).repartition("x", "salt").sortWithinPartitions("x", "salt", "kind")
+
+    def compare(parts):
+        key, ones = None, []  # the sets of the current partner, several where rows share its doc_id
+        for part in parts:
+            xs, salts, ys, kinds = (part.column(i).to_pylist() for i in range(4))
+            for a, b, texts in slices(part.column(4), CHARS):
+                out: tuple[list, list] = ([], [])
+                for i, s in zip(range(a, b), shingle_sets(texts, size)):
+                    if not kinds[i]:
+                        ones = [*ones, s] if key == (xs[i], salts[i]) else [s]
+                        key = (xs[i], salts[i])
+                        continue
+                    for o in ones if key == (xs[i], salts[i]) else ():
+                        if 100 * min(len(s), len(o)) < percent * max(len(s), len(o)):
+                            continue
+                        shared = len(np.intersect1d(s, o, assume_unique=True))
+                        if 100 * shared >= percent * (len(s) + len(o) - shared):
+                            out[0].append(xs[i]), out[1].append(ys[i])
                             break
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["x", "y"])
+        give_back()
 
-    return left.groupBy("x", "salt").cogroup(right.groupBy("rx", "rsalt")).applyInArrow(compare, "x long, y long")
+    return both.mapInArrow(compare, "x long, y long")
 
 
 def components(links: DataFrame, name: str = "jaccard-components") -> DataFrame:
@@ -272,20 +381,20 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     scan = fingerprints(docs, size)
     rows = scan.where("n >= 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    lists = postings(docs, sketch_of(scan), total / CELLS, size, percent)
+    largest = largest_classes(rows)
+    lists = postings(docs, sketch_of(scan), total, largest, size, percent)
     need = F.lit(percent / 100.0)
 
     # A document with fewer shared tokens than any pair of its lists needs takes no part.
-    weakest = lists.groupBy("g").agg(F.min("l").alias("least"))
-    able = lists.join(weakest, "g").groupBy("d").agg(F.count("*").alias("k"), F.min("least").alias("least")).where("k >= least").select("d")
-    found = lists
-    lists = materialise(lists.join(able, "d", "left_semi"), "jaccard-lists")
+    found, own = lists, Window.partitionBy("d")
+    able = lists.withColumns({"k": F.count("*").over(own), "weakest": F.min("least").over(own)}).where("k >= weakest")
+    lists = materialise(able.select("g", "d", "n", "l", "pos"), "jaccard-lists")
     forget(found)
 
     # Round one: the best partner among the smallest documents of the lists.
     centre = lists.groupBy("g").agg(F.min("d").alias("x"))
     star = lists.join(centre, "g").where("d <> x").groupBy("x", F.col("d").alias("y")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    first = star.where(F.col("c") >= F.col("n") * (1 - need) * 0.25).groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x")).select("x", "y")
+    first = star.where(F.col("c") >= F.col("n") * (1 - need) * 0.25).groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n")
     wanted = lists.select(F.col("d").alias("doc_id")).distinct()
     texts = materialise(_base(docs).join(wanted, "doc_id", "left_semi"), "jaccard-texts")
     links = materialise(verify(first, texts, size, percent), "jaccard-links")
@@ -306,15 +415,18 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         seeds = [F.struct(F.lit(k).alias("seed"), F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn * PARTNERS + k))).alias("x")) for k in range(PARTNERS)]
         centres = busy.groupBy("g").agg(F.array(*seeds).alias("xs")).select("g", F.inline("xs")).select("g", "seed", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
         star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("seed", "x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("seed", "y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x")).select("x", "y").distinct()
+        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("seed", "y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n").distinct()
         more = materialise(more, "jaccard-partners")
         fresh = materialise(verify(more, texts, size, percent), "jaccard-links")
-        links = links.unionByName(fresh)
-        state = components(links)
-        gain = fresh.count() >= more.count() / 10
-        forget(open_, more)
-        open_ = unsettled(state)
-        if not gain:  # the rest is not alike enough to gain from more partners
+        gained = fresh.count()
+        if gained:
+            links = links.unionByName(fresh)
+            state = components(links)
+            before, open_ = open_, unsettled(state)
+            forget(before)
+        enough = gained < more.count() / 10
+        forget(more)
+        if enough:  # the rest is not alike enough to gain from more partners
             break
 
     # Last round: all pairs from different components that share enough prefix tokens.
@@ -323,8 +435,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
     inside = F.expr(f"a.pos < a.n - {both} + least(a.l, b.l) AND b.pos < b.n - {both} + least(a.l, b.l)")
     fits = (F.col("a.d") < F.col("b.d")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & inside
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & fits).groupBy(F.col("a.d").alias("x"), F.col("b.d").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("a.l", "b.l")).alias("l"))
-    pairs = pairs.where("c >= l").select("x", "y")
+    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & fits).groupBy(F.col("a.d").alias("x"), F.col("b.d").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("a.l", "b.l")).alias("l"), F.first("b.n").alias("n"))
+    pairs = pairs.where("c >= l").select("x", "y", "n")
     pairs = materialise(pairs, "jaccard-pairs")
     forget(open_, lists)
     more = materialise(verify(pairs, texts, size, percent), "jaccard-links")
@@ -332,9 +444,16 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     if more.take(1):
         state = components(links.unionByName(more))
 
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("d")).join(state, "d", "left").select("fp", F.coalesce("c", "d").alias("c"))
-    out = rows.join(classes, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+    # The largest classes, at most LARGEST, are joined by broadcast, so no hot fingerprint lands in one task.
+    spark = docs.sparkSession
+    top = F.broadcast(spark.createDataFrame(pa.table({"fp": pa.array(list(largest), pa.binary()), "d": pa.array(list(largest.values()), pa.int64())})))
+    label = F.coalesce("c", "d").alias("c")
+    worded = rows.where("n > 0 AND doc_id IS NOT NULL")
+    rest = worded.join(top, "fp", "left_anti")
+    classes = rest.groupBy("fp").agg(F.min("doc_id").alias("d")).join(state, "d", "left").select("fp", label)
+    large = F.broadcast(state.join(top, "d", "right").select("fp", label))
+    both = rest.join(classes, "fp").unionByName(worded.join(large, "fp")).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    return both.unionByName(rows.where("n = 0 OR doc_id IS NULL").selectExpr("doc_id", "n AS n_shingles", "IF(n = 0, doc_id, NULL) AS component_id"))
 
 
 ORACLE_SQL = f"""
