@@ -4,13 +4,14 @@ Points are put in order of falling level (levels follow a hash of vec_id), so le
 links are one flat array ``nbr{l}`` of n_l x width ints, -1 where empty. Points enter in batches: a beam search over
 the graph so far plus the batch itself gives candidates, links are chosen by the diversity rule (a candidate closer
 to a chosen neighbour than to the point is passed over, then free slots are filled by the nearest), and neighbours
-get the link back; full lists are pruned by the same rule. Searches run over a whole batch at once in numpy. Every row is
-indexed; equal vectors share one node with all their ids. Each shard's results are measured again in double
+get the link back; full lists are pruned by the same rule. Searches run over a whole batch at once in numpy. The graph
+works on float32 copies, less the median and over the median deviation of the shard's components, and on differences of
+vectors, so neither a common offset nor a huge row costs it its precision. Every row is indexed; equal vectors share one node with all their ids. Each shard's results are measured again in double
 precision on the original vectors and merged.
 
 Defined cases: vectors null, empty, zero or with null or non-finite components take no part. Vectors of other
 lengths are no candidates. All rows with the query's own vec_id are left out. With fewer than k candidates all are
-returned (a shard of up to ``EXACT`` nodes is scanned). Ties go to the smaller vec_id. An empty table gives no rows.
+returned (a shard of at most k + 1 nodes is looked at whole). Ties go to the smaller vec_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,20 +25,24 @@ M = 16
 EF_BUILD = 64
 EF_SEARCH = 160
 SHARD = 8_192
-BLOCK = 4_096
 BATCH = 256
-EXACT = 256
+FAR = 1e15  # float32 copies end here, so that squares don't overflow
 
 
-def _dist2(x: np.ndarray, sq: np.ndarray, nodes: np.ndarray, q: np.ndarray, q_sq: np.ndarray) -> np.ndarray:
+def _dist2(x: np.ndarray, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Squared distances of row i's nodes to q[i]."""
-    return np.maximum(sq[nodes] - 2 * np.matmul(x[nodes], q[:, :, None])[:, :, 0] + q_sq[:, None], 0)
+    d = x[nodes]
+    d -= q[:, None, :]
+    return np.einsum("bnd,bnd->bn", d, d)
 
 
-def _beam(x, sq, nbr, q, start, ef, expand=4):
+def _scaled(v: np.ndarray, centre: np.ndarray, scale: float) -> np.ndarray:
+    return np.clip((v - centre) / scale, -FAR, FAR).astype(np.float32)
+
+
+def _beam(x, nbr, q, start, ef, expand=4):
     """The ef nearest found for each row of q, from the node start[i]: distances and nodes (-1: none), nearest first."""
     b, n = len(q), len(nbr)
-    q_sq = (q * q).sum(1)
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True
     seen[np.arange(b), start] = True
@@ -45,7 +50,7 @@ def _beam(x, sq, nbr, q, start, ef, expand=4):
     node = np.full((b, ef), -1, np.int32)
     done = np.ones((b, ef), bool)
     node[:, 0], done[:, 0] = start, False
-    dist[:, 0] = _dist2(x, sq, start[:, None], q, q_sq)[:, 0]
+    dist[:, 0] = _dist2(x, start[:, None], q)[:, 0]
     live = np.arange(b)
     while len(live):
         open_ = ~done[live]
@@ -69,7 +74,7 @@ def _beam(x, sq, nbr, q, start, ef, expand=4):
         if not width:
             continue
         to = np.sort(to, axis=1)[:, :width]
-        d = _dist2(x, sq, np.minimum(to, n - 1), q[live], q_sq[live])
+        d = _dist2(x, np.minimum(to, n - 1), q[live])
         d[to == n] = np.inf
         all_d = np.concatenate((dist[live], d), axis=1)
         all_n = np.concatenate((node[live], np.where(to == n, -1, to).astype(np.int32)), axis=1)
@@ -79,10 +84,12 @@ def _beam(x, sq, nbr, q, start, ef, expand=4):
     return dist, node
 
 
-def _choose(x, d, cand, width):
-    """Links by the diversity rule; d, cand: nearest first, -1 where empty. Then the nearest fill free slots."""
+def _choose(x, own, d, cand, width):
+    """Links of the points ``own`` by the diversity rule; d, cand: nearest first, -1 where empty. Then the nearest fill free
+    slots."""
     b, c = cand.shape
     v = x[np.maximum(cand, 0)]
+    v -= own[:, None, :]
     sq = (v * v).sum(2)
     between = sq[:, :, None] + sq[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     near = np.full((b, c), np.inf, np.float32)
@@ -101,7 +108,7 @@ def _choose(x, d, cand, width):
     return out
 
 
-def _link_back(x, sq, nbr, new, width):
+def _link_back(x, nbr, new, width):
     """Give each neighbour of the points ``new`` the link back; a full list is cut to three quarters by the rule."""
     to, frm = nbr[new].ravel(), np.repeat(new, width)
     ok = to >= 0
@@ -123,12 +130,12 @@ def _link_back(x, sq, nbr, new, width):
         cand = np.concatenate((nbr[part], extra), axis=1)
         cand = -np.sort(-cand, axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-        d = _dist2(x, sq, np.maximum(cand, 0), x[part], sq[part])
+        d = _dist2(x, np.maximum(cand, 0), x[part])
         d[(cand < 0) | (cand == part[:, None])] = np.inf
         order = np.argsort(d, axis=1)
         d, cand = np.take_along_axis(d, order, axis=1), np.take_along_axis(cand, order, axis=1)
         cand[np.isinf(d)] = -1
-        kept = _choose(x, d, cand, width - width // 4)
+        kept = _choose(x, x[part], d, cand, width - width // 4)
         nbr[part] = -1
         nbr[part, : kept.shape[1]] = kept
 
@@ -150,9 +157,11 @@ def build(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
     nodes = nodes[order]
     lists = [ids[by_node[starts[i] : starts[i + 1]]] for i in order]
     out = {"v": nodes, "ids": np.concatenate(lists), "id_starts": np.concatenate(([0], np.cumsum([len(a) for a in lists]))).astype(np.int64)}
-    scale = np.abs(nodes).max() or 1.0
-    x = (nodes / scale).astype(np.float32)
-    sq = (x * x).sum(1)
+    centre = np.median(nodes, axis=0) if len(nodes) else np.zeros(nodes.shape[1])
+    spread = np.abs(nodes - centre)
+    scale = np.median(spread) or spread.max() or 1.0
+    x = _scaled(nodes, centre, scale)
+    out |= {"centre": centre, "scale": np.array([scale])}
     levels = int(level[0]) if len(level) else 0
     graphs: list[np.ndarray] = []
     for l in range(levels, -1, -1):
@@ -166,47 +175,45 @@ def build(ids: np.ndarray, v: np.ndarray) -> dict[str, np.ndarray]:
             q = x[new]
             if at < max(upper, BATCH):
                 cand = np.broadcast_to(np.arange(at, dtype=np.int32), (size, at))
-                d = _dist2(x, sq, cand, q, sq[new]) if at else np.zeros((size, 0), np.float32)
+                d = _dist2(x, cand, q) if at else np.zeros((size, 0), np.float32)
             else:
-                d, cand = _beam(x[:at], sq[:at], nbr[:at], q, _descend(x, sq, graphs, q), EF_BUILD)
-            near = np.maximum(sq[new][:, None] + sq[new][None, :] - 2 * q @ q.T, 0)
+                d, cand = _beam(x[:at], nbr[:at], q, _descend(x, graphs, q), EF_BUILD)
+            near = _dist2(x, np.broadcast_to(new, (size, size)), q)
             near[np.triu_indices(size)] = np.inf  # earlier points of the batch only
             d = np.concatenate((d, near), axis=1)
             cand = np.concatenate((cand, np.broadcast_to(new.astype(np.int32), (size, size))), axis=1)
             keep = np.argsort(d, axis=1, kind="stable")[:, :EF_BUILD]
             d, cand = np.take_along_axis(d, keep, axis=1), np.take_along_axis(cand, keep, axis=1)
             cand = np.where(np.isinf(d), -1, cand)
-            links = _choose(x, d, cand, M)
+            links = _choose(x, q, d, cand, M)
             nbr[new, : links.shape[1]] = links
-            _link_back(x, sq, nbr, new, width)
+            _link_back(x, nbr, new, width)
             at += size
         graphs.append(nbr)
     return out | {f"nbr{levels - i}": g for i, g in enumerate(graphs)}
 
 
-def _descend(x, sq, graphs, q):
+def _descend(x, graphs, q):
     """Start nodes for the level below ``graphs`` (highest level first)."""
     start = np.zeros(len(q), np.int64)
     for nbr in graphs:
-        _, node = _beam(x[: len(nbr)], sq[: len(nbr)], nbr, q, start, 4, expand=2)
+        _, node = _beam(x[: len(nbr)], nbr, q, start, 4, expand=2)
         start = node[:, 0].astype(np.int64)
     return start
 
 
 def search(t: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int = EF_SEARCH):
     v, ids, starts = t["v"], t["ids"], t["id_starts"]
-    scale = np.abs(v).max() or 1.0
-    x = (v / scale).astype(np.float32)
-    sq = (x * x).sum(1)
+    x = _scaled(v, t["centre"], t["scale"][0])
     graphs = [t[f"nbr{l}"] for l in range(sum(n.startswith("nbr") for n in t) - 1, -1, -1)]
     out: tuple[list, list, list] = ([], [], [])
     for lo in range(0, len(query_ids), BATCH):
         part = queries[lo : lo + BATCH]
-        if len(v) <= EXACT:
+        if len(v) <= k + 1:
             found = np.broadcast_to(np.arange(len(v)), (len(part), len(v)))
         else:
-            q = (part / scale).astype(np.float32)
-            found = _beam(x, sq, graphs[-1], q, _descend(x, sq, graphs[:-1], q), max(ef, k + 1))[1]
+            q = _scaled(part, t["centre"], t["scale"][0])
+            found = _beam(x, graphs[-1], q, _descend(x, graphs[:-1], q), max(ef, k + 1))[1]
         for q_id, q, near in zip(query_ids[lo : lo + BATCH].tolist(), part, found):
             near = near[near >= 0]
             d = np.sqrt(((v[near] - q) ** 2).sum(1))
@@ -223,6 +230,6 @@ def search(t: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray,
     return out
 
 
-def nearest(df: DataFrame, is_query, k: int = 10, shard_size: int = SHARD, block_size: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 10, shard_size: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found."""
-    return sharded_search(usable(df, zero_ok=False), is_query, build, search, k, False, "double", shard_size, block_size)
+    return sharded_search(usable(df, zero_ok=False), is_query, build, search, k, False, "double", shard_size)

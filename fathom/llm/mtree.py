@@ -26,7 +26,6 @@ from fathom.llm.vectors import sharded_search, usable
 PAGE = 256
 FANOUT = 16
 SHARD = 16_384
-BLOCK = 4_096
 SCALE = 1024.0
 
 
@@ -151,9 +150,9 @@ def search(t: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray,
     return out
 
 
-def top_k(df: DataFrame, is_query, k: int = 10, shard_size: int = SHARD, block_size: int = BLOCK) -> DataFrame:
+def top_k(df: DataFrame, is_query, k: int = 10, shard_size: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k highest inner products; ``is_query``: a condition on vec_id."""
-    return sharded_search(usable(df, zero_ok=True), is_query, build, search, k, True, "long", shard_size, block_size)
+    return sharded_search(usable(df, zero_ok=True), is_query, build, search, k, True, "long", shard_size)
 
 
 def every(n: int):

@@ -1,8 +1,9 @@
 """Sharded vector search: what both searches (3, 7) share.
 
 Rows are dealt by a hash into shards of about ``shard_size`` vectors, each shard gets one index, written once to the
-shared folder. Queries are dealt into blocks of about ``block_size``. A task holds one shard's index and one block
-of queries, whatever the table's size; its k best for each query are merged by a window over shards x k rows.
+shared folder. An index moves once, to the task of its shard; queries go to every shard and stream through that task in
+Arrow batches, behind the index, so a task holds one index and one batch, whatever the table's size. The k best of each
+shard are merged by a window over shards x k rows for each query.
 Vectors of different lengths never meet. Each row is a vector of its own, repeated ids included.
 """
 
@@ -32,8 +33,9 @@ def usable(df: DataFrame, zero_ok: bool) -> DataFrame:
     return out.withColumn("dim", F.size("v"))
 
 
-def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def to_blob(arrays: dict[str, np.ndarray]) -> bytes:
@@ -47,11 +49,10 @@ def from_blob(blob: bytes) -> dict[str, np.ndarray]:
         return {k: z[k] for k in z.files}
 
 
-def sharded_search(vectors: DataFrame, is_query, build, search, k: int, descending: bool, score: str, shard_size: int, block_size: int) -> DataFrame:
+def sharded_search(vectors: DataFrame, is_query, build, search, k: int, descending: bool, score: str, shard_size: int) -> DataFrame:
     """``vectors``: from usable(). ``build(ids, matrix)`` gives the arrays of an index, ``search(arrays, query_ids,
     queries, k)`` gives lists of query_id, vec_id and score. Result: query_id, rank, vec_id, score."""
-    n, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, math.ceil(n / shard_size)), max(1, math.ceil(n_queries / block_size))
+    shards = max(1, math.ceil(vectors.count() / shard_size))
 
     def build_one(part: pa.Table) -> pa.Table:
         dim = part.column("dim")[0].as_py()
@@ -60,20 +61,26 @@ def sharded_search(vectors: DataFrame, is_query, build, search, k: int, descendi
 
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(shards)).cast("int"))
     index = materialise(dealt.groupBy("dim", "shard").applyInArrow(build_one, "dim int, shard int, index binary"), "vector-index")
-    queries = vectors.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(blocks)).cast("int"))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = vectors.where(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     kind = pa.int64() if score == "long" else pa.float64()
 
-    def search_one(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if left.num_rows and right.num_rows:
-            dim = right.column("dim")[0].as_py()
-            out = search(from_blob(left.column("index")[0].as_py()), right.column("vec_id").to_numpy(), matrix(right.column("v"), dim), k)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    hits = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search_one, HITS.format(score=score))
+    def search_all(parts):
+        arrays, at = {}, None
+        for part in parts:
+            dims, numbers, blobs = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
+            cuts = np.flatnonzero(np.concatenate(([True], (dims[1:] != dims[:-1]) | (numbers[1:] != numbers[:-1]), [True]))) if len(dims) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if blobs[a].is_valid:  # the shard's first row
+                    arrays, at = from_blob(blobs[a].as_py()), (dims[a], numbers[a])
+                    a += 1
+                if a < b and at == (dims[b - 1], numbers[b - 1]):
+                    out = search(arrays, part.column(2)[a:b].to_numpy(), matrix(part.column(4)[a:b], dims[b - 1]), k)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind)], names=["query_id", "vec_id", "score"])
+
+    rows = index.selectExpr("dim", "shard", "CAST(NULL AS long) AS vec_id", "index", "CAST(NULL AS array<double>) AS v")
+    rows = rows.unionByName(queries.selectExpr("dim", "shard", "vec_id", "CAST(NULL AS binary) AS index", "v"))
+    rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("index").isNull())
+    hits = rows.mapInArrow(search_all, HITS.format(score=score))
     best = F.col("score").desc() if descending else F.col("score").asc()
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(best, "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
