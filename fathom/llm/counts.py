@@ -7,7 +7,7 @@ and its piece count, never the pieces. Tie rule: among equal scores the piece th
 later one must be strictly better. A character that is no piece costs the lowest score less 10; neighbours of that
 kind count as one piece (or as their bytes, where the model falls back to bytes).
 
-Words repeat, so counts are kept in a bounded memo of each worker.
+Words repeat, so counts are kept in a memo of each worker, bounded in bytes; very long words are not kept.
 
 Defined cases: null, empty and blank texts have 0 words and 0 tokens; texts of any length are counted whole;
 repeated rows are counted once for each row; an empty table gives no rows; extra columns are ignored.
@@ -26,7 +26,9 @@ from fathom.llm.common import text_column
 
 MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
-MEMO = 500_000
+MEMO_BYTES = 64 << 20  # of a worker's memo
+ENTRY = 120
+LONGEST = 256  # characters of a word that is kept
 # White space by Unicode's property; Python's str.split() cuts at U+001C to U+001F too.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -48,6 +50,7 @@ class UnigramCounter(dict):
         import ahocorasick
 
         super().__init__()
+        self.held = 0
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             if piece:
@@ -95,7 +98,13 @@ class UnigramCounter(dict):
 
     def __missing__(self, word: str) -> int:
         s = word if word[0] == MARK else MARK + word
-        n = self[word] = sum(map(self.count, _MARKED.findall(s))) if MARK in word else self.count(s)
+        n = sum(map(self.count, _MARKED.findall(s))) if MARK in word else self.count(s)
+        if len(word) <= LONGEST:
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = n
+            self.held += ENTRY + 2 * len(word)
         return n
 
     def text(self, text: str) -> tuple[int, int]:
@@ -122,8 +131,6 @@ def token_counts(docs: DataFrame, model_path: str, byte_fallback: bool = False)
             n = np.zeros((2, part.num_rows), np.int64)
             for i, t in enumerate(part.column(1)):
                 n[:, i] = memo.text(t.as_py())
-                if len(memo) > MEMO:
-                    memo.clear()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n[0]), pa.array(n[1])], names=["doc_id", "n_words", "n_tokens"])
 
     return df.mapInArrow(count, "doc_id long, n_words long, n_tokens long")

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import materialise, shuffle_partitions, text_column
-from fathom.llm.tokens import batches, tokenizer
+from fathom.llm.common import give_back, materialise, shuffle_partitions, slices, text_column
+from fathom.llm.tokens import CHARS, tokenizer
 
 SEQ_LEN = 4096
 END_ID = 2
@@ -42,9 +42,9 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, order_by: lis
     def tokenize(parts):
         tok, pid, at = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         for part in parts:
-            ids_of, texts = part.column(0), part.column(1).to_pylist()
-            for a, b in batches(texts):
-                ids, n = tok.encode(texts[a:b])
+            ids_of = part.column(0)
+            for a, b, texts in slices(part.column(1), CHARS):
+                ids, n = tok.encode(texts)
                 ids = np.insert(ids, np.cumsum(n), end_id)
                 n = n + 1
                 ends = np.cumsum(n)
@@ -53,6 +53,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int, order_by: lis
                 cuts = np.concatenate(([0], ends)) * tok.dtype.itemsize
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, pid, np.int32)), pa.array(starts), ids_of[a:b], pa.array(n), blobs], names=["pid", "local_start", "doc_id", "n", "ids"])
+        give_back()
 
     return materialise(df.mapInArrow(tokenize, TOKENS), "packing")
 

@@ -18,13 +18,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import shared_folder, text_column
-from fathom.llm.tokens import batches, tokenizer
+from fathom.llm.common import give_back, shared_folder, slices, text_column
+from fathom.llm.tokens import CHARS, tokenizer
 
 SEQ_LEN = 2048
 ROWS = 128
@@ -93,9 +94,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         with fs.open_output_stream(f"{root}/{name}.ids.arrow") as a, fs.open_output_stream(f"{root}/{name}.docs.arrow") as b:
             out, docs_out = ShardWriter(a, tok.dtype, seq_len, rows), pa.ipc.new_stream(b, index)
             while part is not None:
-                texts = part.column(1).to_pylist()
-                for lo, hi in batches(texts):
-                    ids, n = tok.encode(texts[lo:hi])
+                for lo, hi, texts in slices(part.column(1), CHARS):
+                    ids, n = tok.encode(texts)
                     out.add(np.insert(ids, np.cumsum(n), end_id))
                     n = n + 1
                     docs_out.write_batch(pa.RecordBatch.from_arrays([part.column(0)[lo:hi], pa.array(at + np.cumsum(n) - n), pa.array(n)], schema=index))
@@ -103,6 +103,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 part = next(parts, None)
             out.close()
             docs_out.close()
+        give_back()
         yield pa.RecordBatch.from_pydict({"pid": pa.array([context.partitionId()], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [at]})
 
     return df.mapInArrow(write, MANIFEST)
@@ -118,6 +119,16 @@ class ShardReader:
         self.ids, self.docs = source(f"{path}.ids.arrow"), source(f"{path}.docs.arrow")
         self.at: tuple[int, int, int] | None = None
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+    def close(self) -> None:
+        self.ids.close()
+        self.docs.close()
+
     def id_batches(self):
         for batch in pa.ipc.open_stream(self.ids):
             ids, mask = batch.column(0).flatten().to_numpy(), batch.column(1).flatten()
@@ -165,18 +176,21 @@ def read_documents(spark: SparkSession, folder: str, manifest: list) -> DataFram
                 if k >= n:
                     continue
                 name, before = base[k]
-                shard = ShardReader(folder, name)
-                source, held = shard.id_batches(), np.zeros(0, np.uint32)
-                for docs in shard.doc_batches():
-                    crc = []
-                    for size in docs.column(2).to_pylist():
-                        while len(held) < size:
-                            ids, mask = next(source)
-                            held = np.concatenate((held, ids[: pa.compute.sum(mask).as_py()].astype("<u4")))
-                        crc.append(zlib.crc32(held[:size].tobytes()))
-                        held = held[size:]
-                    starts = docs.column(1).to_numpy() + before
-                    yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts), docs.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                with ShardReader(folder, name) as shard:
+                    source, held = shard.id_batches(), np.zeros(0, np.uint32)
+                    for docs in shard.doc_batches():
+                        found = []
+                        for size in docs.column(2).to_pylist():
+                            crc = 0
+                            while size:  # batch by batch: no document is held whole
+                                if not len(held):
+                                    ids, mask = next(source)
+                                    held = ids[: pc.sum(mask).as_py()]
+                                crc = zlib.crc32(held[:size].astype("<u4").tobytes(), crc)
+                                size, held = max(size - len(held), 0), held[size:]
+                            found.append(crc)
+                        starts = docs.column(1).to_numpy() + before
+                        yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts), docs.column(2), pa.array(found, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return todo.mapInArrow(read, ROWS_BACK)
 
@@ -184,4 +198,11 @@ def read_documents(spark: SparkSession, folder: str, manifest: list) -> DataFram
 def export_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN, rows: int = ROWS) -> tuple[str, list]:
     """Write the files; gives the folder and the manifest, a row for each shard."""
     folder = folder or shared_folder(docs.sparkSession, "token-shards")
-    return folder, write_shards(docs, folder, tokenizer_path, end_id, seq_len, rows).collect()
+    manifest = write_shards(docs, folder, tokenizer_path, end_id, seq_len, rows).collect()
+    if manifest:  # what failed attempts left goes
+        fs, root = open_fs(folder)
+        names = {f"{m['name']}.{kind}.arrow" for m in manifest for kind in ("ids", "docs")}
+        for info in fs.get_file_info(pafs.FileSelector(root)):
+            if info.base_name.startswith("shard-") and info.base_name not in names:
+                fs.delete_file(info.path)
+    return folder, manifest

@@ -1,4 +1,5 @@
-"""Exact token ids of whole texts by the ``tokenizers`` library, with a bounded memo of space-separated pieces.
+"""Exact token ids of whole texts by the ``tokenizers`` library, with a memo of space-separated pieces that is
+bounded in bytes.
 
 Long corpora repeat their words, so most of a text's ids can be taken from a memo. A text is cut only where the
 tokenizer itself always cuts, which is read off its own definition:
@@ -33,6 +34,10 @@ _TAIL_CODES = {c: i for i, c in enumerate(_TAIL_CHARS)}
 # Not U+0130, whose lower case is a letter and a mark.
 _LETTER_END = "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{24F}]$"
 _RUNS = re.compile(r"\s*\S+|\s+")
+CHARS = 1 << 22  # of text that is encoded at once
+MEMO_BYTES = 48 << 20  # of a memo's pieces and ids, with what Python needs for each
+ENTRY = 200
+LONGEST = 256  # characters of a piece that is kept
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -44,7 +49,7 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class PieceTokenizer:
     """Little-endian ids of texts: uint16 where the vocabulary fits, else uint32."""
 
-    def __init__(self, path: str, memo_size: int = 300_000):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,7 +63,7 @@ class PieceTokenizer:
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # the memo before the last renewal: what is used again comes back from it
-        self.memo_size = memo_size
+        self.memo_bytes, self.held = memo_bytes, 0
         self.marks = self._marks(spec, "\u0120")
         self.breaks = self._marks(spec, "\u010a")
         self.tails = self._ids(list(_TAIL_CHARS)) if self.mode != "whole" else []
@@ -113,8 +118,8 @@ class PieceTokenizer:
 
     def _blobs(self, pieces: list[str], encode) -> list[bytes]:
         """Ids of distinct pieces, from the memo or by ``encode``."""
-        if len(self.memo) > self.memo_size:
-            self.old, self.memo = self.memo, {}
+        if self.held > self.memo_bytes:
+            self.old, self.memo, self.held = self.memo, {}, 0
         memo, old = self.memo, self.old
         out = list(map(memo.get, pieces))
         new = []
@@ -125,10 +130,14 @@ class PieceTokenizer:
                 new.append(i)
             else:
                 out[i] = memo[p] = b
+                self.held += ENTRY + len(p) + len(b)
         if new:
             words = [pieces[i] for i in new]
             for i, w, b in zip(new, words, encode(words)):
-                out[i] = memo[w] = b
+                out[i] = b
+                if len(w) <= LONGEST:
+                    memo[w] = b
+                    self.held += ENTRY + len(w) + len(b)
         return out
 
     def _either(self, words: list[str], by: str) -> list[bytes]:
@@ -255,7 +264,7 @@ def tokenizer(path: str) -> PieceTokenizer:
     return _LOADED[path]
 
 
-def batches(texts: list[str], chars: int = 1 << 23):
+def batches(texts: list[str], chars: int = CHARS):
     """Index ranges of about ``chars`` characters, so a memo refill and its id arrays stay small."""
     start = size = 0
     for i, t in enumerate(texts):
