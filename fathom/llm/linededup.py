@@ -11,8 +11,9 @@ of lines does not count as earlier for the pair that starts at its second line.
 
 The table of rolling hashes is thin and made straight from the scan. Its repeats are found by an aggregation with
 map-side combine and written, so the join that tells them to the places has plain inputs and Spark splits its hot keys.
-Bytes are compared by grouping (line hash, line): one row for each distinct line and task. Should two lines share a hash,
-their pairs are decided by text in a join of their own. No row carries its document's lines along.
+Documents are shuffled once, to their chunks, and written. Bytes are compared from there, by grouping (line hash, line)
+of the lines of all repeated pairs, first places included: one row for each distinct line and task. Should two lines
+share a hash, their pairs are decided by text in a join of their own. No row carries its document's lines along.
 
 Defined cases: null text is empty; an empty text is one empty line; a text that is removed whole becomes empty and
 its row stays; rows with equal doc_id and text are one document, so neither is the other's copy; null doc_ids come
@@ -57,48 +58,53 @@ PLACE = "struct(doc_id IS NOT NULL AS known, doc_id, dh, i)"
 EARLIER = f"{PLACE} <> first AND NOT (two = 1 AND doc_id <=> first.doc_id AND dh = first.dh AND i = first.i + 1)"
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, dh, chunks): the chunks (s, e: first and last line) of a document that repeat an earlier place; dh is the
-    hash of its text."""
+def chunks_of(marked: DataFrame) -> DataFrame:
+    """(doc_id, dh, chunks, members) of places (doc_id, dh, i, two, copy): chunks (s, e: first and last line) of pairs with
+    copy that share a line, members: the lines of all. A document's rows: as many as its lines."""
+    own = Window.partitionBy("doc_id", "dh").orderBy("i", F.col("two").desc())
+    before = F.max(F.expr("IF(copy, i + two, NULL)")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    edges = marked.withColumn("new", F.when(F.col("copy") & (before.isNull() | (F.col("i") > before)), 1).otherwise(0))
+    edges = edges.withColumn("k", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = edges.groupBy("doc_id", "dh", "k").agg(F.expr("min(IF(copy, i, NULL)) AS s"), F.expr("max(IF(copy, i + two, NULL)) AS e"), F.expr("array_union(collect_set(i), collect_set(i + two)) AS m"))
+    chunk = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
+    return runs.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"), F.array_distinct(F.flatten(F.collect_list("m"))).alias("members"))
+
+
+def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
+    """The columns of ``docs`` as c0, c1, ... with text (what is left), n_lines, n_chunks, dropped (chunks)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text")).withColumn("dh", F.xxhash64("text"))
     thin = materialise(pairs(keyed), "line-pairs")
     repeats = thin.groupBy(*KEY).agg(F.expr(f"min({PLACE})").alias("first"), F.expr(f"max({PLACE})").alias("last")).where("first <> last").drop("last")
     repeats = materialise(repeats, "line-repeats")
+    places = ["doc_id", "dh", "i", "two", f"{EARLIER} AS copy"]
+    own = [f"c{i}" for i in range(len(docs.columns))]
+
+    def told(marked: DataFrame) -> DataFrame:
+        """Documents with their chunks."""
+        df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("full"))
+        same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.dh") == F.col("y.dh"))
+        df = df.withColumn("dh", F.xxhash64("full")).alias("x").join(chunks_of(marked).alias("y"), same, "left")
+        return materialise(df.select(*own, "full", "chunks", "members"), "line-documents")
+
+    df = told(thin.join(repeats, KEY).selectExpr(*places))
     # Byte comparison: a hash that stands for one line only needs no more.
-    lines = split_lines(keyed, "text", "doc_id").selectExpr("explode(lines) AS line").selectExpr(f"{HASH.format('line')} AS a", "line")
+    lines = split_lines(df.where("members IS NOT NULL"), "full", "members").selectExpr("inline(transform(members, m -> struct(h[m] AS a, lines[m] AS line)))")
     shared = materialise(lines.distinct().groupBy("a").agg(F.count("*").alias("texts")).where("texts > 1").select("a"), "line-collisions")
     if shared.take(1):
         doubtful = thin.join(shared, "a", "left_semi").unionByName(thin.join(shared.select(F.col("a").alias("b")), "b", "left_semi")).select(*KEY).distinct()
-        plain = thin.join(doubtful, KEY, "left_anti").join(repeats, KEY)
+        plain = thin.join(doubtful, KEY, "left_anti").join(repeats, KEY).selectExpr(*places)
         by_text = materialise(pairs(keyed, bodies=True).join(doubtful, KEY, "left_semi"), "line-bodies")
         firsts = by_text.groupBy("two", "body").agg(F.expr(f"min({PLACE})").alias("first"))
-        columns = ["doc_id", "dh", "i", "two"]
-        copies = plain.where(EARLIER).select(*columns).unionByName(by_text.join(firsts, ["two", "body"]).where(EARLIER).select(*columns))
-    else:
-        copies = thin.join(repeats, KEY).where(EARLIER)
-    # Pairs that share a line make one chunk. A document's rows: as many as its lines.
-    edges = copies.select("doc_id", "dh", F.col("i").alias("s"), (F.col("i") + F.col("two")).alias("e"))
-    own = Window.partitionBy("doc_id", "dh").orderBy("s", F.col("e").desc())
-    before = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.withColumn("new", F.when(before.isNull() | (F.col("s") > before), 1).otherwise(0))
-    chunks = edges.withColumn("k", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "dh", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    found = materialise(chunks.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("chunks")), "line-chunks")
+        forget(df)
+        df = told(plain.unionByName(by_text.join(firsts, ["two", "body"]).selectExpr(*places)))
+        forget(by_text)
     forget(thin, repeats, shared)
-    return found
-
-
-def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
-    """The columns of ``docs`` as c0, c1, ... with text (what is left), n_lines, n_chunks, dropped (chunks)."""
-    found = repeated_chunks(docs)
-    own = [f"c{i}" for i in range(len(docs.columns))]
-    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("full"))
-    df = df.withColumn("dh", F.xxhash64("full")).alias("x").join(found.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.dh") == F.col("y.dh")), "left")
-    df = df.select(*own, "full", "chunks").selectExpr(*own, "full", "chunks", "inline(array(struct(split(full, '\n', -1) AS lines)))")
-    size = "octet_length(array_join(slice(lines, c.s + 1, c.e - c.s + 1), '\n'))"
+    df = df.selectExpr(*own, "full", "chunks", "inline(array(struct(split(full, '\\n', -1) AS lines)))")
+    size = "octet_length(array_join(slice(lines, c.s + 1, c.e - c.s + 1), '\\n'))"
     drop = f"filter(coalesce(chunks, array()), c -> (c.e - c.s + 1 >= {min_lines} AND {size} >= {min_bytes}) OR (c.e = c.s AND {size} >= {LONG}))"
     df = df.selectExpr(*own, "full", "lines", "coalesce(size(chunks), 0) AS n_chunks", f"inline(array(struct({drop} AS dropped)))")
     piece = "slice(lines, IF(k = 0, 0, dropped[k - 1].e + 1) + 1, IF(k = size(dropped), size(lines), dropped[k].s) - IF(k = 0, 0, dropped[k - 1].e + 1))"
-    left = f"array_join(flatten(transform(sequence(0, size(dropped)), k -> {piece})), '\n')"
+    left = f"array_join(flatten(transform(sequence(0, size(dropped)), k -> {piece})), '\\n')"
     return df.selectExpr(*own, f"IF(size(dropped) = 0, full, {left}) AS text", "size(lines) AS n_lines", "n_chunks", "dropped")
 
 
