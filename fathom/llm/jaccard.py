@@ -16,7 +16,8 @@ so a bucket has about BUCKET_BYTES, and over WAYS buckets tokens are dealt in tw
 two or more classes. Tokens that the sketch says are in very many documents are dealt by class instead and all kept,
 so no list has to be in one task. Groups of near copies would make all their pairs candidates, so verification has rounds. In the
 first every document meets its best partner among the smallest documents of its tokens' lists, and links become
-components. While lists still hold many components, their documents meet a few more partners each. In the last,
+components. While lists still hold many components, their documents meet
+another partner each. In the last,
 lists are looked at again, but only pairs from different components count, all of them: no link between components
 is lost, none inside one is needed. Texts are verified on (partner, salt) groups of bounded size. What goes to the
 driver is bounded: the sketch (CELLS bytes) and the fingerprints of the largest classes.
@@ -48,8 +49,7 @@ LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 _LENGTHS = np.array(LENGTHS)
 _COUNT = np.exp2(np.arange(256) / 4.0)
 CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
-TURNS = 3
-PARTNERS = 4
+TURNS = 4
 CROWD = 16
 GROUP = 1 << 18  # shingles of the texts that a verification task compares with one
 CHARS = 1 << 20  # of text that is cut into shingles at once
@@ -235,7 +235,7 @@ def postings(docs: DataFrame, classes: np.ndarray, total: int, largest: dict[byt
     spark = docs.sparkSession
     usual = total / CELLS  # the mean load of a cell
     heavy = min(255, math.ceil(math.log2(4 * usual + HEAVY) * 4))
-    counts = np.bincount(classes, minlength=256)
+    counts = sum(np.bincount(classes[k : k + (1 << 20)], minlength=256) for k in range(0, CELLS, 1 << 20))  # in parts, as they are copied
     often = float((counts[heavy:] * np.exp2(np.arange(heavy, 256) / 4.0)).sum())
     plain_buckets = max(1, math.ceil(total * SHARE / BUCKET_BYTES))
     heavy_buckets = max(1, math.ceil(min(often, total) * SHARE / BUCKET_BYTES))
@@ -400,7 +400,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = materialise(verify(first, texts, size, percent), "jaccard-links")
     state = components(links)
 
-    # While lists hold many components, their documents meet a few more partners each.
+    # While lists hold many components, their documents meet another partner each.
     def unsettled(state: DataFrame) -> DataFrame:
         labelled = lists.join(state, "d", "left").withColumn("c", F.coalesce("c", "d"))
         mixed = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
@@ -412,10 +412,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         if not crowded.take(1):
             break
         busy = open_.join(crowded, "g", "left_semi")
-        seeds = [F.struct(F.lit(k).alias("seed"), F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn * PARTNERS + k))).alias("x")) for k in range(PARTNERS)]
-        centres = busy.groupBy("g").agg(F.array(*seeds).alias("xs")).select("g", F.inline("xs")).select("g", "seed", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
-        star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("seed", "x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("seed", "y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n").distinct()
+        centre = F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn))).alias("x")
+        centres = busy.groupBy("g").agg(centre).select("g", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
+        star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n")
         more = materialise(more, "jaccard-partners")
         fresh = materialise(verify(more, texts, size, percent), "jaccard-links")
         gained = fresh.count()
