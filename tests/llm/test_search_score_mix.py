@@ -34,7 +34,7 @@ def brute(rows, k, score, best):
     return {q: [(best * s, i) for s, i in sorted(v)[:k]] for q, v in out.items()}
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_size": 200, "block_size": 3}])
+@pytest.mark.parametrize("limits", [{}, {"shard_size": 200}])
 def test_exact_search(spark, limits):
     df, rows = vectors(spark)
     product = lambda a, b: int((np.floor(1024 * np.array(a, float)) * np.floor(1024 * np.array(b, float))).sum())
@@ -54,7 +54,7 @@ def test_bounds_save_distances():
     assert counter["distances"] < 0.6 * 50 * len(v)
 
 
-@pytest.mark.parametrize("limits", [{}, {"shard_size": 200, "block_size": 3}])
+@pytest.mark.parametrize("limits", [{}, {"shard_size": 200}])
 def test_near_search(spark, limits):
     df, rows = vectors(spark)
     rows = [r for r in rows if any(r[1])]
@@ -69,20 +69,37 @@ def test_near_search(spark, limits):
     assert got[100] == expected[100]  # its nearest are equal vectors: ties by id
 
 
-def test_graph_recall():
+@pytest.mark.parametrize("offset, huge, n", [(0, 0, 3000), (1e4, 0, 3000), (1e9, 0, 1000), (0, 1e30, 1000), (0, 0, 200)])
+def test_graph_recall(offset, huge, n):
+    """Neither a common offset, nor a huge row, nor a small shard, which goes through the graph, too, hurts."""
     rng = np.random.default_rng(2)
-    v = rng.normal(size=(3000, 32))
-    t = hnsw.build(np.arange(3000), v)
-    q, c, _ = hnsw.search(t, np.arange(0, 3000, 30), v[::30], 10)
+    v = rng.normal(size=(n, 32)) + offset
+    if huge:
+        v[n // 2] = huge
+    t = hnsw.build(np.arange(n), v)
+    asked = [i for i in range(0, n, 30) if i != n // 2]
+    q, c, _ = hnsw.search(t, np.array(asked), v[asked], 10)
     found = defaultdict(set)
     for a, b in zip(q, c):
         found[a].add(b)
     hits = 0
-    for i in range(0, 3000, 30):
+    for i in asked:
         d = ((v - v[i]) ** 2).sum(1)
         d[i] = np.inf
         hits += len(found[i] & set(np.argsort(d)[:10].tolist()))
-    assert hits >= 0.9 * 1000
+    assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_search_moves_queries_only(spark):
+    """An index is read by the one task of its shard: neither a join nor a copy of it is in the plan."""
+    df, _ = vectors(spark, 400)
+    extra = df.withColumns({"index": F.lit("x"), "shard": F.lit(9), "query_id": F.lit(1), "meta.url": F.lit("y")})
+    out = mtree.top_k(extra, mtree.every(100), 3, shard_size=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate explode") == 1
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, mtree.top_k(df, mtree.every(100), 3).collect()))
+    near = hnsw.nearest(extra, mtree.every(100), 3, shard_size=100)
+    assert near.count() == out.count()
 
 
 def test_searches_of_empty_tables(spark):

@@ -35,7 +35,7 @@ def plain():
 
 @pytest.fixture(scope="module")
 def memo():
-    return {path: PieceTokenizer(path, memo_size=500) for path in (WORD, BYTE)}
+    return {path: PieceTokenizer(path, memo_bytes=100_000) for path in (WORD, BYTE)}
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
