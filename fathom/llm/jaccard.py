@@ -3,8 +3,8 @@
 A document's set holds the distinct hashes (64 bits) of its ``size``-word shingles; two link when
 100 |x n y| >= percent |x u y|. Equal sets form a class, which its smallest doc_id stands for.
 
-Candidates. Tokens have one global order: by the class (power of two) of their count in a sketch of all documents,
-rare first, then by hash. Let t = percent/100. If x and y link they share at least T = t/(1+t) (|x| + |y|) tokens, so for
+Candidates. Tokens have one global order: by the class (power of two above the noise) of their count in a sketch of
+all documents, rare first, then by hash. Let t = percent/100. If x and y link they share at least T = t/(1+t) (|x| + |y|) tokens, so for
 any l they share at least l within the first |x| - T + l tokens of x and |y| - T + l of y; T is at least t |x| and t |y|.
 Each document picks the l that makes (prefix length + |x|/8 x expected candidates / l) smallest, where the sketch tells
 how often its prefix tokens occur; a pair is verified when it shares min(l_x, l_y) tokens within those places. The
@@ -16,11 +16,11 @@ so a bucket has about BUCKET_BYTES, and over WAYS buckets tokens are dealt in tw
 two or more classes. Tokens that the sketch says are in very many documents are dealt by class instead and all kept,
 so no list has to be in one task. Groups of near copies would make all their pairs candidates, so verification has rounds. In the
 first every document meets its best partner among the smallest documents of its tokens' lists, and links become
-components. While lists still hold many components, their documents meet
-another partner each. In the last,
+components. While lists still hold many components, their documents
+meet a few more partners each. In the last,
 lists are looked at again, but only pairs from different components count, all of them: no link between components
 is lost, none inside one is needed. Texts are verified on (partner, salt) groups of bounded size. What goes to the
-driver is bounded: the sketch (CELLS bytes) and the fingerprints of the largest classes.
+driver is bounded: the sketch (CELLS / 2 bytes) and the fingerprints of the largest classes.
 
 Defined cases: null text, or text without words: n_shingles 0, linked with nothing; fewer words than ``size``: the
 whole sequence is the one shingle; repeated rows link with each other; rows with equal doc_id and other text each
@@ -47,10 +47,11 @@ CELLS = 1 << 25
 CHUNKS = 64
 LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 _LENGTHS = np.array(LENGTHS)
-_COUNT = np.exp2(np.arange(256) / 4.0)
+_COUNT = np.exp2(np.arange(16) - 0.5)  # in the middle of a class
 CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
-TURNS = 4
-CROWD = 16
+TURNS = 3
+PARTNERS = 4
+CROWD = 4
 GROUP = 1 << 18  # shingles of the texts that a verification task compares with one
 CHARS = 1 << 20  # of text that is cut into shingles at once
 FLUSH = 1 << 20  # tokens that a task packs at once
@@ -147,9 +148,15 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return materialise(_base(docs).mapInArrow(scan, "doc_id long, n long, fp binary"), "jaccard-fingerprints")
 
 
-def sketch_of(scan: DataFrame) -> np.ndarray:
-    """Log2 classes of counts by cell, bounded: CELLS bytes. A task's counts stop at 255, so they are lower bounds. Parts
-    of at most about FAN tasks are added in one group, and their sums again, until one sum is left."""
+def noise_of(total: int) -> float:
+    """Counts up to this are noise: the mean load of a cell four times, and some."""
+    return 4 * total / CELLS + 16
+
+
+def sketch_of(scan: DataFrame, noise: float) -> list[np.ndarray]:
+    """Classes of counts, half a byte for each cell (CELLS / 2 bytes, in parts): 0 up to ``noise``, then powers of two of it.
+    A task's counts stop at 255, so they are lower bounds. Parts of at most about FAN tasks are added in one group, and
+    their sums again, until one sum is left."""
     kinds = {-1: np.uint8, -8: np.int64}
 
     def add(part: pa.Table) -> np.ndarray:
@@ -162,7 +169,8 @@ def sketch_of(scan: DataFrame) -> np.ndarray:
         return pa.table({"doc_id": part.column("doc_id")[:1], "n": pa.array([-8], pa.int64()), "fp": pa.array([zlib.compress(add(part).tobytes(), 1)], pa.binary())})
 
     def whole(part: pa.Table) -> pa.Table:
-        classes = np.ceil(np.log2(np.maximum(add(part), 1)) * 4).astype(np.uint8)  # quarter powers
+        classes = np.clip(np.floor(np.log2(np.maximum(add(part), 1) / noise)) + 1, 0, 15).astype(np.uint8)
+        classes = classes[::2] | (classes[1::2] << 4)
         return pa.table({"k": part.column("doc_id")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
 
     parts = scan.where("n < 0")
@@ -172,23 +180,23 @@ def sketch_of(scan: DataFrame) -> np.ndarray:
         dealt = parts.withColumn("salt", F.floor(F.rand(most) * most))
         parts = materialise(dealt.groupBy("doc_id", "salt").applyInArrow(partial, "doc_id long, n long, fp binary"), "jaccard-sketch")
     rows = parts.groupBy("doc_id").applyInArrow(whole, "k long, classes binary").collect()
-    out = np.zeros(CELLS, np.uint8)
-    step = CELLS // CHUNKS
-    while rows:
-        r = rows.pop()
-        out[r.k * step : (r.k + 1) * step] = np.frombuffer(r.classes, np.uint8)
-    return out
+    known = {r.k: np.frombuffer(r.classes, np.uint8) for r in rows}
+    none = np.zeros(CELLS // CHUNKS // 2, np.uint8)
+    return [known.get(k, none) for k in range(CHUNKS)]
+
+
+def classes_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    cells = _cells(tokens)
+    return (sketch[cells >> 1] >> ((cells & 1) << 2).astype(np.uint8)) & 15
 
 
-def choose_prefix(tokens: np.ndarray, classes: np.ndarray, usual: float, percent: int) -> tuple[np.ndarray, int]:
-    """The document's prefix, in the global order, and its l. ``usual``: the mean load of a cell."""
+def choose_prefix(tokens: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
+    """The document's prefix, in the global order, and its l."""
     n = len(tokens)  # sorted
     need, need_equal = -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
-    own = classes[_cells(tokens)]
-    noise = math.log2(4 * usual + 16) * 4  # up to there counts are noise
-    order = np.argsort(np.where(own > noise, own >> 2, 0).astype(np.uint8), kind="stable")
-    own = own[order]
-    extra = np.cumsum(np.where(own > noise, _COUNT[own], 0) + CHANCE)
+    own = classes_of(tokens, sketch)
+    order = np.argsort(own, kind="stable")
+    extra = np.cumsum(np.where(own[order] > 0, _COUNT[own[order]] * noise, 0) + CHANCE)
     lengths = _LENGTHS[_LENGTHS <= need]
     cost = (n - need + lengths) + n / 8 * extra[n - need_equal + lengths - 1] / lengths  # partners of its own size are the most likely
     pick = int(lengths[cost.argmin()])
@@ -229,21 +237,20 @@ def largest_classes(rows: DataFrame) -> dict[bytes, int]:
     return {bytes(r.fp): r.d for r in sizes.orderBy(F.col("k").desc(), "fp").limit(LARGEST).collect()}
 
 
-def postings(docs: DataFrame, classes: np.ndarray, total: int, largest: dict[bytes, int], size: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, sketch: list[np.ndarray], noise: float, total: int, largest: dict[bytes, int], size: int, percent: int) -> DataFrame:
     """(g, d, n, l, pos, least): tokens that prefixes of two or more classes share; d stands for its class, pos is the
     token's place in the global order of its set, least a lower bound of l in the token's list. ``total``: shingles."""
     spark = docs.sparkSession
-    usual = total / CELLS  # the mean load of a cell
-    heavy = min(255, math.ceil(math.log2(4 * usual + HEAVY) * 4))
-    counts = sum(np.bincount(classes[k : k + (1 << 20)], minlength=256) for k in range(0, CELLS, 1 << 20))  # in parts, as they are copied
-    often = float((counts[heavy:] * np.exp2(np.arange(heavy, 256) / 4.0)).sum())
+    heavy = max(1, min(15, math.ceil(math.log2(1 + HEAVY / noise)) + 1))
+    counts = sum(np.bincount(part & 15, minlength=16) + np.bincount(part >> 4, minlength=16) for part in sketch)
+    often = float((counts[heavy:] * _COUNT[heavy:]).sum() * 2 * noise)
     plain_buckets = max(1, math.ceil(total * SHARE / BUCKET_BYTES))
     heavy_buckets = max(1, math.ceil(min(often, total) * SHARE / BUCKET_BYTES))
     per = -(-(plain_buckets + heavy_buckets) // WAYS)
-    shared = spark.sparkContext.broadcast((classes, largest))  # CELLS bytes, at most LARGEST fingerprints
+    shared = spark.sparkContext.broadcast((sketch, largest))  # CELLS / 2 bytes, at most LARGEST fingerprints
 
-    def buckets(t, lo):
-        often = shared.value[0][_cells(t)] >= heavy
+    def buckets(t, lo, sketch):
+        often = classes_of(t, sketch) >= heavy
         return np.where(often, plain_buckets + (lo % np.uint64(heavy_buckets)).astype(np.int64), (t % np.uint64(plain_buckets)).astype(np.int64))
 
     def emit(parts):
@@ -255,9 +262,9 @@ def postings(docs: DataFrame, classes: np.ndarray, total: int, largest: dict[byt
             for x in (table, here, tokens, owner, place):
                 x.clear()
             held = 0
-            return pack_tokens(buckets(t, info[o, 1].view(np.uint64)) // per, t, o, q, info)
+            return pack_tokens(buckets(t, info[o, 1].view(np.uint64), sketch) // per, t, o, q, info)
 
-        classes, largest = shared.value
+        sketch, largest = np.concatenate(shared.value[0]), shared.value[1]
         for part in parts:
             for a, b, texts in slices(part.column(1), CHARS):
                 for doc_id, s in zip(part.column(0)[a:b].to_pylist(), shingle_sets(texts, size)):
@@ -271,7 +278,7 @@ def postings(docs: DataFrame, classes: np.ndarray, total: int, largest: dict[byt
                         row[0] = min(row[0], doc_id)
                         continue
                     here[fp] = len(table)
-                    prefix, l = choose_prefix(s, classes, usual, percent)
+                    prefix, l = choose_prefix(s, sketch, noise, percent)
                     owner.append(np.full(len(prefix), len(table), np.uint32))
                     place.append(np.arange(len(prefix), dtype=np.uint32))
                     tokens.append(prefix)
@@ -285,10 +292,11 @@ def postings(docs: DataFrame, classes: np.ndarray, total: int, largest: dict[byt
 
     def split(parts):
         """From coarse buckets to buckets."""
+        sketch = np.concatenate(shared.value[0])
         for part in parts:
             if part.num_rows:
                 t, o, q, info = unpack_tokens(part)
-                yield pack_tokens(buckets(t, info[o, 1].view(np.uint64)), t, o, q, info)
+                yield pack_tokens(buckets(t, info[o, 1].view(np.uint64), sketch), t, o, q, info)
         give_back()
 
     def gather(part: pa.Table) -> pa.Table:
@@ -361,7 +369,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 def components(links: DataFrame, name: str = "jaccard-components") -> DataFrame:
     """(d, c): for every end of a link the smallest one reachable. Labels move to neighbours and to their labels'
     labels until none changes; each round is written, so the lineage stays short."""
-    both = materialise(links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(links.select(F.col("y").alias("a"), F.col("x").alias("b"))).distinct(), name)
+    both = links.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(links.select(F.col("y").alias("a"), F.col("x").alias("b")))
     state = both.groupBy(F.col("a").alias("d")).agg(F.least(F.min("b"), F.first("a")).alias("c"))
     state = materialise(state, name)
     while True:
@@ -372,7 +380,6 @@ def components(links: DataFrame, name: str = "jaccard-components") -> DataFrame:
         state = step.select("d", "c")
         forget(before)
         if not step.where("old <> c").take(1):
-            forget(both)
             return state
 
 
@@ -382,7 +389,9 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     rows = scan.where("n >= 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
     largest = largest_classes(rows)
-    lists = postings(docs, sketch_of(scan), total, largest, size, percent)
+    noise = noise_of(total)
+    lists = postings(docs, sketch_of(scan, noise), noise, total, largest, size, percent)
+    give_back()
     need = F.lit(percent / 100.0)
 
     # A document with fewer shared tokens than any pair of its lists needs takes no part.
@@ -400,7 +409,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     links = materialise(verify(first, texts, size, percent), "jaccard-links")
     state = components(links)
 
-    # While lists hold many components, their documents meet another partner each.
+    # While lists hold many components, their documents meet a few more partners each.
     def unsettled(state: DataFrame) -> DataFrame:
         labelled = lists.join(state, "d", "left").withColumn("c", F.coalesce("c", "d"))
         mixed = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
@@ -412,10 +421,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         if not crowded.take(1):
             break
         busy = open_.join(crowded, "g", "left_semi")
-        centre = F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn))).alias("x")
-        centres = busy.groupBy("g").agg(centre).select("g", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
-        star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
-        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n")
+        seeds = [F.struct(F.lit(k).alias("seed"), F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn * PARTNERS + k))).alias("x")) for k in range(PARTNERS)]
+        centres = busy.groupBy("g").agg(F.array(*seeds).alias("xs")).select("g", F.inline("xs")).select("g", "seed", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
+        star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("seed", "x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
+        more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("seed", "y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n").distinct()
         more = materialise(more, "jaccard-partners")
         fresh = materialise(verify(more, texts, size, percent), "jaccard-links")
         gained = fresh.count()
