@@ -52,6 +52,7 @@ CHANCE = 0.3  # candidates that a token brings by chance, for the cost estimate
 TURNS = 3
 PARTNERS = 4
 CROWD = 4
+LAST = 8
 GROUP = 1 << 18  # shingles of the texts that a verification task compares with one
 CHARS = 1 << 20  # of text that is cut into shingles at once
 FLUSH = 1 << 20  # tokens that a task packs at once
@@ -439,12 +440,14 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
             break
 
     # Last round: all pairs from different components that share enough prefix tokens.
-    # A pair that links shares at least ``both`` tokens, and so ``least`` of them within these places of either set.
+    # A pair that links shares at least ``both`` tokens, and so, for any l, l of them within the first n - both + l places of
+    # either set. Here l is LAST at most: a longer prefix drops few more pairs, but each pair would make a row for each token.
     a, b = open_.alias("a"), open_.alias("b")
     both = f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
-    inside = F.expr(f"a.pos < a.n - {both} + least(a.l, b.l) AND b.pos < b.n - {both} + least(a.l, b.l)")
+    l = f"least(a.l, b.l, {LAST})"
+    inside = F.expr(f"a.pos < a.n - {both} + {l} AND b.pos < b.n - {both} + {l}")
     fits = (F.col("a.d") < F.col("b.d")) & (F.col("a.c") != F.col("b.c")) & (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & inside
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & fits).groupBy(F.col("a.d").alias("x"), F.col("b.d").alias("y")).agg(F.count("*").alias("c"), F.first(F.least("a.l", "b.l")).alias("l"), F.first("b.n").alias("n"))
+    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & fits).groupBy(F.col("a.d").alias("x"), F.col("b.d").alias("y")).agg(F.count("*").alias("c"), F.first(F.expr(l)).alias("l"), F.first("b.n").alias("n"))
     pairs = pairs.where("c >= l").select("x", "y", "n")
     pairs = materialise(pairs, "jaccard-pairs")
     forget(open_, lists)
