@@ -236,10 +236,10 @@ for _depth in (3, 5):
     query(f"cycles_layered_d{_depth}", f"{cycle_sql(_depth)} SELECT {CYCLE} FROM found")(lambda spark, d, depth=_depth: texts(found(spark, d, depth)[0]))
 
 
-@query("cycles_single_start", f"{cycle_sql(5)} SELECT {CYCLE} FROM found WHERE start = 3")
+@query("cycles_single_start", f"{cycle_sql(5)} SELECT {CYCLE} FROM found WHERE start = 6")
 def cycles_single_start(spark, d):
     n, e = graph_of(spark, d)
-    return texts(search.cycles(n, e, 5, starts=n.where("node_id = 3").select(F.col("node_id").alias("start"))))
+    return texts(search.cycles(n, e, 5, starts=n.where("node_id = 6").select(F.col("node_id").alias("start"))))
 
 
 @query("cycle_costs_nonneg_empty", f"{cycle_sql(3)} SELECT {CYCLE} FROM found WHERE false")
@@ -299,11 +299,14 @@ for _name in exact.ALGORITHMS:
     query(f"search_exact_{_name}")(lambda spark, d, a=_name: texts(exact.exact_cycles(*graph_of(spark, d), algorithm=a, max_depth=5)))
 
 
-@query("path_exact_astar")
-def path_exact_astar(spark, d):
+def exact_paths(spark, d, algorithm):
     n, e = graph_of(spark, d)
     pairs = n.select(F.col("node_id").alias("start"), ((F.col("node_id") + 11) % M.NODES).alias("target"))
-    return texts(exact.exact_paths(n, e.withColumn("weight", F.abs("fee") + F.col("volatility_cost")), pairs, "astar_optimized", 4))
+    return texts(exact.exact_paths(n, e.withColumn("weight", F.abs("fee") + F.col("volatility_cost")), pairs, algorithm, 4))
+
+
+for _name in exact.ALGORITHMS:
+    query(f"path_exact_{_name}")(lambda spark, d, a=_name: exact_paths(spark, d, a))
 
 
 # ---- rolling statistics
@@ -512,13 +515,13 @@ def backtest_metrics(spark, d):
 
 def simulations(spark, d):
     o = M.table(spark, d, "orders")
-    sims = o.select((F.col("o_custkey") % 40).cast("int").alias("sim_id")).distinct()
-    rows = o.where("o_orderkey % 40 <> 3 AND o_custkey % 40 <> 7").select((F.col("o_custkey") % 40).cast("int").alias("sim_id"), ((F.col("o_totalprice") - 150000.0) / 1000.0).alias("net_profit"))
+    sims = o.select((F.col("o_custkey") % 40).cast("int").alias("sim_id")).distinct().unionByName(spark.range(40, 41).select(F.col("id").cast("int").alias("sim_id")))  # 40 is empty
+    rows = o.select((F.col("o_custkey") % 40).cast("int").alias("sim_id"), ((F.col("o_totalprice") - 150000.0) / 1000.0).alias("net_profit"))
     return simulate.per_simulation(sims, rows)
 
 
-SIM = """opp AS (SELECT CAST(o_custkey % 40 AS INTEGER) AS sim_id, (o_totalprice - 150000e0) / 1000e0 AS net_profit FROM orders WHERE o_orderkey % 40 <> 3 AND o_custkey % 40 <> 7),
- sim AS (SELECT s.sim_id, count(net_profit) AS num_opportunities, coalesce(sum(net_profit), 0e0) AS total_profit FROM (SELECT DISTINCT CAST(o_custkey % 40 AS INTEGER) AS sim_id FROM orders) s LEFT JOIN opp USING (sim_id) GROUP BY s.sim_id)"""
+SIM = """opp AS (SELECT CAST(o_custkey % 40 AS INTEGER) AS sim_id, (o_totalprice - 150000e0) / 1000e0 AS net_profit FROM orders),
+ sim AS (SELECT s.sim_id, count(net_profit) AS num_opportunities, coalesce(sum(net_profit), 0e0) AS total_profit FROM (SELECT DISTINCT CAST(o_custkey % 40 AS INTEGER) AS sim_id FROM orders UNION ALL SELECT 40) s LEFT JOIN opp USING (sim_id) GROUP BY s.sim_id)"""
 
 
 @query("mc_per_sim", f"WITH {SIM} SELECT sim_id, num_opportunities, round(total_profit, 4) AS total_profit, round(CASE WHEN num_opportunities > 0 THEN total_profit / num_opportunities ELSE 0 END, 6) AS avg_profit, num_opportunities > 0 AS has_opportunities FROM sim")
