@@ -8,19 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import ratio
-from fathom.operators import build, exact, graph, metrics, search
+from fathom.operators import build, exact, graph, metrics
+from fathom.operators.simulate import opportunities
 from fathom.sources import files, generate, quotes, rules
 
 SEED = 42
 TOP = 5
 
 
-def opportunities(nodes: DataFrame, edges: DataFrame, algorithm: str, depth: int) -> DataFrame:
-    """All starts, two-level: layered for 'layered', else in the exact order of a best-first algorithm."""
-    found = search.cycles(nodes, edges, depth) if algorithm == "layered" else exact.exact_cycles(nodes, edges, algorithm, depth)
-    return search.two_level(found, nodes)
-
-
 def report(nodes: DataFrame, edges: DataFrame, algorithm: str, depth: int) -> DataFrame:
     rows = opportunities(nodes, edges, algorithm, depth).withColumn("roi_percent", ratio("net_profit", "total_cost") * 100)
     return rows.orderBy(F.desc("net_profit"), "description", "path").limit(TOP)

@@ -64,6 +64,21 @@ def sparse_edges(edges: DataFrame, k: int = 10, listings: DataFrame | None = Non
     return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def fiat_nodes(nodes: DataFrame, supported: DataFrame | None = None, default: str = "USD") -> DataFrame:
+    """``nodes`` and a node of price 1 for each fiat currency of an exchange: those of ``supported`` (exchange, fiat), the
+    default for exchanges without a row there. New ids follow the highest, by exchange and currency."""
+    key = ["exchange", "coin"]
+    wanted = nodes.select("exchange").distinct().withColumn("coin", F.lit(default))
+    if supported is not None:
+        wanted = wanted.join(supported, "exchange", "left_anti").unionByName(supported.select("exchange", F.col("fiat").alias("coin")).distinct())
+    known = nodes.join(wanted.withColumn("money", F.lit(True)), key, "left").withColumn("price", F.when(F.col("money"), 1.0).otherwise(F.col("price")))
+    first = nodes.agg(F.coalesce(F.max("node_id") + 1, F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.orderBy(*key)) - 1
+    new = wanted.join(nodes, key, "left_anti").withColumn("place", place).join(F.broadcast(first), F.lit(True))
+    new = new.select((F.col("first") + F.col("place")).cast("int").alias("node_id"), *key, F.lit(1.0).alias("price"))
+    return known.select("node_id", *key, "price").unionByName(new)
+
+
 def fiat_edges(nodes: DataFrame, fee: float = DEFAULT_FEE, scale: float = VOLATILITY_SCALE, time: float = DEFAULT_TIME, conversion_fee: float = 0.001, fiat_fee: float = 0.0015, between_fiat: bool = True, fiat_volatility: float = 0.0001) -> DataFrame:
     """Coin to coin at constant cost; coin to fiat money and back on one exchange; one fiat currency between exchanges."""
     pairs = node_pairs(nodes).withColumn("src_fiat", is_fiat("src_coin")).withColumn("dst_fiat", is_fiat("dst_coin"))

@@ -1,8 +1,8 @@
-"""Best-first search in exact order, one task for each snapshot's start nodes (grouped map over Arrow).
+"""Best-first search in exact order: start nodes, or snapshots, are dealt over tasks (Arrow).
 
 Needed where the order of visits decides the result: the heuristic looks only at the last edge, so the cycle kept for
-a (node, depth) need not be the cheapest. Entries are ordered by (priority, place where the node was first met, cost,
-path); the places make all ties definite.
+a (node, depth) need not be the cheapest. Entries are ordered by (priority, cost, place where the node was first met,
+path), in astar_optimized by (priority, place, cost, path); the places make all ties definite.
 """
 
 from __future__ import annotations
@@ -35,32 +35,36 @@ def heuristic_share(algorithm: str, weight: float = WEIGHT) -> float:
     return {"dijkstra": 0.0, "weighted_astar": weight}.get(algorithm, 1.0)
 
 
-def best_first(prices: dict, out_edges: dict, start: int, target: int | None, max_depth: int, factor: float, share: float) -> list[tuple]:
+def best_first(prices: dict, out_edges: dict, start: int, target: int | None, max_depth: int, factor: float, share: float, indexed: bool = False) -> list[tuple]:
     """Cycles through ``start`` if ``target`` is None (gated, one for each depth), else the first path to ``target``:
     (depth, cost, path)."""
-    places: dict[int, int] = defaultdict(lambda: len(places))
+    places, met = {start: 0}, [start]
     goal = start if target is None else target
-    heap = [(0.0, places[start], 0.0, (start,))]
+    heap = [(0.0, (0, 0.0) if indexed else (0.0, 0), (0,))]
     closed, found = set(), []
     while heap:
-        _, _, cost, path = heapq.heappop(heap)
-        node, depth = path[-1], len(path) - 1
+        _, tie, path = heapq.heappop(heap)
+        cost, node, depth = tie[indexed], met[path[-1]], len(path) - 1
         arrived = depth > 0 and node == goal
         if arrived and target is not None:
-            return [(depth, cost, list(path))]
+            return [(depth, cost, [met[i] for i in path])]
         if (node, depth) in closed:
             continue
         closed.add((node, depth))
         if arrived:
-            found.append((depth, cost, list(path)))
+            found.append((depth, cost, [met[i] for i in path]))
         elif depth < max_depth:
             here = prices[node]
             for to, weight, time in out_edges.get(node, ()):
                 if target is None and not here - prices[to] > weight:
                     continue
+                if to not in places:
+                    places[to] = len(met)
+                    met.append(to)
                 ahead = prices[to if target is None else target]
                 risk = time * TIME_RISK_PER_SECOND + abs(here - ahead) * factor
-                heapq.heappush(heap, (cost + weight + share * risk, places[to], cost + weight, (*path, to)))
+                spent, place = cost + weight, places[to]
+                heapq.heappush(heap, (spent + share * risk, (place, spent) if indexed else (spent, place), (*path, place)))
     return found
 
 
@@ -72,50 +76,79 @@ def _graph(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[dict, dict]:
     return prices, out
 
 
+def _small(nodes: DataFrame, edges: DataFrame):
+    """The graph, sent to each task, or None where it is over its bounds."""
+    n = nodes.select("node_id", "price").limit(MOST_NODES + 1).toPandas()
+    e = edges.limit(MOST_EDGES + 1).toPandas() if len(n) <= MOST_NODES else None
+    return None if e is None or len(e) > MOST_EDGES else nodes.sparkSession.sparkContext.broadcast(_graph(n, e))
+
+
 def exact_cycles(nodes: DataFrame, edges: DataFrame, algorithm: str = "astar", max_depth: int = 10, factor: float = VOLATILITY_FACTOR, weight: float = WEIGHT, snapshot: str | None = None, starts: list[int] | None = None) -> DataFrame:
-    """[snapshot,] start, depth, total_cost, net_profit, path. Edges follow edge_seq, else (src, dst)."""
-    share = heuristic_share(resolve(algorithm), weight)
+    """[snapshot,] start, depth, total_cost, net_profit, path. Edges follow edge_seq, else (src, dst). Snapshots are dealt
+    over tasks; without them the starts are, and a graph over MOST_NODES or MOST_EDGES goes through one task."""
+    name = resolve(algorithm)
+    options = (max_depth, factor, heuristic_share(name, weight), name == "astar_optimized")
     key, kind = snapshot or "snapshot", dict(nodes.dtypes).get(snapshot, "int")
-    tag = (lambda df: df) if snapshot else (lambda df: df.withColumn("snapshot", F.lit(0)))
-    n = tag(nodes).select(key, "node_id", "price")
     seq = F.col("edge_seq") if "edge_seq" in edges.columns else F.col("src").cast("long") * (1 << 31) + F.col("dst")
-    e = tag(edges).select(key, seq.alias("edge_seq"), "src", "dst", "weight", "transfer_time")
+    fields = "start int, depth int, total_cost double, net_profit double, path array<int>"
+    names = ["start", "depth", "total_cost", "net_profit", "path"]
+    wanted = nodes if starts is None else nodes.where(F.col("node_id").isin(starts))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        prices, out_edges = _graph(left, right)
+    def search(prices: dict, out_edges: dict, begin: list[int]) -> list[tuple]:
         rows = []
-        for start in sorted(prices):
-            if starts is not None and start not in starts:
-                continue
-            for depth, cost, path in best_first(prices, out_edges, start, None, max_depth, factor, share):
+        for start in begin:
+            for depth, cost, path in best_first(prices, out_edges, start, None, *options):
                 profit = prices[start] - prices[start] * (1 + cost)
                 if profit > 0:
-                    rows.append((left[key].iloc[0], start, depth, cost, profit, path))
-        return pd.DataFrame(rows, columns=[key, "start", "depth", "total_cost", "net_profit", "path"])
+                    rows.append((start, depth, cost, profit, path))
+        return rows
+
+    if not snapshot:
+        graph = _small(nodes, edges.select(seq.alias("edge_seq"), "src", "dst", "weight", "transfer_time"))
+        if graph:
+
+            def dealt(parts):
+                for part in parts:
+                    yield pd.DataFrame(search(*graph.value, list(part["node_id"])), columns=names)
+
+            parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return wanted.select("node_id").repartition(parts, "node_id").mapInPandas(dealt, fields)
+
+    tag = (lambda df: df) if snapshot else (lambda df: df.withColumn("snapshot", F.lit(0)))
+    n = tag(nodes).select(key, "node_id", "price")
+    e = tag(edges).select(F.col(key).alias(key), seq.alias("edge_seq"), "src", "dst", "weight", "transfer_time")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        prices, out_edges = _graph(left, right)
+        rows = search(prices, out_edges, sorted(p for p in prices if starts is None or p in starts))
+        out = pd.DataFrame(rows, columns=names)
+        out.insert(0, key, left[key].iloc[0] if len(left) else None)
+        return out
 
-    out = n.groupBy(key).cogroup(e.groupBy(key)).applyInPandas(run, f"{key} {kind}, start int, depth int, total_cost double, net_profit double, path array<int>")
+    out = n.groupBy(key).cogroup(e.groupBy(key)).applyInPandas(run, f"{key} {kind}, {fields}")
     return out if snapshot else out.drop("snapshot")
 
 
 def exact_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, algorithm: str = "astar", max_depth: int = 10, factor: float = VOLATILITY_FACTOR, weight: float = WEIGHT) -> DataFrame:
-    """start, target, depth, total_cost, path for the pairs (start, target) that are connected. Starts are dealt out;
+    """start, target, depth, total_cost, path for the pairs (start, target) that are connected. Pairs are dealt out;
     the graph goes to each task, its size is nodes^2 and is checked."""
-    share = heuristic_share(resolve(algorithm), weight)
+    name = resolve(algorithm)
+    options = (max_depth, factor, heuristic_share(name, weight), name == "astar_optimized")
     seq = F.col("edge_seq") if "edge_seq" in edges.columns else F.col("src").cast("long") * (1 << 31) + F.col("dst")
-    small = edges.select(seq.alias("edge_seq"), "src", "dst", "weight", "transfer_time").limit(MOST_EDGES + 1).toPandas()
-    if len(small) > MOST_EDGES:
-        raise ValueError(f"exact search takes graphs of up to {MOST_EDGES} edges; use shortest_paths()")
-    graph = _graph(nodes.select("node_id", "price").toPandas(), small)
+    graph = _small(nodes, edges.select(seq.alias("edge_seq"), "src", "dst", "weight", "transfer_time"))
+    if not graph:
+        raise ValueError(f"exact search takes graphs of up to {MOST_NODES} nodes and {MOST_EDGES} edges; use shortest_paths()")
 
     def run(parts):
-        prices, out_edges = graph
+        prices, out_edges = graph.value
         for part in parts:
             rows = []
             for start, target in zip(part["start"], part["target"]):
-                rows += [(start, target, *x) for x in best_first(prices, out_edges, start, target, max_depth, factor, share)]
+                rows += [(start, target, *x) for x in best_first(prices, out_edges, start, target, *options)]
             yield pd.DataFrame(rows, columns=["start", "target", "depth", "total_cost", "path"])
 
     return pairs.select("start", "target").mapInPandas(run, "start int, target int, depth int, total_cost double, path array<int>")
 
 
+MOST_NODES = 1_000_000
 MOST_EDGES = 2_000_000

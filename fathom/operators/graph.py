@@ -19,6 +19,11 @@ def upsert_nodes(rows: DataFrame) -> DataFrame:
     return merged.select(place.cast("int").alias("node_id"), *KEY, "price")
 
 
+def find_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes of the keys (exchange, coin) in ``wanted``; no row for unknown ones."""
+    return nodes.join(wanted.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def foreign_key_violations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with an endpoint that is no node."""
     source = nodes.select(F.col("exchange").alias("src_exchange"), F.col("coin").alias("src_coin"))

@@ -30,6 +30,12 @@ def rolling_volatility(ticks: DataFrame, window: int = PRICE_WINDOW, keys: list[
     return rows.withColumn("volatility", spread).drop("__return")
 
 
+def since_clear(rows: DataFrame, clears: DataFrame) -> DataFrame:
+    """Rows after the last clearing of the history (the highest ``seq`` of ``clears``); all rows if there was none."""
+    last = clears.agg(F.max("seq").alias("__cleared"))
+    return rows.join(F.broadcast(last), F.col("__cleared").isNull() | (F.col("seq") > F.col("__cleared"))).drop("__cleared")
+
+
 def last_rows(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The last n rows of each key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("seq").desc()))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.functions import VOLATILITY_FACTOR
 from fathom.operators.build import panel_edges
+from fathom.operators.exact import exact_cycles
 from fathom.operators.search import cycles, two_level
 
 RISK = 0.05
@@ -19,12 +21,25 @@ def panel_nodes(panel: DataFrame, snapshot: str) -> DataFrame:
     return panel.join(ids, ["exchange", "coin"]).select(snapshot, "node_id", "exchange", "coin", "price")
 
 
-def run_backtest(panel: DataFrame, snapshot: str = "ts", max_depth: int = 5, edges: DataFrame | None = None) -> DataFrame:
+def opportunities(nodes: DataFrame, edges: DataFrame, algorithm: str = "layered", max_depth: int = 5, factor: float = VOLATILITY_FACTOR, snapshot: str | None = None) -> DataFrame:
+    """All starts, two-level: layered for 'layered', else in the exact order of a best-first algorithm."""
+    found = cycles(nodes, edges, max_depth, snapshot=snapshot) if algorithm == "layered" else exact_cycles(nodes, edges, algorithm, max_depth, factor, snapshot=snapshot)
+    return two_level(found, nodes, snapshot)
+
+
+def snapshot_statistics(nodes: DataFrame, edges: DataFrame, snapshot: str = "ts") -> DataFrame:
+    """snapshot, num_nodes, num_edges, num_exchanges, num_coins, avg_price."""
+    n = nodes.groupBy(snapshot).agg(F.count("*").alias("num_nodes"), F.count_distinct("exchange").alias("num_exchanges"), F.count_distinct("coin").alias("num_coins"), F.avg("price").alias("avg_price"))
+    e = edges.groupBy(snapshot).agg(F.count("*").alias("num_edges"))
+    return n.join(e, snapshot, "left").select(snapshot, "num_nodes", F.coalesce("num_edges", F.lit(0)).cast("long").alias("num_edges"), "num_exchanges", "num_coins", "avg_price")
+
+
+def run_backtest(panel: DataFrame, snapshot: str = "ts", max_depth: int = 5, edges: DataFrame | None = None, algorithm: str = "layered", factor: float = VOLATILITY_FACTOR) -> DataFrame:
     """snapshot, num_opportunities, total_profit, num_nodes: every snapshot has a row. Opportunities are those of the
     two-level search. ``edges``: the snapshots' edges, if they are not the standard ones."""
     nodes = panel_nodes(panel, snapshot)
-    found = cycles(nodes, panel_edges(nodes, snapshot) if edges is None else edges, max_depth, snapshot=snapshot)
-    rows = two_level(found, nodes, snapshot).groupBy(snapshot).agg(F.count("*").alias("num_opportunities"), F.sum("net_profit").alias("total_profit"))
+    found = opportunities(nodes, panel_edges(nodes, snapshot) if edges is None else edges, algorithm, max_depth, factor, snapshot)
+    rows = found.groupBy(snapshot).agg(F.count("*").alias("num_opportunities"), F.sum("net_profit").alias("total_profit"))
     every = nodes.groupBy(snapshot).agg(F.count("*").alias("num_nodes"))
     return every.join(rows, snapshot, "left").select(snapshot, F.coalesce("num_opportunities", F.lit(0)).cast("long").alias("num_opportunities"), F.coalesce("total_profit", F.lit(0.0)).alias("total_profit"), "num_nodes")
 
@@ -53,6 +68,7 @@ def statistics(result: DataFrame) -> DataFrame:
         F.count("*").alias("simulations"),
         F.avg(F.col("has_opportunities").cast("double")).alias("success_rate"),
         F.avg("total_profit").alias("avg_profit"),
+        F.avg("num_opportunities").alias("avg_opportunities"),
         F.sum("total_profit").alias("total_profit"),
         F.max("total_profit").alias("max_profit"),
         F.min("total_profit").alias("min_profit"),

@@ -19,6 +19,11 @@ def set_balances(balances: DataFrame, updates: DataFrame) -> DataFrame:
     return balances.join(last, KEY, "full_outer").select(*KEY, F.coalesce("new", "balance").alias("balance"))
 
 
+def balances_of(balances: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (exchange, coin) with its balance, 0 where there is none."""
+    return wanted.join(balances.select(*KEY, "balance"), KEY, "left").withColumn("balance", F.coalesce("balance", F.lit(0.0)))
+
+
 def effective_rates(requests: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
     """Adds ``rate`` to (exchange, volume): the exchange's own tiers (exchange, lower_bound, rate) where it has some,
     else the default tiers."""

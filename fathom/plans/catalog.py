@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from fathom import functions as X
 from fathom.operators import build, evaluate, exact, graph, metrics, rolling, search, simulate, wallet
 from fathom.plans import market as M
-from fathom.sources import generate, quotes, rules
+from fathom.plans import runs
+from fathom.sources import files, generate, quotes, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,6 +129,18 @@ def fiat_flag(spark, d):
     return fiat_nodes(spark, d).select("node_id", "coin", X.is_fiat("coin").alias("is_fiat"))
 
 
+@query("fiat_nodes_supported", f"""WITH {NODE}, money AS (SELECT DISTINCT exchange, 'USD' AS coin FROM node UNION ALL SELECT 'ASIA', 'EUR')
+ SELECT * FROM node UNION ALL SELECT CAST(24 + row_number() OVER (ORDER BY exchange, coin) AS INTEGER), exchange, coin, 1e0 FROM money""")
+def fiat_nodes_supported(spark, d):
+    own = spark.createDataFrame([("ASIA", "USD"), ("ASIA", "EUR")], "exchange string, fiat string")
+    return build.fiat_nodes(M.nodes(spark, d), own)
+
+
+@query("fiat_market_size", f"""WITH {NODE} SELECT false AS with_fiat, 25 AS num_nodes, 600 AS num_edges, 0 AS num_opportunities UNION ALL SELECT true, 30, 600 + 50 + 20, 0""")
+def fiat_market_size(spark, d):
+    return runs.fiat_demo(M.nodes(spark, d), max_depth=3)
+
+
 @query("fiat_bridge_paths", f"""WITH {NODE}, {FIAT_NODE} SELECT a.exchange AS src_exchange, c.exchange AS dst_exchange, a.node_id || '->' || b.node_id || '->' || c.node_id || '->' || e.node_id AS path
  FROM fiat a JOIN fiat b ON a.exchange = b.exchange AND b.coin = 'USD' JOIN fiat c ON c.coin = 'USD' AND c.exchange <> b.exchange JOIN fiat e ON e.exchange = c.exchange AND e.coin = 'FURNITURE' WHERE a.coin = 'AUTOMOBILE'""")
 def fiat_bridge_paths(spark, d):
@@ -333,6 +346,16 @@ def volatility_factor(spark, d):
     return rolling.volatility_factors(M.ticks(spark, d)).select("exchange", "coin", F.round("factor", 5).alias("factor"))
 
 
+CLEARED = LATEST.replace(TICK, f"{TICK.replace('tick AS', 'every AS', 1)}, tick AS (SELECT * FROM every WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM every))")
+
+
+@query("volatility_after_clear", f"{CLEARED} SELECT exchange, coin, round(volatility, 6) AS volatility FROM latest")
+def volatility_after_clear(spark, d):
+    t = M.ticks(spark, d)
+    cleared = t.agg(F.struct((F.max("seq.ts") - F.expr("INTERVAL 10 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("event_id")).alias("seq"))
+    return rolling.latest_volatility(rolling.since_clear(t, cleared)).withColumn("volatility", F.round("volatility", 6))
+
+
 LAST50 = f"WITH {TICK}, recent AS (SELECT exchange, coin, price FROM tick QUALIFY row_number() OVER (PARTITION BY exchange, coin ORDER BY ts DESC, event_id DESC) <= 50)"
 PLACE = ["exchange", "coin"]
 
@@ -412,6 +435,17 @@ def wallet_verdict(spark, d):
     return out.withColumn("optimal_profit", F.round("optimal_profit", 9))
 
 
+@query("wallet_balances_of", f"WITH {NODE}, {BALANCE} SELECT exchange, coin, coalesce(balance, 0e0) AS balance FROM node LEFT JOIN balance USING (exchange, coin)")
+def wallet_balances_of(spark, d):
+    return wallet.balances_of(M.balances(spark, d), M.nodes(spark, d).select("exchange", "coin"))
+
+
+@query("fee_savings", f"""SELECT 'Kraken' AS exchange, v AS volume, {TIER.format(v='v')} AS rate, v * {TIER.format(v='v')} AS fee, 500e0 * 1e-3 - v * {TIER.format(v='v')} AS savings
+ FROM (SELECT unnest([500e0, 1000e0, 5000e0, 10000e0, 50000e0, 100000e0, 200000e0]) AS v)""")
+def fee_savings(spark, d):
+    return runs.fee_savings(spark)
+
+
 @query("wallet_summary", f"WITH {NODE}, {BALANCE} SELECT exchange, round(sum(balance), 4) AS total, count(*) AS positions FROM balance GROUP BY ROLLUP (exchange)")
 def wallet_summary(spark, d):
     return wallet.summary(M.balances(spark, d)).withColumn("total", F.round("total", 4))
@@ -524,16 +558,29 @@ SIM = """opp AS (SELECT CAST(o_custkey % 40 AS INTEGER) AS sim_id, (o_totalprice
  sim AS (SELECT s.sim_id, count(net_profit) AS num_opportunities, coalesce(sum(net_profit), 0e0) AS total_profit FROM (SELECT DISTINCT CAST(o_custkey % 40 AS INTEGER) AS sim_id FROM orders UNION ALL SELECT 40) s LEFT JOIN opp USING (sim_id) GROUP BY s.sim_id)"""
 
 
+@query("backtest_graph_statistics", f"""WITH {PANEL}, e AS (SELECT ts, count(*) AS num_edges FROM pedge GROUP BY ts)
+ SELECT CAST(p.ts AS TIMESTAMP) AS ts, count(*) AS num_nodes, coalesce(max(num_edges), 0) AS num_edges, count(DISTINCT exchange) AS num_exchanges, count(DISTINCT coin) AS num_coins, round(avg(price), 9) AS avg_price FROM pnode p LEFT JOIN e ON e.ts = p.ts GROUP BY p.ts""")
+def backtest_graph_statistics(spark, d):
+    nodes = simulate.panel_nodes(M.panel(spark, d), "ts")
+    return rounded(simulate.snapshot_statistics(nodes, M.edges(nodes, "ts")), {"avg_price": 9})
+
+
+@query("backtest_exact_astar")
+def backtest_exact_astar(spark, d):
+    p = M.panel(spark, d)
+    return simulate.run_backtest(p, "ts", 3, M.edges(simulate.panel_nodes(p, "ts"), "ts"), "astar")
+
+
 @query("mc_per_sim", f"WITH {SIM} SELECT sim_id, num_opportunities, round(total_profit, 4) AS total_profit, round(CASE WHEN num_opportunities > 0 THEN total_profit / num_opportunities ELSE 0 END, 6) AS avg_profit, num_opportunities > 0 AS has_opportunities FROM sim")
 def mc_per_sim(spark, d):
     return rounded(simulations(spark, d), {"total_profit": 4, "avg_profit": 6})
 
 
 @query("mc_statistics", f"""WITH {SIM}, ranked AS (SELECT total_profit, row_number() OVER (ORDER BY total_profit) - 1 AS i, count(*) OVER () AS n FROM sim)
- SELECT count(*) AS simulations, round((SELECT avg(CAST(num_opportunities > 0 AS INTEGER)) FROM sim), 9) AS success_rate, round(avg(total_profit), 4) AS avg_profit, round(sum(total_profit), 3) AS total_profit, round(max(total_profit), 4) AS max_profit, round(min(total_profit), 4) AS min_profit,
+ SELECT count(*) AS simulations, round((SELECT avg(CAST(num_opportunities > 0 AS INTEGER)) FROM sim), 9) AS success_rate, round(avg(total_profit), 4) AS avg_profit, (SELECT round(avg(num_opportunities), 6) FROM sim) AS avg_opportunities, round(sum(total_profit), 3) AS total_profit, round(max(total_profit), 4) AS max_profit, round(min(total_profit), 4) AS min_profit,
  round(max(CASE WHEN i = CAST(floor(n * 5e-2) AS BIGINT) AND n > 20 THEN total_profit END), 4) AS var_5, round(avg(CASE WHEN i < CAST(floor(n * 5e-2) AS BIGINT) THEN total_profit END), 4) AS expected_shortfall FROM ranked""")
 def mc_statistics(spark, d):
-    return rounded(simulate.statistics(simulations(spark, d)), {"success_rate": 9, "avg_profit": 4, "total_profit": 3, "max_profit": 4, "min_profit": 4, "var_5": 4, "expected_shortfall": 4})
+    return rounded(simulate.statistics(simulations(spark, d)), {"success_rate": 9, "avg_profit": 4, "avg_opportunities": 6, "total_profit": 3, "max_profit": 4, "min_profit": 4, "var_5": 4, "expected_shortfall": 4})
 
 
 # ---- sources
@@ -566,6 +613,25 @@ def historical_panel(spark, d):
 
 @query("mc_random_markets")
 def mc_random_markets(spark, d):
-    nodes, edges = generate.random_markets(spark, 50, seed=42)
-    rows = search.two_level(search.cycles(nodes, edges, 5, snapshot="sim_id"), nodes, "sim_id")
-    return simulate.statistics(simulate.per_simulation(nodes.select("sim_id").distinct(), rows))
+    return simulate.statistics(runs.monte_carlo(spark, 50, seed=42))
+
+
+@query("mc_stress_test")
+def mc_stress_test(spark, d):
+    return runs.stress_test(spark)
+
+
+@query("algorithm_comparison")
+def algorithm_comparison(spark, d):
+    return runs.comparison_summary(runs.compare_algorithms(spark, markets=lambda s, e, c, seed: graph_of(s, d), runs=1, max_depth=4)).drop("avg_seconds")
+
+
+@query("basic_experiment")
+def basic_experiment(spark, d):
+    return runs.basic_experiment(spark, markets=lambda s, e, c, seed: graph_of(s, d))
+
+
+@query("chart_points", "WITH a AS (SELECT o_orderpriority AS x, avg(o_totalprice) AS mean, max(o_totalprice) AS most FROM orders GROUP BY 1) SELECT x, 'mean' AS series, round(mean, 4) AS value FROM a UNION ALL SELECT x, 'most', round(most, 4) FROM a")
+def chart_points(spark, d):
+    a = M.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
+    return rounded(files.chart_points(a, "o_orderpriority", "mean", "most"), {"value": 4})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 NOTE = "No opportunities recorded"
@@ -41,6 +42,11 @@ def write_sheets(spark: SparkSession, path: str, opportunities: DataFrame, summa
     return sorted(filled)
 
 
+def chart_points(rows: DataFrame, x: str, *series: str) -> DataFrame:
+    """(x, series, value): what a chart of several series draws, a row for each point; null values are left out."""
+    return rows.select(F.col(x).cast("string").alias("x"), *[F.col(s).cast("double") for s in series]).unpivot("x", list(series), "series", "value").where("value IS NOT NULL")
+
+
 def write_workbook(path: str, sheets: dict[str, DataFrame], most_rows: int = 1_000_000) -> None:
     """One spreadsheet file, where openpyxl is installed; for reports of a bounded size only."""
     import openpyxl

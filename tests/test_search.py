@@ -83,3 +83,25 @@ def test_labels_and_ties(spark):
     r = search.cycles(nodes, rows, 2).where("start = 0")
     assert search.path_labels(r, nodes).first().path_labels == "A(X) -> B(X) -> A(X)"
     assert exact.exact_cycles(nodes, rows, "astar", 2, starts=[0]).first().path == [0, 1, 0]
+
+
+@pytest.mark.parametrize(("algorithm", "path"), [("dijkstra", [0, 2, 3]), ("astar", [0, 2, 3]), ("weighted_astar", [0, 1, 3]), ("astar_optimized", [0, 1, 3])])
+def test_order_decides(spark, algorithm, path):
+    """Nodes 1 and 2 have one priority (0.5) but costs of 0.5 and 0.25; who goes first reaches 3 first."""
+    nodes, rows = market(spark, [("A", "X", 1.0), ("B", "X", 1.0), ("C", "X", 1.0), ("D", "X", 1.0)], [(0, 1, 0.5), (0, 2, 0.25), (1, 3, -0.25), (2, 3, -0.25)])
+    rows = rows.withColumn("transfer_time", F.when(F.col("dst") == 2, 250.0).otherwise(0.0))
+    pairs = spark.createDataFrame([(0, 3), (3, 0)], "start int, target int")
+    got = exact.exact_paths(nodes, rows, pairs, algorithm, 3).collect()
+    assert [(r.start, r.path, r.depth) for r in got] == [(0, path, 2)]
+
+
+@pytest.mark.parametrize(("algorithm", "path"), [("astar", [0, 2, 3, 0]), ("astar_optimized", [0, 1, 3, 0])])
+def test_order_decides_cycles(spark, algorithm, path, monkeypatch):
+    """The cycle kept for a depth is the one whose node 3 was met first; one task or many give the same."""
+    nodes, rows = market(spark, [("A", "X", 1.0), ("B", "X", 1.0), ("C", "X", 1.0), ("D", "X", 1.0)], [(0, 1, -0.25), (0, 2, -0.5), (1, 3, -0.5), (2, 3, -0.5), (3, 0, -0.5)])
+    rows = rows.withColumn("transfer_time", F.when(F.col("dst") == 2, 250.0).otherwise(0.0))
+    dealt = exact.exact_cycles(nodes, rows, algorithm, 3, starts=[0]).collect()
+    monkeypatch.setattr(exact, "MOST_EDGES", 2)
+    assert [r.path for r in dealt] == [path] and exact.exact_cycles(nodes, rows, algorithm, 3, starts=[0]).collect() == dealt
+    with pytest.raises(ValueError):
+        exact.exact_paths(nodes, rows, spark.createDataFrame([(0, 3)], "start int, target int"), algorithm, 3)
