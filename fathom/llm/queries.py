@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import jaccard, linededup
+from fathom.llm import jaccard, linededup, merkle
 from fathom.llm.common import table
 
 
@@ -76,10 +76,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.verified(merkle.manifest(docs, merkle.tampered(docs)))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing, op11_merkle)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE_SQL,
     "op6_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
     "op3_exact_topk": """
         WITH ok AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
