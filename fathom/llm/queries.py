@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import jaccard, linededup, merkle
+from fathom.llm import centroids, jaccard, linededup, merkle
 from fathom.llm.common import table
 
 
@@ -81,11 +81,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(docs, merkle.tampered(docs)))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing, op11_merkle)}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_exact_topk, op4_toxicity, op5_line_dedup, op6_ngram_jaccard, op7_hnsw, op8_token_binary, op9_token_counts, op10_mixing, op11_merkle, op12_centroids)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE_SQL,
     "op6_ngram_jaccard": jaccard.ORACLE_SQL,
     "op11_merkle": merkle.ORACLE_SQL,
+    "op12_centroids": centroids.ORACLE_SQL,
     "op3_exact_topk": """
         WITH ok AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
