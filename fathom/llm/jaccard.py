@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import forget, give_back, materialise, slices, text_column
+from fathom.llm.common import forget, fresh, give_back, materialise, numbered, slices, text_column
 
 SIZE = 5
 PERCENT = 75
@@ -336,7 +336,7 @@ def postings(docs: DataFrame, sketch: list[np.ndarray], noise: float, total: int
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) that link. pairs: (x, y, n), n shingles in y; texts: (doc_id, text). Groups of texts with at most
     about GROUP shingles meet one partner, whose sets are all that a task keeps of it; texts stream by."""
-    salts = pairs.groupBy("x").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("salts"))
+    salts = materialise(pairs.groupBy("x").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("salts")), "jaccard-salts")
     salted = pairs.join(salts, "x").withColumn("salt", F.pmod(F.xxhash64("y"), F.col("salts")).cast("int")).select("x", "y", "salt")
     left = salted.join(texts.select(F.col("doc_id").alias("y"), "text"), "y").select("x", "salt", "y", F.lit(1).alias("kind"), "text")
     right = salts.select("x", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(texts.select(F.col("doc_id").alias("x"), "text"), "x")
@@ -384,8 +384,42 @@ def components(links: DataFrame, name: str = "jaccard-components") -> DataFrame:
             return state
 
 
+def numbers_apart(docs: DataFrame) -> DataFrame | None:
+    """None if rows that share a doc_id share their text; else a number for each doc_id and text, ascending by doc_id:
+    doc_id, code (of the text), number."""
+    text = text_column(docs)
+    codes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b")).where("doc_id IS NOT NULL")
+    several = codes.groupBy("doc_id").agg((F.min("a") != F.max("a")).alias("p"), (F.min("b") != F.max("b")).alias("q")).where("p OR q")
+    if not several.take(1):
+        return None
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("code")).where("doc_id IS NOT NULL").distinct()
+    return numbered(known.select(F.struct("doc_id", "code").alias("key")), "key").select("key.doc_id", "key.code", F.col("rank").alias("number"))
+
+
+def with_numbers(docs: DataFrame, numbers: DataFrame, name: str) -> DataFrame:
+    """``docs`` with their numbers as a column ``name``; null without doc_id."""
+    own, code = fresh(docs, "own_id", "own_code")
+    keys = numbers.select(F.col("doc_id").alias(own), F.col("code").alias(code), F.col("number").alias(name))
+    marked = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(code, F.sha2(text_column(docs), 256))
+    return marked.join(keys, [own, code], "left").drop(own, code)
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row."""
+    """doc_id, n_shingles, component_id for each row. Where rows share a doc_id with different texts, each text has links and a
+    component of its own, named by the doc_id of its smallest (doc_id, text)."""
+    numbers = numbers_apart(docs)
+    if numbers is None:
+        return joined(docs, size, percent)
+    numbers = materialise(numbers, "jaccard-numbers")
+    (own,) = fresh(docs, "own_number")
+    found = joined(with_numbers(docs, numbers, own).select(F.col(own).alias("doc_id"), "text"), size, percent)
+    name = lambda at, to: numbers.select(F.col("number").alias(at), F.col("doc_id").alias(to))
+    out = found.withColumnsRenamed({"doc_id": "a", "component_id": "c"}).join(name("a", "doc_id"), "a", "left").join(name("c", "component_id"), "c", "left")
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def joined(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """jaccard_components() where a doc_id has one text."""
     scan = fingerprints(docs, size)
     rows = scan.where("n >= 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -402,7 +436,8 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     forget(found)
 
     # Round one: the best partner among the smallest documents of the lists.
-    centre = lists.groupBy("g").agg(F.min("d").alias("x"))
+    # (Sums of a hot token are written first: Spark splits a skewed join of tables, not one above a sum of the same key.)
+    centre = materialise(lists.groupBy("g").agg(F.min("d").alias("x")), "jaccard-centres")
     star = lists.join(centre, "g").where("d <> x").groupBy("x", F.col("d").alias("y")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
     first = star.where(F.col("c") >= F.col("n") * (1 - need) * 0.25).groupBy("y").agg(F.max_by("x", F.struct("c", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n")
     wanted = lists.select(F.col("d").alias("doc_id")).distinct()
@@ -414,16 +449,19 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     def unsettled(state: DataFrame) -> DataFrame:
         labelled = lists.join(state, "d", "left").withColumn("c", F.coalesce("c", "d"))
         mixed = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-        return materialise(labelled.join(mixed, "g", "left_semi"), "jaccard-open")
+        mixed = materialise(mixed, "jaccard-mixed")
+        out = materialise(labelled.join(mixed, "g", "left_semi"), "jaccard-open")
+        forget(mixed)
+        return out
 
     open_ = unsettled(state)
     for turn in range(TURNS):
-        crowded = open_.groupBy("g").agg(F.approx_count_distinct("c").alias("m")).where(F.col("m") >= CROWD).select("g")
+        crowded = materialise(open_.groupBy("g").agg(F.approx_count_distinct("c").alias("m")).where(F.col("m") >= CROWD).select("g"), "jaccard-crowded")
         if not crowded.take(1):
             break
         busy = open_.join(crowded, "g", "left_semi")
         seeds = [F.struct(F.lit(k).alias("seed"), F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn * PARTNERS + k))).alias("x")) for k in range(PARTNERS)]
-        centres = busy.groupBy("g").agg(F.array(*seeds).alias("xs")).select("g", F.inline("xs")).select("g", "seed", F.col("x.d").alias("x"), F.col("x.c").alias("xc"))
+        centres = materialise(busy.groupBy("g").agg(F.array(*seeds).alias("xs")).select("g", F.inline("xs")).select("g", "seed", F.col("x.d").alias("x"), F.col("x.c").alias("xc")), "jaccard-centres")
         star = busy.join(centres, "g").where("d <> x AND c <> xc").groupBy("seed", "x", F.col("d").alias("y")).agg(F.count("*").alias("k"), F.first("n").alias("n"))
         more = star.where(F.col("k") >= F.col("n") * (1 - need) * 0.25).groupBy("seed", "y").agg(F.max_by("x", F.struct("k", -F.col("x"))).alias("x"), F.first("n").alias("n")).select("x", "y", "n").distinct()
         more = materialise(more, "jaccard-partners")

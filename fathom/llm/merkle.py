@@ -26,7 +26,7 @@ import os.path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import forget, materialise, shuffle_partitions
+from fathom.llm.common import forget, materialise, numbered
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 16
@@ -131,19 +131,6 @@ def descend(blocks: DataFrame, above: DataFrame, fanout: int) -> DataFrame:
     return rows.select("tree", rank.alias("rank"), "payload", part("low", k, k + 1).cast("string").alias("digest"), F.concat(own, "path").alias("path"), *rest)
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds ``rank`` by ``order``, whose values differ: ranges of it are sorted and written, then offset by what stands in
-    the ranges before, of which there are as many as shuffle partitions."""
-    spark = rows.sparkSession
-    ranges = rows.repartitionByRange(shuffle_partitions(spark), order).withColumn("part", F.spark_partition_id())
-    ranges = materialise(ranges, "merkle-sources")
-    sizes = sorted(map(tuple, ranges.groupBy("part").count().collect()))
-    starts = [(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)]
-    offsets = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return ranges.withColumn("place", place).join(offsets, "part").withColumn("rank", F.col("place") + F.col("start")).drop("part", "place", "start")
-
-
 def manifest(docs: DataFrame, claimed: dict[str, Column] | None = None, fields=FIELDS, number: str = "doc_id", group: str = "source", fanout: int = FANOUT, bucket: int = BUCKET) -> DataFrame:
     """doc_id, source, rank (in its source), leaf, claimed, subroot, root and path of every document. ``claimed``: values of fields
     that a copy under test has in place of the document's; ``claimed`` in the result is the leaf of that copy, or null

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import fresh, table, text_column
-from fathom.llm.jaccard import jaccard_components
+from fathom.llm.common import fresh, materialise, table, text_column
+from fathom.llm.jaccard import joined, numbers_apart, with_numbers
 from fathom.llm.linededup import deduplicated
 from fathom.llm.mixing import mixed
 from fathom.llm.packing import pack
@@ -30,18 +30,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of near duplicates, and all documents without words or doc_id. Rows that
-    share this doc_id all stay, but of rows with one doc_id and text the first by their other columns."""
-    found = jaccard_components(docs)
+    """Of each component of near duplicates the document with the smallest doc_id, and all documents without words or doc_id.
+    Rows that share a doc_id are documents of their own where their texts differ; of rows with one doc_id and text the
+    first by their other columns stays."""
+    numbers = numbers_apart(docs)
+    (own,) = fresh(docs, "own_number")
+    if numbers is None:
+        marked = docs.withColumn(own, F.col("doc_id").cast("long"))
+    else:
+        marked = with_numbers(docs, materialise(numbers, "jaccard-numbers"), own)
+    found = joined(marked.select(F.col(own).alias("doc_id"), "text"))
     keep = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
     blank = ~text_column(docs).rlike("[^ \\t-\\r]") | F.col("doc_id").isNull()
-    wanted, place = fresh(docs, "wanted", "place")
-    kept = docs.where(~blank).join(keep.select(F.col("doc_id").alias(wanted)), F.col("doc_id").cast("long") == F.col(wanted), "left_semi")
+    wanted, place = fresh(marked, "wanted", "place")
+    kept = marked.where(~blank).join(keep.select(F.col("doc_id").alias(wanted)), F.col(own) == F.col(wanted), "left_semi")
     if keep.where("copies > 1").take(1):
         every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).cast("string")
-        own = Window.partitionBy(F.col("doc_id"), text_column(docs)).orderBy(every)
-        kept = kept.withColumn(place, F.row_number().over(own)).where(F.col(place) == 1).drop(place)
-    return kept.unionByName(docs.where(blank))
+        kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(own).orderBy(every))).where(F.col(place) == 1).drop(place)
+    return kept.drop(own).unionByName(docs.where(blank))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
