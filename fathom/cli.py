@@ -33,8 +33,8 @@ def live_market(spark: SparkSession, sparse: bool = True) -> tuple[DataFrame, Da
         raise RuntimeError("no venue gave a price")
     listed = spark.createDataFrame(rows, "exchange string, coin string, price double").withColumn("seq", F.struct("exchange", "coin"))
     nodes = graph.upsert_nodes(listed)
-    edges = build.dense_edges(nodes, rules.venue_rules(spark))
-    return nodes, build.sparse_edges(edges, listings=nodes.select("exchange", "coin")) if sparse else edges
+    own = rules.venue_rules(spark)
+    return nodes, build.sparse_market(nodes, listings=nodes.select("exchange", "coin"), rules=own) if sparse else build.dense_edges(nodes, own)
 
 
 def save(nodes: DataFrame, found: DataFrame, algorithm: str, out: str) -> list[str]:

@@ -34,7 +34,15 @@ def with_costs(pairs: DataFrame, fee, volatility, time) -> DataFrame:
 def dense_edges(nodes: DataFrame, rules: DataFrame | None = None, fee: float = DEFAULT_FEE, scale: float = VOLATILITY_SCALE, time: float = DEFAULT_TIME) -> DataFrame:
     """All ordered pairs. ``rules`` (exchange, cross_fee, same_coin_time, cross_time): the source exchange's fees and
     times; exchanges without a rule get the defaults."""
-    pairs = node_pairs(nodes)
+    return standard_costs(node_pairs(nodes), rules, fee, scale, time)
+
+
+def sparse_market(nodes: DataFrame, k: int = 10, listings: DataFrame | None = None, rules: DataFrame | None = None, fee: float = DEFAULT_FEE, scale: float = VOLATILITY_SCALE, time: float = DEFAULT_TIME) -> DataFrame:
+    """dense_edges() cut by sparse_edges(), without the dense edges."""
+    return standard_costs(sparse_pairs(nodes, k, listings), rules, fee, scale, time)
+
+
+def standard_costs(pairs: DataFrame, rules: DataFrame | None, fee: float, scale: float, time: float) -> DataFrame:
     volatility = volatility_cost("src_price", "dst_price", scale)
     if rules is None:
         return with_costs(pairs, F.lit(fee), volatility, F.lit(time))
@@ -56,7 +64,7 @@ def feasible(pairs: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def sparse_edges(edges: DataFrame, k: int = 10, listings: DataFrame | None = None) -> DataFrame:
-    """At most k edges from each source: the own exchange first, then in node order."""
+    """At most k of the given edges from each source: the own exchange first, then in node order."""
     if listings is not None:
         edges = feasible(edges, listings)
     near = (F.col("src_exchange") == F.col("dst_exchange")).cast("int")
@@ -64,6 +72,41 @@ def sparse_edges(edges: DataFrame, k: int = 10, listings: DataFrame | None = Non
     return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def sparse_pairs(nodes: DataFrame, k: int = 10, listings: DataFrame | None = None) -> DataFrame:
+    """What sparse_edges() keeps of the complete graph, from the nodes alone: n k rows are made, never n^2.
+
+    A source's targets are the first of its own exchange's nodes, then the first reachable nodes of other exchanges. Only the
+    first k + 1 nodes of an exchange can be the former. Of the first 2 k reachable nodes at most one exchange has more than
+    k, so all others find k foreign ones among them, and that one finds them among the first k reachable nodes that aren't
+    its own: two lists of 2 k and k nodes serve all sources, whatever the number of nodes."""
+    target = F.struct(F.col("node_id").alias("dst"), F.col("exchange").alias("dst_exchange"), F.col("coin").alias("dst_coin"), F.col("price").alias("dst_price"))
+    salts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # Within its exchange: the lists are copied, as one exchange may have most of the sources.
+    first = nodes.withColumn("place", F.row_number().over(Window.partitionBy("exchange").orderBy("node_id"))).where(F.col("place") <= k + 1)
+    near = first.groupBy("exchange").agg(F.array_sort(F.collect_list(target)).alias("near")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    open_ = nodes if listings is None else reachable(nodes, listings)
+    ahead = open_.orderBy("node_id").limit(2 * k)
+    # The exchange with more than k of these, if there is one.
+    crowd = ahead.groupBy("exchange").agg(F.count("*").alias("n")).where(F.col("n") > k).select("exchange")
+    beyond = open_.join(F.broadcast(crowd), "exchange", "left_anti").orderBy("node_id").limit(k)
+    as_list = lambda df, name: df.agg(F.array_sort(F.collect_list(target)).alias(name))
+    lists = as_list(ahead, "ahead").join(as_list(beyond, "beyond"), F.lit(True)).join(crowd.agg(F.max("exchange").alias("crowd")), F.lit(True))
+    sources = nodes.withColumn("salt", F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int"))
+    rows = sources.join(near, ["exchange", "salt"]).join(F.broadcast(lists), F.lit(True))
+    own = F.slice(F.filter("near", lambda x: x["dst"] != F.col("node_id")), 1, k)
+    foreign = F.filter(F.when(F.col("exchange") == F.col("crowd"), F.col("beyond")).otherwise(F.col("ahead")), lambda x: x["dst_exchange"] != F.col("exchange"))
+    rows = rows.withColumn("own", own).select(F.col("node_id").alias("src"), F.col("exchange").alias("src_exchange"), F.col("coin").alias("src_coin"), F.col("price").alias("src_price"), F.inline(F.concat("own", F.slice(foreign, F.lit(1), F.lit(k) - F.size("own")))))
+    return rows.select(*COLUMNS)
+
+
+def reachable(nodes: DataFrame, listings: DataFrame) -> DataFrame:
+    """Nodes that other exchanges can send to: their exchange has no listings, or lists their coin."""
+    known = listings.select("exchange").distinct().withColumn("known", F.lit(True))
+    listed = listings.select("exchange", "coin").distinct().withColumn("listed", F.lit(True))
+    out = nodes.join(known, "exchange", "left").join(listed, ["exchange", "coin"], "left")
+    return out.where(F.col("known").isNull() | F.col("listed").isNotNull()).select(*nodes.columns)
+
+
 def fiat_nodes(nodes: DataFrame, supported: DataFrame | None = None, default: str = "USD") -> DataFrame:
     """``nodes`` and a node of price 1 for each fiat currency of an exchange: those of ``supported`` (exchange, fiat), the
     default for exchanges without a row there. New ids follow the highest, by exchange and currency."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import ratio
+from fathom.operators.orderstats import median
 
 
 def opportunity_log(rows: DataFrame) -> DataFrame:
@@ -27,7 +28,8 @@ def market_log(rows: DataFrame) -> DataFrame:
 
 def summary(log: DataFrame, extremes: bool = False) -> DataFrame:
     """One row, or none for an empty log: counts, sums, means, median roi; figures of rows with an actual profit are
-    null without such rows. ``extremes``: highest and lowest roi, too."""
+    null without such rows. ``extremes``: highest and lowest roi, too. The median is found by refining histograms, so no task
+    has all values."""
     hit = F.when(F.col("actual_profit").isNotNull(), (F.col("actual_profit") > 0).cast("double"))
     more = [F.max("roi").alias("max_roi"), F.min("roi").alias("min_roi")] if extremes else []
     out = log.agg(
@@ -35,13 +37,14 @@ def summary(log: DataFrame, extremes: bool = False) -> DataFrame:
         F.sum("predicted_profit").alias("total_predicted_profit"),
         F.avg("predicted_profit").alias("avg_predicted_profit"),
         F.avg("roi").alias("avg_roi"),
-        F.median("roi").alias("median_roi"),
         F.sum("actual_profit").alias("total_actual_profit"),
         F.avg("actual_profit").alias("avg_actual_profit"),
         F.avg(hit).alias("success_rate"),
         *more,
     )
-    return out.where("total_opportunities > 0")
+    out = out.where("total_opportunities > 0").join(F.broadcast(median(log, "roi", "median_roi")), F.lit(True))
+    names = ["total_opportunities", "total_predicted_profit", "avg_predicted_profit", "avg_roi", "median_roi", "total_actual_profit", "avg_actual_profit", "success_rate"]
+    return out.select(*names, *(["max_roi", "min_roi"] if extremes else []))
 
 
 def algorithm_averages(log: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import volatility_multiple
+from fathom.operators.tables import ranked
 
 PRICE_WINDOW = 100
 TRANSFER_WINDOW = 50
+STRETCH = 1 << 16  # ticks of a key that one window works out
 DEFAULT_VOLATILITY = 0.1
 LEAST_VOLATILITY = 0.001
 DEFAULT_PERCENTILE = 95.0
@@ -17,19 +19,32 @@ MARKET = ["exchange", "coin"]
 ROUTE = ["src_exchange", "src_coin", "dst_exchange", "dst_coin"]
 
 
-def rolling_volatility(ticks: DataFrame, window: int = PRICE_WINDOW, keys: list[str] | None = None) -> DataFrame:
-    """Adds ``volatility`` after each tick: population deviation of the returns among the last ``window`` prices, at
-    least 0.001; 0.1 with fewer than two returns. A return after a price <= 0 is left out, its price still counts."""
-    order = Window.partitionBy(*(keys or MARKET)).orderBy("seq")
+def _volatility(rows: DataFrame, window: int, keys: list[str]) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("seq")
     before = F.lag("price").over(order)
     step = F.when(before > 0, F.col("price") / before - 1)
     # N prices have N - 1 returns; the frame is over price rows, so left-out returns keep their place.
     frame = order.rowsBetween(-(window - 2), 0)
-    rows = ticks.withColumn("__return", step)
+    rows = rows.withColumn("__return", step)
     spread = F.when(F.count("__return").over(frame) < 2, F.lit(DEFAULT_VOLATILITY)).otherwise(F.greatest(F.stddev_pop("__return").over(frame), F.lit(LEAST_VOLATILITY)))
     return rows.withColumn("volatility", spread).drop("__return")
 
 
+def rolling_volatility(ticks: DataFrame, window: int = PRICE_WINDOW, keys: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``volatility`` after each tick: population deviation of the returns among the last ``window`` prices, at
+    least 0.001; 0.1 with fewer than two returns. A return after a price <= 0 is left out, its price still counts.
+
+    A key's ticks are cut into stretches of ``stretch`` rows by their ranks. Each stretch is worked out by itself, behind a
+    copy of the ``window`` - 1 ticks before it, so a key of any size is many tasks."""
+    keys = keys or MARKET
+    halo, stretch = window - 1, max(stretch, window)
+    place, own = F.col("__rank") % stretch, F.floor(F.col("__rank") / stretch)
+    rows = ranked(ticks, keys, ["seq"], "__rank")
+    rows = rows.withColumn("__stretch", F.explode(F.when(place >= stretch - halo, F.array(own, own + 1)).otherwise(F.array(own))))
+    out = _volatility(rows, window, [*keys, "__stretch"])
+    return out.where(F.col("__stretch") == own).select(*ticks.columns, "volatility")
+
+
 def since_clear(rows: DataFrame, clears: DataFrame) -> DataFrame:
     """Rows after the last clearing of the history (the highest ``seq`` of ``clears``); all rows if there was none."""
     last = clears.agg(F.max("seq").alias("__cleared"))
@@ -45,7 +60,7 @@ def last_rows(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
 def latest_volatility(ticks: DataFrame, window: int = PRICE_WINDOW, keys: list[str] | None = None) -> DataFrame:
     """The volatility of each key now. Only the last ``window`` ticks of a key are looked at."""
     keys = keys or MARKET
-    recent = rolling_volatility(last_rows(ticks, keys, window), window, keys)
+    recent = _volatility(last_rows(ticks, keys, window), window, keys)
     return recent.groupBy(*keys).agg(F.max_by("volatility", "seq").alias("volatility"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import VOLATILITY_FACTOR
 from fathom.operators.build import panel_edges
 from fathom.operators.exact import exact_cycles
+from fathom.operators.orderstats import order_statistics
 from fathom.operators.search import cycles, two_level
 
 RISK = 0.05
@@ -62,8 +63,8 @@ def per_simulation(simulations: DataFrame, found: DataFrame, key: str = "sim_id"
 
 def statistics(result: DataFrame) -> DataFrame:
     """One row over all simulations. Value at risk: the profit at place int(0.05 n) of the sorted ones, 0 unless n > 20;
-    expected shortfall: the mean of the int(0.05 n) lowest, 0 if there are none. The tail is taken by a top-k, so no
-    sort of all simulations meets in one task."""
+    expected shortfall: the mean of the int(0.05 n) lowest, 0 if there are none. Both come from order statistics and sums
+    over all rows: the lowest are those below the last of them, and as many equal to it as are left."""
     totals = result.agg(
         F.count("*").alias("simulations"),
         F.avg(F.col("has_opportunities").cast("double")).alias("success_rate"),
@@ -72,11 +73,19 @@ def statistics(result: DataFrame) -> DataFrame:
         F.sum("total_profit").alias("total_profit"),
         F.max("total_profit").alias("max_profit"),
         F.min("total_profit").alias("min_profit"),
+    ).where("simulations > 0")
+    tail = F.floor(F.col("n") * RISK)
+    size = result.agg(F.count("total_profit").alias("n")).where("n > 0").select("n", tail.alias("tail"))
+    places = size.select(F.explode(F.array_distinct(F.array("tail", F.greatest(F.col("tail") - 1, F.lit(0))))).alias("place"))
+    values = order_statistics(result, "total_profit", places)
+    edge = values.join(F.broadcast(size), F.lit(True)).agg(
+        F.first("n").alias("n"),
+        F.first("tail").alias("tail"),
+        F.max(F.when(F.col("place") == F.col("tail"), F.col("value"))).alias("var_5"),
+        F.max(F.when(F.col("place") == F.col("tail") - 1, F.col("value"))).alias("last"),
     )
-    n = result.count()
-    tail = int(RISK * n)
-    lowest = result.select("total_profit").orderBy("total_profit").limit(tail + 1)
-    spread = lowest.agg(F.array_sort(F.collect_list("total_profit")).alias("low"))
-    at_risk = F.col("low")[tail] if n > LEAST_RUNS else F.lit(0.0)
-    shortfall = F.aggregate(F.slice("low", 1, tail), F.lit(0.0), lambda s, x: s + x) / tail if tail else F.lit(0.0)
-    return totals.where("simulations > 0").join(F.broadcast(spread), F.lit(True)).withColumn("var_5", at_risk).withColumn("expected_shortfall", shortfall).drop("low")
+    below = result.join(F.broadcast(edge.select("last")), F.col("total_profit") < F.col("last")).agg(F.coalesce(F.sum("total_profit"), F.lit(0.0)).alias("below"), F.count("*").alias("fewer"))
+    risk = F.when(F.col("n") > LEAST_RUNS, F.col("var_5")).otherwise(0.0)
+    shortfall = F.when(F.col("tail") > 0, (F.col("below") + F.col("last") * (F.col("tail") - F.col("fewer"))) / F.col("tail")).otherwise(0.0)
+    edges = edge.join(F.broadcast(below), F.lit(True)).select(risk.alias("var_5"), shortfall.alias("expected_shortfall"))
+    return totals.join(F.broadcast(edges), F.lit(True))

@@ -96,7 +96,14 @@ def edges_dense_venue_rules(spark, d):
 
 @query("edges_sparse_k", f"""{GRAPH} SELECT {EDGE_COLUMNS} FROM edge QUALIFY row_number() OVER (PARTITION BY src ORDER BY CASE WHEN src_exchange = dst_exchange THEN 0 ELSE 1 END, dst) <= 10""")
 def edges_sparse_k(spark, d):
-    return build.sparse_edges(graph_of(spark, d)[1], 10)
+    return M.costed(build.sparse_pairs(M.nodes(spark, d), 10))
+
+
+@query("edges_sparse_feasible", f"""{GRAPH} SELECT {EDGE_COLUMNS} FROM edge WHERE src_exchange = dst_exchange OR dst_exchange NOT IN (SELECT exchange FROM node WHERE node_id % 3 = 0)
+ OR (dst_exchange, dst_coin) IN (SELECT (exchange, coin) FROM node WHERE node_id % 3 = 0) QUALIFY row_number() OVER (PARTITION BY src ORDER BY CASE WHEN src_exchange = dst_exchange THEN 0 ELSE 1 END, dst) <= 8""")
+def edges_sparse_feasible(spark, d):
+    n = M.nodes(spark, d)
+    return M.costed(build.sparse_pairs(n, 8, n.where("node_id % 3 = 0 AND exchange <> 'none'")))
 
 
 @query("feasible_transfers", f"""{GRAPH} SELECT src, dst FROM edge WHERE src_exchange = dst_exchange OR dst_exchange NOT IN (SELECT exchange FROM node WHERE node_id % 3 = 0)

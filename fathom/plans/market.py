@@ -34,7 +34,11 @@ def rebate_fee(src: str = "src", dst: str = "dst"):
 
 
 def edges(market: DataFrame, key: str | None = None) -> DataFrame:
-    out = node_pairs(market, key).withColumn("fee", rebate_fee()).withColumn("volatility_cost", volatility_cost("src_price", "dst_price"))
+    return costed(node_pairs(market, key), key)
+
+
+def costed(pairs: DataFrame, key: str | None = None) -> DataFrame:
+    out = pairs.withColumn("fee", rebate_fee()).withColumn("volatility_cost", volatility_cost("src_price", "dst_price"))
     out = out.withColumn("transfer_time", (F.lit(30) + (F.col("src") * 17 + F.col("dst") * 29) % 271).cast("double")).withColumn("weight", edge_weight())
     return out.select(*([key] if key else []), *COLUMNS, *COSTS)
 
