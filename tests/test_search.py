@@ -103,5 +103,37 @@ def test_order_decides_cycles(spark, algorithm, path, monkeypatch):
     dealt = exact.exact_cycles(nodes, rows, algorithm, 3, starts=[0]).collect()
     monkeypatch.setattr(exact, "MOST_EDGES", 2)
     assert [r.path for r in dealt] == [path] and exact.exact_cycles(nodes, rows, algorithm, 3, starts=[0]).collect() == dealt
-    with pytest.raises(ValueError):
-        exact.exact_paths(nodes, rows, spark.createDataFrame([(0, 3)], "start int, target int"), algorithm, 3)
+    pairs = spark.createDataFrame([(0, 3), (0, 3), (3, 0), (2, 9)], "start int, target int")
+    parts = exact.exact_paths(nodes, rows, pairs, algorithm, 3).collect()
+    monkeypatch.undo()
+    assert sorted(parts) == sorted(exact.exact_paths(nodes, rows, pairs, algorithm, 3).collect()) and len(parts) == 3
+
+
+@pytest.mark.parametrize("algorithm", exact.ALGORITHMS)
+def test_parts_equal_the_whole_graph(spark, algorithm, monkeypatch):
+    """Graphs over the bound: each search gets its part by joins, and finds what it finds in the whole."""
+    rng = random.Random(algorithm)
+    nodes, rows = market(spark, [(f"E{i % 4}", f"C{i}", 1 + rng.random() / 50) for i in range(14)], [(a, b, round(rng.uniform(-0.03, 0.02), 4)) for a in range(14) for b in range(14) if a != b and rng.random() < 0.4])
+    rows = rows.withColumn("transfer_time", (F.col("src") * 7 % 5 + F.col("dst") * 3 % 4).cast("double"))
+    pairs = nodes.select(F.col("node_id").alias("start"), ((F.col("node_id") * 5 + 3) % 14).alias("target")).where("start <> target")
+    two = lambda df: df.withColumn("day", F.lit("a")).unionByName(df.where("true").withColumn("day", F.lit("b")))
+    found = lambda: [sorted(map(str, x.collect())) for x in (exact.exact_cycles(nodes, rows, algorithm, 4), exact.exact_paths(nodes, rows, pairs, algorithm, 4), exact.exact_cycles(two(nodes), two(rows), algorithm, 3, snapshot="day"))]
+    whole = found()
+    monkeypatch.setattr(exact, "MOST_EDGES", 10)
+    assert found() == whole and all(whole)
+
+
+def test_factors_decide_the_order(spark):
+    """Ways 0-1-3 and 0-2-3 cost the same; a step's risk is the price gap to the target times the factor of its first node.
+    Leaving 1 costs 0.1 x 10 and leaving 2 costs 0.1 x 1, so 2 goes first; with one factor the tie goes to 1."""
+    nodes, rows = market(spark, [("A", "X", 1.0), ("B", "X", 1.1), ("C", "X", 1.1), ("D", "X", 1.0)], [(0, 1, 0.5), (0, 2, 0.5), (1, 3, 0.1), (2, 3, 0.1)])
+    rows = rows.withColumn("transfer_time", F.lit(0.0))
+    pairs = spark.createDataFrame([(0, 3)], "start int, target int")
+    own = spark.createDataFrame([("B", "X", 10.0), ("C", "X", 1.0)], "exchange string, coin string, factor double")
+    path = lambda e, a: exact.exact_paths(nodes, e, pairs, a, 3).first().path
+    places = nodes.select(F.col("node_id").alias("src"), F.col("exchange").alias("src_exchange"), F.col("coin").alias("src_coin"))
+    named = rows.drop("src_exchange", "src_coin").join(places, "src")
+    for algorithm in ("astar", "dijkstra"):
+        assert path(rows, algorithm) == [0, 1, 3]
+    assert path(exact.edge_factors(named, own), "astar") == [0, 2, 3]
+    assert path(exact.edge_factors(named, own), "dijkstra") == [0, 1, 3]
