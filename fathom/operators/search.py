@@ -72,8 +72,17 @@ def compare_pairs(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(later, "second", "left_semi").select(F.col("start").alias("first"), "second", "depth", "total_cost", "net_profit", "path")
 
 
+def named_paths(found: DataFrame, nodes: DataFrame, name, path: str = "path", out: str = "steps") -> DataFrame:
+    """Adds an array with ``name`` (a column of ``nodes``) of each step. Steps are joined one by one, so neither the nodes nor a path
+    have to be in one row of another table; steps that are no node are left out."""
+    rows = found.withColumn("__row", F.monotonically_increasing_id())
+    steps = rows.select("__row", F.posexplode(path).alias("__at", "node_id")).join(nodes.select("node_id", name.alias("__name")), "node_id")
+    told = steps.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", "__name"))).alias("__steps"))
+    empty = F.array().cast(told.select(F.transform("__steps", lambda s: s["__name"]).alias("x")).schema["x"].dataType)
+    return rows.join(told, "__row", "left").withColumn(out, F.coalesce(F.transform("__steps", lambda s: s["__name"]), empty)).drop("__row", "__steps")
+
+
 def path_labels(found: DataFrame, nodes: DataFrame, path: str = "path", out: str = "path_labels") -> DataFrame:
-    """Adds the path as 'E1(C1) -> E2(C2) ...'. Node names are a map of one row for each node, so no join of paths."""
-    names = nodes.agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.format_string("%s(%s)", "exchange", "coin")))).alias("__names"))
-    text = F.array_join(F.transform(path, lambda x: F.col("__names")[x]), " -> ")
-    return found.join(F.broadcast(names), F.lit(True)).withColumn(out, text).drop("__names")
+    """Adds the path as 'E1(C1) -> E2(C2) ...'."""
+    named = named_paths(found, nodes, F.format_string("%s(%s)", F.col("exchange"), F.col("coin")), path, out)
+    return named.withColumn(out, F.array_join(out, " -> "))

@@ -36,13 +36,13 @@ def snapshot_statistics(nodes: DataFrame, edges: DataFrame, snapshot: str = "ts"
 
 
 def run_backtest(panel: DataFrame, snapshot: str = "ts", max_depth: int = 5, edges: DataFrame | None = None, algorithm: str = "layered", factor: float = VOLATILITY_FACTOR) -> DataFrame:
-    """snapshot, num_opportunities, total_profit, num_nodes: every snapshot has a row. Opportunities are those of the
+    """snapshot, num_opportunities, total_profit, num_nodes: every snapshot has a row, in their order. Opportunities are those of the
     two-level search. ``edges``: the snapshots' edges, if they are not the standard ones."""
     nodes = panel_nodes(panel, snapshot)
     found = opportunities(nodes, panel_edges(nodes, snapshot) if edges is None else edges, algorithm, max_depth, factor, snapshot)
     rows = found.groupBy(snapshot).agg(F.count("*").alias("num_opportunities"), F.sum("net_profit").alias("total_profit"))
     every = nodes.groupBy(snapshot).agg(F.count("*").alias("num_nodes"))
-    return every.join(rows, snapshot, "left").select(snapshot, F.coalesce("num_opportunities", F.lit(0)).cast("long").alias("num_opportunities"), F.coalesce("total_profit", F.lit(0.0)).alias("total_profit"), "num_nodes")
+    return every.join(rows, snapshot, "left").select(snapshot, F.coalesce("num_opportunities", F.lit(0)).cast("long").alias("num_opportunities"), F.coalesce("total_profit", F.lit(0.0)).alias("total_profit"), "num_nodes").orderBy(snapshot)
 
 
 def backtest_metrics(result: DataFrame) -> DataFrame:

@@ -143,11 +143,6 @@ def fiat_nodes_supported(spark, d):
     return build.fiat_nodes(M.nodes(spark, d), own)
 
 
-@query("fiat_market_size", f"""WITH {NODE} SELECT false AS with_fiat, 25 AS num_nodes, 600 AS num_edges, 0 AS num_opportunities UNION ALL SELECT true, 30, 600 + 50 + 20, 0""")
-def fiat_market_size(spark, d):
-    return runs.fiat_demo(M.nodes(spark, d), max_depth=3)
-
-
 @query("fiat_bridge_paths", f"""WITH {NODE}, {FIAT_NODE} SELECT a.exchange AS src_exchange, c.exchange AS dst_exchange, a.node_id || '->' || b.node_id || '->' || c.node_id || '->' || e.node_id AS path
  FROM fiat a JOIN fiat b ON a.exchange = b.exchange AND b.coin = 'USD' JOIN fiat c ON c.coin = 'USD' AND c.exchange <> b.exchange JOIN fiat e ON e.exchange = c.exchange AND e.coin = 'FURNITURE' WHERE a.coin = 'AUTOMOBILE'""")
 def fiat_bridge_paths(spark, d):
@@ -232,11 +227,11 @@ def layer_sql(depth: int, start: str, step: str, ends: str) -> str:
     return ",\n".join([*out, f"ended AS ({union})"])
 
 
-def cycle_sql(depth: int) -> str:
-    return f"""{GRAPH}, step AS (SELECT src, dst, weight FROM edge WHERE src_price - dst_price > weight),
-f0 AS (SELECT node_id AS start, node_id AS target, node_id AS node, 0e0 AS cost, [node_id] AS path FROM node),
+def cycle_sql(depth: int, graph: str = GRAPH, nodes: str = "node") -> str:
+    return f"""{graph}, step AS (SELECT src, dst, weight FROM edge WHERE src_price - dst_price > weight),
+f0 AS (SELECT node_id AS start, node_id AS target, node_id AS node, 0e0 AS cost, [node_id] AS path FROM {nodes}),
 {layer_sql(depth, "f0", "step", "node = target")},
-found AS (SELECT e.start, CAST(e.depth AS INTEGER) AS depth, e.cost AS total_cost, n.price - n.price * (1e0 + e.cost) AS net_profit, e.path, n.exchange, n.coin FROM ended e JOIN node n ON n.node_id = e.start WHERE n.price - n.price * (1e0 + e.cost) > 0)"""
+found AS (SELECT e.start, CAST(e.depth AS INTEGER) AS depth, e.cost AS total_cost, n.price - n.price * (1e0 + e.cost) AS net_profit, e.path, n.exchange, n.coin FROM ended e JOIN {nodes} n ON n.node_id = e.start WHERE n.price - n.price * (1e0 + e.cost) > 0)"""
 
 
 CYCLE = "start, depth, total_cost, net_profit, array_to_string(path, '->') AS path"
@@ -262,7 +257,24 @@ def cycles_single_start(spark, d):
     return texts(search.cycles(n, e, 5, starts=n.where("node_id = 6").select(F.col("node_id").alias("start"))))
 
 
-@query("cycle_costs_nonneg_empty", f"{cycle_sql(3)} SELECT {CYCLE} FROM found WHERE false")
+DENSE_GRAPH = f"WITH {NODE}, {PAIR}, edge AS (SELECT *, 2e-3 + abs(src_price - dst_price) * 1e-3 AS weight FROM pair)"
+MONEY = f"""WITH {NODE}, fnode AS (SELECT * FROM node UNION ALL SELECT CAST((SELECT max(node_id) FROM node) + row_number() OVER (ORDER BY exchange) AS INTEGER), exchange, 'USD', 1e0 FROM (SELECT DISTINCT exchange FROM node)),
+ {PAIR.replace('FROM node s JOIN node d', 'FROM fnode s JOIN fnode d')}, k AS (SELECT *, src_coin = 'USD' AS sf, dst_coin = 'USD' AS df FROM pair),
+ edge AS (SELECT *, CASE WHEN NOT sf AND NOT df THEN 3e-3 WHEN sf <> df THEN 11e-4 ELSE 16e-4 END AS weight FROM k WHERE (NOT sf AND NOT df) OR (sf <> df AND src_exchange = dst_exchange) OR (sf AND df AND src_exchange <> dst_exchange))"""
+
+
+def market_size_sql(with_fiat: bool) -> str:
+    graph, nodes = (MONEY, "fnode") if with_fiat else (DENSE_GRAPH, "node")
+    return f"""SELECT * FROM ({cycle_sql(3, graph, nodes)}, {PASSED} SELECT {str(with_fiat).lower()} AS with_fiat, (SELECT count(*) FROM {nodes}) AS num_nodes, (SELECT count(*) FROM edge) AS num_edges,
+ (SELECT count(*) FROM passed p JOIN {nodes} t ON t.node_id = p.target WHERE t.exchange <> p.exchange) AS num_opportunities)"""
+
+
+@query("fiat_market_size", f"{market_size_sql(False)} UNION ALL {market_size_sql(True)}")
+def fiat_market_size(spark, d):
+    return runs.fiat_demo(M.nodes(spark, d), max_depth=3)
+
+
+@query("cycle_costs_nonneg_empty", f"{cycle_sql(3, DENSE_GRAPH)} SELECT {CYCLE} FROM found")
 def cycle_costs_nonneg_empty(spark, d):
     n = M.nodes(spark, d)
     return texts(search.cycles(n, build.dense_edges(n), 3))
@@ -325,10 +337,26 @@ def exact_paths(spark, d, algorithm):
     return texts(exact.exact_paths(n, e.withColumn("weight", F.abs("fee") + F.col("volatility_cost")), pairs, algorithm, 4))
 
 
+EXACT_PATH = f"""{PLAIN}, f0 AS (SELECT node_id AS start, (node_id + 11) % 25 AS target, node_id AS node, 0e0 AS cost, [node_id] AS path FROM node),
+{layer_sql(4, "f0", "step", "node = target")}, best AS (SELECT start, target, cost AS total_cost, path, depth FROM ended QUALIFY row_number() OVER (PARTITION BY start, target ORDER BY cost, depth, path) = 1)
+SELECT start, CAST(target AS INTEGER) AS target, round(total_cost, 12) AS total_cost FROM best"""
 for _name in exact.ALGORITHMS:
     query(f"path_exact_{_name}")(lambda spark, d, a=_name: exact_paths(spark, d, a))
 
 
+# Which cycle or which of equally cheap paths is kept follows the order of visits; that there is one, and Dijkstra's cost, does not.
+@query("search_exact_depths", f"{cycle_sql(5)} SELECT algorithm, start, depth FROM found CROSS JOIN (VALUES ('dijkstra'), ('astar')) a(algorithm)")
+def search_exact_depths(spark, d):
+    n, e = graph_of(spark, d)
+    found = [exact.exact_cycles(n, e, a, 5).select(F.lit(a).alias("algorithm"), "start", "depth") for a in ("dijkstra", "astar")]
+    return found[0].unionByName(found[1])
+
+
+@query("path_cost_dijkstra", EXACT_PATH)
+def path_cost_dijkstra(spark, d):
+    return exact_paths(spark, d, "dijkstra").select("start", "target", F.round("total_cost", 12).alias("total_cost"))
+
+
 # ---- rolling statistics
 
 ROLL = """moved AS (SELECT *, lag(price) OVER w AS before FROM tick WINDOW w AS (PARTITION BY exchange, coin ORDER BY ts, event_id)),
@@ -353,6 +381,28 @@ def volatility_factor(spark, d):
     return rolling.volatility_factors(M.ticks(spark, d)).select("exchange", "coin", F.round("factor", 5).alias("factor"))
 
 
+FACTOR = f"""{LATEST}, keyed AS (SELECT row_number() OVER (ORDER BY exchange, coin) - 1 AS node_id, 1e-1 * greatest(volatility / 1e-2, 5e-1) AS factor FROM latest), {GRAPH.removeprefix('WITH ')}"""
+
+
+@query("heuristic_values_volatility", f"""{FACTOR} SELECT src, dst, round(factor, 5) AS factor, round(transfer_time * 1e-3 + abs(src_price - dst_price) * coalesce(factor, 1e-1), 6) AS h FROM edge LEFT JOIN keyed ON node_id = src""")
+def heuristic_values_volatility(spark, d):
+    n, e = graph_of(spark, d)
+    rows = exact.edge_factors(e, M.node_factors(spark, d, n))
+    h = F.col("transfer_time") * X.TIME_RISK_PER_SECOND + F.abs(F.col("src_price") - F.col("dst_price")) * F.coalesce("factor", F.lit(X.VOLATILITY_FACTOR))
+    return rows.select("src", "dst", F.round("factor", 5).alias("factor"), F.round(h, 6).alias("h"))
+
+
+@query("search_volatility_astar")
+def search_volatility_astar(spark, d):
+    n, e = graph_of(spark, d)
+    return texts(exact.exact_cycles(n, exact.edge_factors(e, M.node_factors(spark, d, n)), "astar", 5))
+
+
+@query("search_volatility_depths", f"{cycle_sql(5)} SELECT start, depth FROM found")
+def search_volatility_depths(spark, d):
+    return search_volatility_astar(spark, d).select("start", "depth")
+
+
 CLEARED = LATEST.replace(TICK, f"{TICK.replace('tick AS', 'every AS', 1)}, tick AS (SELECT * FROM every WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM every))")
 
 
@@ -638,6 +688,18 @@ def basic_experiment(spark, d):
     return runs.basic_experiment(spark, markets=lambda s, e, c, seed: graph_of(s, d))
 
 
+@query("adversarial_experiment")
+def adversarial_experiment(spark, d):
+    return texts(runs.adversarial_experiment(spark, markets=lambda s, e, c, seed: graph_of(s, d)))
+
+
+@query("tick_days", """SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:00') AS hour, CAST(dayofweek(ts) + 1 AS INTEGER) AS weekday, CAST(date_diff('day', CAST(ts AS DATE), last_day(ts)) AS INTEGER) AS days_left, count(*) AS n FROM events GROUP BY ALL""")
+def tick_days(spark, d):
+    t = M.table(spark, d, "events")
+    keys = [F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH:00").alias("hour"), F.dayofweek("ts").alias("weekday"), F.date_diff(F.last_day("ts"), F.to_date("ts")).alias("days_left")]
+    return t.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
 @query("chart_points", "WITH a AS (SELECT o_orderpriority AS x, avg(o_totalprice) AS mean, max(o_totalprice) AS most FROM orders GROUP BY 1) SELECT x, 'mean' AS series, round(mean, 4) AS value FROM a UNION ALL SELECT x, 'most', round(most, 4) FROM a")
 def chart_points(spark, d):
     a = M.table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import edge_weight, volatility_cost
 from fathom.operators.build import COLUMNS, COSTS, node_pairs
 from fathom.operators.graph import upsert_nodes
+from fathom.operators.rolling import volatility_factors
 
 NODES = 25
 
@@ -49,6 +50,13 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.struct("ts", "event_id").alias("seq"), "event_id", F.col("event_type").alias("exchange"), (F.col("user_id") % 5).cast("string").alias("coin"), F.col("value").alias("price"))
 
 
+def node_factors(spark: SparkSession, sf_dir: str, market: DataFrame) -> DataFrame:
+    """exchange, coin, factor: the n-th key of the ticks gives the risk factor of node n."""
+    found = volatility_factors(ticks(spark, sf_dir)).select(F.struct("exchange", "coin").alias("seq"), "exchange", "coin", F.col("factor").alias("price"))
+    keyed = upsert_nodes(found).select("node_id", F.col("price").alias("factor"))
+    return market.join(keyed, "node_id").select("exchange", "coin", "factor")
+
+
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).withColumnRenamed("price", "actual_time")
 

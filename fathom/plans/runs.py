@@ -11,7 +11,9 @@ from fathom.functions import VOLATILITY_FACTOR
 from fathom.operators import build, exact, search, simulate, wallet
 from fathom.sources import generate
 
+# Seed, volumes and risk factor of the published runs.
 SEED = 42
+ADVERSE_FACTOR = 0.2
 VOLUMES = (500.0, 1_000.0, 5_000.0, 10_000.0, 50_000.0, 100_000.0, 200_000.0)
 
 
@@ -73,6 +75,12 @@ def basic_experiment(spark: SparkSession, exchanges: int = 4, coins: int = 3, ma
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def adversarial_experiment(spark: SparkSession, exchanges: int = 4, coins: int = 3, max_depth: int = 5, factor: float = ADVERSE_FACTOR, top: int = 3, markets=generate.adversarial_market) -> DataFrame:
+    """The best two-level opportunities of an adverse market by astar, with a higher price risk factor."""
+    nodes, edges = markets(spark, exchanges, coins, seed=SEED)
+    return simulate.opportunities(nodes, edges, "astar", max_depth, factor).orderBy(F.desc("net_profit"), "description", "path", "target").limit(top)
+
+
 def fiat_market(nodes: DataFrame, supported: DataFrame | None = None, **costs) -> tuple[DataFrame, DataFrame]:
     """Nodes with fiat money, and their edges."""
     every = build.fiat_nodes(nodes, supported)

@@ -1,4 +1,4 @@
-"""Rolling statistics of unbounded ticks and transfers: the last N values of each key as list state.
+"""Rolling statistics of unbounded ticks and transfers: the last N values of each key as list state; nodes as keyed state.
 
 The window counts rows, so there is no event time to wait for: rows of a micro-batch are taken in order of ``seq``,
 batches in order of arrival. Over the same order the results equal those of operators.rolling.
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fathom.operators.rolling import DEFAULT_PERCENTILE, DEFAULT_VOLATILITY, LEAST_VOLATILITY, MARKET, PRICE_WINDOW, ROUTE, TRANSFER_WINDOW
@@ -59,3 +60,48 @@ def streaming_volatility(ticks: DataFrame, window: int = PRICE_WINDOW, keys: lis
 
 def streaming_transfer_estimates(transfers: DataFrame, percentile: float = DEFAULT_PERCENTILE, window: int = TRANSFER_WINDOW, keys: list[str] | None = None) -> DataFrame:
     return _run(transfers, keys or ROUTE, "actual_time", window, lambda x: (float(np.percentile(x, percentile)), float(x.mean())), "estimated_time double, average_time double")
+
+
+class NodeState(StatefulProcessor):
+    """One node for each (exchange, coin): its id and its price, which the last update by seq sets."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("node", "node_id int, price double, seq long")
+
+    def handleInitialState(self, key, rows: pd.DataFrame, timerValues) -> None:
+        for r in rows.itertuples():
+            self.state.update((int(r.node_id), float(r.price), -(1 << 63)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).dropna(subset=["price"])
+        if not self.state.exists() or new.empty:  # unknown keys are ignored
+            return
+        node, old, seq = self.state.get()
+        last = new.sort_values("seq", kind="stable").iloc[-1]
+        if last["seq"] < seq:  # an update that came late
+            return
+        self.state.update((node, float(last["price"]), int(last["seq"])))
+        if last["price"] != old:
+            yield pd.DataFrame([(node, *key, float(last["price"]), int(last["seq"]))])
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_prices(updates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, exchange, coin, price, seq of every node whose price a batch of ``updates`` (seq long, exchange, coin, price) changed; over the
+    same updates the last row of each node is that of graph.update_prices(). The state starts from ``nodes``, unknown keys are
+    ignored, updates older than a node's last are, too. Needs the RocksDB state store; output mode update."""
+    from fathom.operators.graph import KEY
+
+    first = nodes.select(*KEY, "node_id", "price").groupBy(*KEY)
+    keyed = updates.select(*KEY, F.col("seq").cast("long").alias("seq"), "price").groupBy(*KEY)
+    return keyed.transformWithStateInPandas(NodeState(), outputStructType="node_id int, exchange string, coin string, price double, seq long", outputMode="Update", timeMode="None", initialState=first)
+
+
+def changed_edges(changed: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, new_price, seq and the columns of ``edges`` for the edges at changed nodes, either end: only these have to be searched again. Weights stay
+    as they are, as in batches."""
+    new = changed.select("node_id", F.col("price").alias("new_price"), "seq")
+    out = new.join(edges, F.col("node_id") == F.col("src"))
+    return out.unionByName(new.join(edges, F.col("node_id") == F.col("dst")))

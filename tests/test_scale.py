@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import build, metrics, orderstats, rolling, simulate, tables
+from fathom.operators import build, metrics, orderstats, rolling, search, simulate, tables
 from fathom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +127,12 @@ def test_median_plan_has_no_task_with_all_values(spark):
     text = plan(catalog.QUERIES["metrics_summary"](spark, SF))
     assert "median" not in text.replace("median_roi", "") and "percentile" not in text
     assert metrics.summary(metrics.opportunity_log(catalog.M.orders_log(spark, SF)).where("false")).count() == 0
+
+
+def test_named_paths(spark):
+    found = spark.createDataFrame([(1, [0, 2, 0]), (1, [0, 2, 0]), (2, []), (3, [9, 1])], "start int, path array<int>")
+    nodes = spark.createDataFrame([(0, "A", "X"), (1, "B", "Y"), (2, "C", "Z")], "node_id int, exchange string, coin string")
+    got = sorted((r.start, r.path_labels) for r in search.path_labels(found, nodes).collect())
+    assert got == [(1, "A(X) -> C(Z) -> A(X)"), (1, "A(X) -> C(Z) -> A(X)"), (2, ""), (3, "B(Y)")]
+    steps = [r.steps for r in search.named_paths(found, nodes, F.struct("exchange", "coin")).where("start = 1").collect()]
+    assert steps[0][1].coin == "Z" and "BroadcastNestedLoop" not in plan(search.path_labels(found, nodes))
