@@ -1,13 +1,17 @@
 """Line dedup (5): content-defined chunks of lines, DataFrame and SQL functions only.
 
-Lines are hashed, and a rolling hash over two lines slides through each text. A chunk boundary falls between two lines
-whose rolling hash no earlier place has, so a chunk is a longest run of lines that follow each other elsewhere, too.
-Boundaries depend on the lines next to them alone: a passage that moved to another place in another text is cut at its
-own ends, whatever stands around it. (A boundary wherever the rolling hash is a multiple of some number would glue a
-passage's first and last lines to their neighbours and leave short passages without any chunk of their own.) A line of at
-least ``LONG`` bytes that an earlier place has is a chunk, too. Chunks of at least ``min_lines`` lines and ``min_bytes``
-bytes, and long lines, are removed; the first occurrence, by (doc_id, text hash, line), stays. Within a document a pair
-of lines does not count as earlier for the pair that starts at its second line.
+Lines are hashed, and a rolling hash over two lines slides through each text. Places with one rolling hash repeat the first of
+them, by (doc_id, text hash, line). A chunk is a longest run of lines whose rolling hashes have their first places one after
+the other in one earlier text, so it stands there as a whole; where a pair inside it stands somewhere earlier still, the run
+goes on if the pairs around it do, and lines that are all equal make one run. Chunks don't overlap: from the start of a text
+on, each takes what the one before has left, if two lines are left. So a boundary lies where the lines next to it stop
+following each other as they do elsewhere: a passage that moved is cut at its own ends, whatever stands around it, and
+texts without its lines move no boundary. (A boundary wherever the rolling hash is a multiple of some number would glue a
+passage's first and last lines to their neighbours and leave short passages without any chunk of their own.)
+
+A line of at least ``LONG`` bytes that an earlier place has, outside of such chunks, is a chunk, too. Chunks of at least
+``min_lines`` lines and ``min_bytes`` bytes, and long lines, are removed; the first place stays. Within a document a pair of
+lines does not count as earlier for the pair that starts at its second line.
 
 The table of rolling hashes is thin and made straight from the scan. Its repeats are found by an aggregation with
 map-side combine and written, so the join that tells them to the places has plain inputs and Spark splits its hot keys.
@@ -44,12 +48,12 @@ def split_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
 
 
 def pairs(keyed: DataFrame, bodies: bool = False) -> DataFrame:
-    """(doc_id, dh, i, a, b, two): two = 1 for lines i and i + 1 with hashes a and b, two = 0 for a long line i (b is 0);
-    with ``bodies`` their text as well."""
+    """(doc_id, dh, i, a, b, two, even): two = 1 for lines i and i + 1 with hashes a and b, even if they are equal, two = 0 for a
+    long line i (b is 0); with ``bodies`` their text as well."""
     body = ", concat(lines[i], '\n', lines[i + 1]) AS body" if bodies else ""
     alone = ", lines[i] AS body" if bodies else ""
-    two = f"transform(sequence(0, size(h) - 2), i -> struct(i AS i, h[i] AS a, h[i + 1] AS b, 1 AS two{body}))"
-    one = f"transform(filter(sequence(0, size(h) - 1), i -> octet_length(lines[i]) >= {LONG}), i -> struct(i AS i, h[i] AS a, 0L AS b, 0 AS two{alone}))"
+    two = f"transform(sequence(0, size(h) - 2), i -> struct(i AS i, h[i] AS a, h[i + 1] AS b, 1 AS two, lines[i] = lines[i + 1] AS even{body}))"
+    one = f"transform(filter(sequence(0, size(h) - 1), i -> octet_length(lines[i]) >= {LONG}), i -> struct(i AS i, h[i] AS a, 0L AS b, 0 AS two, false AS even{alone}))"
     return split_lines(keyed, "text", "doc_id", "dh").selectExpr("doc_id", "dh", f"inline(concat(IF(size(h) > 1, {two}, array()), {one}))")
 
 
@@ -58,16 +62,34 @@ PLACE = "struct(doc_id IS NOT NULL AS known, doc_id, dh, i)"
 EARLIER = f"{PLACE} <> first AND NOT (two = 1 AND doc_id <=> first.doc_id AND dh = first.dh AND i = first.i + 1)"
 
 
+#: Equal for pairs of lines that follow each other both here and at their first places.
+TRACK = "xxhash64(first.doc_id, first.dh, first.i - i)"
+
+
 def chunks_of(marked: DataFrame) -> DataFrame:
-    """(doc_id, dh, chunks, members) of places (doc_id, dh, i, two, copy): chunks (s, e: first and last line) of pairs with
-    copy that share a line, members: the lines of all. A document's rows: as many as its lines."""
-    own = Window.partitionBy("doc_id", "dh").orderBy("i", F.col("two").desc())
-    before = F.max(F.expr("IF(copy, i + two, NULL)")).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    edges = marked.withColumn("new", F.when(F.col("copy") & (before.isNull() | (F.col("i") > before)), 1).otherwise(0))
-    edges = edges.withColumn("k", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = edges.groupBy("doc_id", "dh", "k").agg(F.expr("min(IF(copy, i, NULL)) AS s"), F.expr("max(IF(copy, i + two, NULL)) AS e"), F.expr("array_union(collect_set(i), collect_set(i + two)) AS m"))
-    chunk = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
-    return runs.groupBy("doc_id", "dh").agg(F.sort_array(F.collect_list(chunk)).alias("chunks"), F.array_distinct(F.flatten(F.collect_list("m"))).alias("members"))
+    """(doc_id, dh, chunks, members) of places (doc_id, dh, i, two, even, copy, track): chunks (s, e: first and last line) that stand
+    elsewhere as a whole and don't overlap, members: the lines of all places. A document's rows: as many as its lines."""
+    text = ["doc_id", "dh"]
+    own = Window.partitionBy(*text).orderBy(F.col("two").desc(), "i")
+    pair = F.expr("IF(copy AND two = 1, struct(i, track, even), NULL)")
+    df = marked.withColumn("pair", pair).withColumns({"before": F.lag("pair").over(own), "after": F.lead("pair").over(own)})
+    # A pair between two of one track whose own first place is another's.
+    df = df.withColumn("inner", F.expr("coalesce(before.i = i - 1 AND after.i = i + 1 AND pair.track <> before.track AND before.track = after.track, false)"))
+    df = df.withColumn("bridge", F.col("inner") & ~F.lag("inner", 1, False).over(own) & ~F.lead("inner", 1, False).over(own))
+    goes_on = F.expr("pair IS NOT NULL AND before.i = i - 1") & (F.expr("before.track = track OR before.even AND even") | F.col("bridge") | F.lag("bridge", 1, False).over(own))
+    df = df.withColumn("r", F.sum(F.when(goes_on, 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = df.groupBy(*text, "r").agg(F.min("i").alias("s"), F.max(F.expr("i + two")).alias("e"), F.max("two").alias("two"), F.bool_or("copy").alias("copy"), F.expr("array_union(collect_set(i), collect_set(i + two))").alias("m"))
+    # Runs that share a line: one of two lines is used up by the run before it, unless that one was itself.
+    runs = runs.withColumn("run", F.expr("copy AND two = 1"))
+    line = Window.partitionBy(*text).orderBy(F.col("run").desc(), "s")
+    runs = runs.withColumn("touch", F.col("run") & F.coalesce(F.lag("run").over(line) & (F.lag("e").over(line) == F.col("s")), F.lit(False)))
+    runs = runs.withColumn("part", F.sum(F.expr("IF(touch AND e - s < 2, 0, 1)")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("used", F.col("run") & (F.row_number().over(Window.partitionBy(*text, "part").orderBy("s")) % 2 == 1))
+    runs = runs.withColumn("s", F.when(F.col("touch") & F.lag("used", 1, False).over(line), F.col("s") + 1).otherwise(F.col("s")))
+    start = Window.partitionBy(*text).orderBy("s", F.col("two").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("covered", F.coalesce(F.max(F.expr("IF(used, e, NULL)")).over(start) >= F.col("s"), F.lit(False)))
+    chunk = F.when(F.expr("used OR two = 0 AND copy AND NOT covered"), F.struct("s", "e"))
+    return runs.groupBy(*text).agg(F.sort_array(F.collect_list(chunk)).alias("chunks"), F.array_distinct(F.flatten(F.collect_list("m"))).alias("members"))
 
 
 def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
@@ -76,7 +98,7 @@ def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
     thin = materialise(pairs(keyed), "line-pairs")
     repeats = thin.groupBy(*KEY).agg(F.expr(f"min({PLACE})").alias("first"), F.expr(f"max({PLACE})").alias("last")).where("first <> last").drop("last")
     repeats = materialise(repeats, "line-repeats")
-    places = ["doc_id", "dh", "i", "two", f"{EARLIER} AS copy"]
+    places = ["doc_id", "dh", "i", "two", "even", f"{EARLIER} AS copy", f"{TRACK} AS track"]
     own = [f"c{i}" for i in range(len(docs.columns))]
 
     def told(marked: DataFrame) -> DataFrame:
@@ -140,18 +162,38 @@ WITH lined AS (
 ), followed AS (
     SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM lined
 ), parts AS (
-    SELECT doc_id, i AS s, i + 1 AS e, line || chr(10) || next AS body, 1 AS two FROM followed WHERE i < n - 1
-    UNION ALL SELECT doc_id, i, i, line, 0 FROM lined WHERE strlen(line) >= {LONG}
+    SELECT doc_id, i AS s, i + 1 AS e, line || chr(10) || next AS body, 1 AS two, line = next AS even FROM followed WHERE i < n - 1
+    UNION ALL SELECT doc_id, i, i, line, 0, false FROM lined WHERE strlen(line) >= {LONG}
 ), placed AS (
     SELECT *, first_value(doc_id) OVER w AS fd, first_value(s) OVER w AS fs FROM parts WINDOW w AS (PARTITION BY two, body ORDER BY doc_id, s)
 ), copied AS (
-    SELECT doc_id, s, e FROM placed WHERE (doc_id <> fd OR s <> fs) AND NOT (two = 1 AND doc_id = fd AND s = fs + 1)
+    SELECT doc_id, s, fd, fs - s AS shift, coalesce(even, false) AS even FROM placed WHERE two = 1 AND (doc_id <> fd OR s <> fs) AND NOT (doc_id = fd AND s = fs + 1)
+), near AS (
+    SELECT *, lag(s) OVER w = s - 1 AS goes, lead(s) OVER w = s + 1 AS follows, lag(fd) OVER w AS bd, lag(shift) OVER w AS bs, lag(even) OVER w AS be, lead(fd) OVER w AS ad, lead(shift) OVER w AS ash
+    FROM copied WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+), inner_ AS (
+    SELECT *, coalesce(goes AND follows AND (fd, shift) <> (bd, bs) AND (bd, bs) = (ad, ash), false) AS mid FROM near
+), bridged AS (
+    SELECT *, mid AND NOT lag(mid, 1, false) OVER w AND NOT lead(mid, 1, false) OVER w AS bridge FROM inner_ WINDOW w AS (PARTITION BY doc_id ORDER BY s)
 ), fresh AS (
-    SELECT *, CAST(coalesce(s > max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS INTEGER) AS new FROM copied
+    SELECT *, CASE WHEN goes AND ((fd, shift) = (bd, bs) OR (even AND be) OR bridge OR lag(bridge, 1, false) OVER (PARTITION BY doc_id ORDER BY s)) THEN 0 ELSE 1 END AS new FROM bridged
 ), numbered AS (
-    SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM fresh
+    SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM fresh
+), runs AS (
+    SELECT doc_id, k, min(s) AS s, max(s) + 1 AS e FROM numbered GROUP BY doc_id, k
+), touching AS (
+    SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s) = s, false) AS touch FROM runs
+), parted AS (
+    SELECT *, sum(CASE WHEN touch AND e - s < 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM touching
+), used AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY s) % 2 = 1 AS used FROM parted
+), begun AS (
+    SELECT doc_id, s + CASE WHEN touch AND lag(used, 1, false) OVER (PARTITION BY doc_id ORDER BY s) THEN 1 ELSE 0 END AS s, e, used FROM used
+), several AS (
+    SELECT doc_id, s, e FROM begun WHERE used
 ), chunks AS (
-    SELECT doc_id, min(s) AS s, max(e) AS e FROM numbered GROUP BY doc_id, k
+    SELECT * FROM several
+    UNION ALL SELECT doc_id, s, e FROM placed p WHERE two = 0 AND (doc_id <> fd OR s <> fs) AND NOT EXISTS (SELECT 1 FROM several c WHERE c.doc_id = p.doc_id AND p.s BETWEEN c.s AND c.e)
 ), sized AS (
     SELECT c.doc_id, c.s, c.e, sum(strlen(l.line)) + count(*) - 1 AS bytes
     FROM chunks c JOIN lined l ON l.doc_id = c.doc_id AND l.i BETWEEN c.s AND c.e GROUP BY ALL

@@ -80,24 +80,50 @@ def brute_lines(rows):
             first[body] = min(first.get(body, (d, s)), (d, s))
     out = {}
     for d, x in lines.items():
-        joined, gone = set(), set()
+        track, single = {}, set()
         for s, e, body in parts(d):
             at = first[body]
             if at != (d, s) and not (e > s and at == (d, s - 1)):
-                joined.add((s, e))
-        k = 0
-        while k < len(x):
-            end = k
-            while (end, end + 1) in joined:
-                end += 1
-            size = len("\n".join(x[k : end + 1]).encode())
-            if end > k and size >= linededup.MIN_BYTES or end == k and (k, k) in joined:
-                gone.update(range(k, end + 1))
-            k = end + 1
+                if e > s:
+                    track[s] = (at[0], at[1] - s)
+                else:
+                    single.add(s)
+        inner = {i for i in track if i - 1 in track and i + 1 in track and track[i - 1] == track[i + 1] != track[i]}
+        bridge = {i for i in inner if not {i - 1, i + 1} & inner}
+        even = lambda i: x[i] == x[i + 1]  # noqa: B023, E731
+        runs = []
+        for i in sorted(track):
+            goes_on = i - 1 in track and (track[i] == track[i - 1] or (even(i) and even(i - 1)) or i in bridge or i - 1 in bridge)
+            if goes_on:
+                runs[-1][1] = i + 1
+            else:
+                runs.append([i, i + 1])
+        gone, end = set(), -1
+        for s, e in runs:
+            s = max(s, end + 1)
+            if e > s:
+                end = e
+                single -= set(range(s, e + 1))
+                if len("\n".join(x[s : e + 1]).encode()) >= linededup.MIN_BYTES:
+                    gone.update(range(s, e + 1))
+        gone |= single
         out[d] = "\n".join(y for i, y in enumerate(x) if i not in gone)
     return out
 
 
+def test_chunks_stand_elsewhere_as_a_whole(spark):
+    """P,Q and Q,R stand elsewhere, P,Q,R does not; of a run with a pair that stands elsewhere earlier still all goes."""
+    p, q, r, s, t = (f"{c} line of some forty bytes, {c} as in the alphabet" for c in "pqrst")
+    rows = [(1, [p, q]), (2, [q, r]), (3, [p, q, r]), (4, [r, s, t, p]), (5, ["a b", r, s, t, p, "c d"])]
+    rows += [(6, [q, r, s, t, "e f"]), (7, ["only here", q, r, s, t, "here, too"]), (8, [t, s]), (9, [s, r]), (10, [t, s, r, "end"])]
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in rows], "doc_id long, text string")
+    got = {x.doc_id: x.text for x in linededup.line_dedup(df).collect()}
+    assert got[3] == r and got[5] == "a b\nc d" and got[7] == "only here\nhere, too" and got[10] == f"{r}\nend"
+    more = df.unionByName(spark.createDataFrame([(100 + i, f"unrelated {i}\nlines {i * i}\nof another text") for i in range(30)], df.schema))
+    assert {x.doc_id: x.text for x in linededup.line_dedup(more).where("doc_id < 100").collect()} == got
+    assert got == brute_lines([(d, "\n".join(x)) for d, x in rows])
+
+
 @pytest.mark.parametrize("hash_", [linededup.HASH, "pmod(xxhash64({}), 7L)"])  # the second one has collisions all over
 def test_line_dedup(spark, monkeypatch, hash_):
     monkeypatch.setattr(linededup, "HASH", hash_)
