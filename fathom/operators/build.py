@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import DEFAULT_FEE, DEFAULT_TIME, VOLATILITY_SCALE, edge_weight, is_fiat, volatility_cost
+from fathom.operators.tables import dense_numbers
 
 COLUMNS = ["src", "dst", "src_exchange", "src_coin", "src_price", "dst_exchange", "dst_coin", "dst_price"]
 COSTS = ["fee", "volatility_cost", "transfer_time", "weight"]
@@ -107,7 +108,7 @@ def reachable(nodes: DataFrame, listings: DataFrame) -> DataFrame:
     return out.where(F.col("known").isNull() | F.col("listed").isNotNull()).select(*nodes.columns)
 
 
-def fiat_nodes(nodes: DataFrame, supported: DataFrame | None = None, default: str = "USD") -> DataFrame:
+def fiat_nodes(nodes: DataFrame, supported: DataFrame | None = None, default: str = "USD", spread: bool = False) -> DataFrame:
     """``nodes`` and a node of price 1 for each fiat currency of an exchange: those of ``supported`` (exchange, fiat), the
     default for exchanges without a row there. New ids follow the highest, by exchange and currency."""
     key = ["exchange", "coin"]
@@ -116,8 +117,7 @@ def fiat_nodes(nodes: DataFrame, supported: DataFrame | None = None, default: st
         wanted = wanted.join(supported, "exchange", "left_anti").unionByName(supported.select("exchange", F.col("fiat").alias("coin")).distinct())
     known = nodes.join(wanted.withColumn("money", F.lit(True)), key, "left").withColumn("price", F.when(F.col("money"), 1.0).otherwise(F.col("price")))
     first = nodes.agg(F.coalesce(F.max("node_id") + 1, F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.orderBy(*key)) - 1
-    new = wanted.join(nodes, key, "left_anti").withColumn("place", place).join(F.broadcast(first), F.lit(True))
+    new = dense_numbers(wanted.join(nodes, key, "left_anti"), key, "place", spread).join(F.broadcast(first), F.lit(True))
     new = new.select((F.col("first") + F.col("place")).cast("int").alias("node_id"), *key, F.lit(1.0).alias("price"))
     return known.select("node_id", *key, "price").unionByName(new)
 

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import edge_weight
+from fathom.operators.tables import dense_numbers
 
 KEY = ["exchange", "coin"]
 
 
-def upsert_nodes(rows: DataFrame) -> DataFrame:
+def upsert_nodes(rows: DataFrame, spread: bool = False) -> DataFrame:
     """From (seq, exchange, coin, price): one node for each key, at the place of its first row, with the price of its
-    last. Gives node_id (dense, from 0), exchange, coin, price."""
+    last. Gives node_id (dense, from 0), exchange, coin, price. ``spread``: numbers by ranges, for very many nodes."""
     merged = rows.groupBy(*KEY).agg(F.max_by("price", "seq").alias("price"), F.min("seq").alias("first_seq"))
-    # A node set has a row for each venue and coin, so one ordered pass over it is small.
-    place = F.row_number().over(Window.orderBy("first_seq", *KEY)) - 1
-    return merged.select(place.cast("int").alias("node_id"), *KEY, "price")
+    return dense_numbers(merged, ["first_seq", *KEY], "place", spread).select(F.col("place").cast("int").alias("node_id"), *KEY, "price")
 
 
 def find_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import VOLATILITY_FACTOR
@@ -10,15 +10,16 @@ from fathom.operators.build import panel_edges
 from fathom.operators.exact import exact_cycles
 from fathom.operators.orderstats import order_statistics
 from fathom.operators.search import cycles, two_level
+from fathom.operators.tables import dense_numbers
 
 RISK = 0.05
 LEAST_RUNS = 20
 
 
-def panel_nodes(panel: DataFrame, snapshot: str) -> DataFrame:
+def panel_nodes(panel: DataFrame, snapshot: str, spread: bool = False) -> DataFrame:
     """(snapshot, exchange, coin, price) with ids by (exchange, coin), equal across snapshots."""
-    keys = panel.select("exchange", "coin").distinct()
-    ids = keys.select("exchange", "coin", (F.row_number().over(Window.orderBy("exchange", "coin")) - 1).cast("int").alias("node_id"))
+    keys = dense_numbers(panel.select("exchange", "coin").distinct(), ["exchange", "coin"], "place", spread)
+    ids = keys.select("exchange", "coin", F.col("place").cast("int").alias("node_id"))
     return panel.join(ids, ["exchange", "coin"]).select(snapshot, "node_id", "exchange", "coin", "price")
 
 

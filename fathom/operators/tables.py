@@ -37,8 +37,23 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], rank: str = "rank
     dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     dealt = stored(dealt, "ranges").withColumn("__part", F.shiftright("__at", IN_TASK))
     sizes = dealt.groupBy("__part", *keys).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
+    if keys:
+        before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first"))
+    else:  # a row for each range
+        found, bases, total = sorted(map(tuple, sizes.collect())), [], 0
+        for part, n, first in found:
+            bases.append((part, total - first))
+            total += n
+        sizes = F.broadcast(spark.createDataFrame(bases, "__part long, __base long"))
     same = [F.col("a.__part") == F.col("b.__part"), *[F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]]
     joined = dealt.alias("a").join(sizes.alias("b"), same)
     return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col("a.__at") + F.col("b.__base")).alias(rank))
+
+
+def dense_numbers(rows: DataFrame, order: list[str], name: str, spread: bool = False) -> DataFrame:
+    """Adds numbers from 0 in ``order``. ``spread``: by ranges, else in one ordered pass, which is quicker for sets that fit a task,
+    as the nodes of a graph do whose complete edges are their square."""
+    if spread:
+        return ranked(rows, [], order, name)
+    return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))

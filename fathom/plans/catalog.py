@@ -75,7 +75,7 @@ def nodes_build(spark, d):
  SELECT CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS node_id, exchange, coin, price FROM m""")
 def nodes_upsert_last_wins(spark, d):
     o = M.table(spark, d, "orders")
-    return graph.upsert_nodes(o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("E"), (F.col("o_custkey") % 7).cast("string")).alias("exchange"), F.concat(F.lit("C"), (F.col("o_custkey") % 5).cast("string")).alias("coin"), F.col("o_totalprice").alias("price")))
+    return graph.upsert_nodes(o.select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("E"), (F.col("o_custkey") % 7).cast("string")).alias("exchange"), F.concat(F.lit("C"), (F.col("o_custkey") % 5).cast("string")).alias("coin"), F.col("o_totalprice").alias("price")), spread=True)
 
 
 DENSE = "SELECT src, dst, src_exchange, src_coin, src_price, dst_exchange, dst_coin, dst_price, fee, v AS volatility_cost, time AS transfer_time, fee + v AS weight"
@@ -140,7 +140,7 @@ def fiat_flag(spark, d):
  SELECT * FROM node UNION ALL SELECT CAST(24 + row_number() OVER (ORDER BY exchange, coin) AS INTEGER), exchange, coin, 1e0 FROM money""")
 def fiat_nodes_supported(spark, d):
     own = spark.createDataFrame([("ASIA", "USD"), ("ASIA", "EUR")], "exchange string, fiat string")
-    return build.fiat_nodes(M.nodes(spark, d), own)
+    return build.fiat_nodes(M.nodes(spark, d), own, spread=True)
 
 
 @query("fiat_bridge_paths", f"""WITH {NODE}, {FIAT_NODE} SELECT a.exchange AS src_exchange, c.exchange AS dst_exchange, a.node_id || '->' || b.node_id || '->' || c.node_id || '->' || e.node_id AS path
@@ -570,7 +570,7 @@ PANEL = """panel AS (SELECT date_trunc('day', ts) AS ts, event_type AS exchange,
 
 @query("panel_edges", f"WITH {PANEL} SELECT ts, src, dst, 2e-3 + v AS weight FROM pedge")
 def panel_edges(spark, d):
-    n = simulate.panel_nodes(M.panel(spark, d), "ts")
+    n = simulate.panel_nodes(M.panel(spark, d), "ts", spread=True)
     return build.panel_edges(n, "ts").select("ts", "src", "dst", "weight")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import build, metrics, orderstats, rolling, search, simulate, tables
+from fathom.operators import build, graph, metrics, orderstats, rolling, search, simulate, tables
 from fathom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -136,3 +136,16 @@ def test_named_paths(spark):
     assert got == [(1, "A(X) -> C(Z) -> A(X)"), (1, "A(X) -> C(Z) -> A(X)"), (2, ""), (3, "B(Y)")]
     steps = [r.steps for r in search.named_paths(found, nodes, F.struct("exchange", "coin")).where("start = 1").collect()]
     assert steps[0][1].coin == "Z" and "BroadcastNestedLoop" not in plan(search.path_labels(found, nodes))
+
+
+def test_dense_numbers(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(10**6), f"E{rng.randrange(40)}", f"C{rng.randrange(40)}", rng.random()) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "seq int, exchange string, coin string, price double").dropDuplicates(["seq"])
+    a, b = graph.upsert_nodes(df), graph.upsert_nodes(df, spread=True)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert "SinglePartition" not in plan(b) and "SinglePartition" in plan(a)
+    panel = df.selectExpr("seq % 3 AS ts", "exchange", "coin", "price").dropDuplicates(["ts", "exchange", "coin"])
+    ids = lambda spread: sorted(map(tuple, simulate.panel_nodes(panel, "ts", spread).collect()))
+    assert ids(True) == ids(False)
+    assert sorted(map(tuple, build.fiat_nodes(a, spread=True).collect())) == sorted(map(tuple, build.fiat_nodes(a).collect()))
