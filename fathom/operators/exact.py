@@ -93,7 +93,7 @@ def _arcs(nodes: DataFrame, edges: DataFrame, keys: list[str], factor: float, ga
     price = lambda at: nodes.select(*keys, F.col("node_id").alias(at), F.col("price").alias(f"{at}_now"))
     out = edges.select(*keys, seq.alias("edge_seq"), "src", "dst", "weight", "transfer_time", own.alias("factor"))
     out = out.join(price("src"), [*keys, "src"]).join(price("dst"), [*keys, "dst"])
-    return (out.where(admissible("src_now", "dst_now", "weight")) if gated else out).select(*keys, *ARC)
+    return (out.where(admissible("src_now", "dst_now", "weight")) if gated else out).select(*[F.col(k).alias(k) for k in keys], *ARC)  # columns of its own, for joins with ``nodes``
 
 
 def _graph(arcs: pd.DataFrame) -> tuple[dict, dict]:
