@@ -104,12 +104,15 @@ def kept(docs: DataFrame, min_lines: int, min_bytes: int) -> DataFrame:
     def told(marked: DataFrame) -> DataFrame:
         """Documents with their chunks, which are written first, so the shuffles of places are gone when documents move."""
         found = materialise(chunks_of(marked), "line-chunks")
-        df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("full"))
+        # A text moves and is written once, as the column that it is.
+        df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, own)], F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column(docs)).alias("dh"))
         same = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.dh") == F.col("y.dh"))
-        df = df.withColumn("dh", F.xxhash64("full")).alias("x").join(found.hint("merge").alias("y"), same, "left")
-        out = materialise(df.select(*own, "full", "chunks", "members"), "line-documents")
+        df = df.alias("x").join(found.hint("merge").alias("y"), same, "left")
+        out = materialise(df.select(*own, "chunks", "members"), "line-documents")
         forget(found)
-        return out
+        whole = out.withColumn("full", text_column(out, own[docs.columns.index("text")]))
+        whole._fathom_path = out._fathom_path
+        return whole
 
     df = told(thin.join(repeats, KEY).selectExpr(*places))
     # Byte comparison: a hash that stands for one line only needs no more.
