@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +145,27 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(docs.where("false"), none).count() == 0
 
 
+def test_toxicity_learns_all_labelled_rows(spark, monkeypatch):
+    """Counts are those of every row that is not held out, also of rows larger than the driver's sample takes; a word that
+    is in no sampled row is learned."""
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8 * 300)
+    counted = []
+    monkeypatch.setattr(toxicity, "count_features", lambda fit, f=toxicity.count_features: counted.append((f(fit), fit.count())) or counted[-1][0])
+    rows = [(i, f"some words number{i % 7} " * 4 + ("badword " * 60 if i % 4 == 0 else "")) for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, known, sample=5).collect()
+    fit = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    row = toxicity.features(pa.array(["badword"]))[0, 0]
+    assert counted[0][1] == len(fit) and counted[0][0][:, row].tolist() == [0, sum(i % 4 == 0 for i in fit)]
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.held_out)
+
+
+def test_words_of_blank_texts():
+    words, codes, offsets = toxicity.split_words(["", " a  b ", " ", "b"])
+    assert offsets.tolist() == [0, 0, 2, 2, 3] and [words[c].as_py() for c in codes] == ["a", "b", "b"]
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 7, "b": 2.5, "c": 0.01}, {"a": 1}])
 def test_pfair_plan(weights):
     blocks = {s: 40 * (k + 1) for k, s in enumerate(sorted(weights))}
