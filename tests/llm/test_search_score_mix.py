@@ -161,6 +161,19 @@ def test_toxicity_learns_all_labelled_rows(spark, monkeypatch):
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.held_out)
 
 
+def test_pipeline_stage_learns_all_labelled_rows(spark, tmp_path, monkeypatch):
+    from fathom.llm import stages
+
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8 * 300)
+    counted = []
+    monkeypatch.setattr(toxicity, "count_features", lambda fit, f=toxicity.count_features: counted.append(fit.count()) or f(fit))
+    rows = [(i, f"some words number{i % 7} " * 4 + ("badword " * 60 if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in stages.toxicity(spark, docs, str(tmp_path)).collect()}
+    assert counted == [sum(zlib.crc32(str(i).encode()) % 4 in (0, 1) for i in range(400))] and kept == {i for i in range(400) if i % 4}
+
+
 def test_words_of_blank_texts():
     words, codes, offsets = toxicity.split_words(["", " a  b ", " ", "b"])
     assert offsets.tolist() == [0, 0, 2, 2, 3] and [words[c].as_py() for c in codes] == ["a", "b", "b"]
