@@ -174,6 +174,25 @@ def test_pipeline_stage_learns_all_labelled_rows(spark, tmp_path, monkeypatch):
     assert counted == [sum(zlib.crc32(str(i).encode()) % 4 in (0, 1) for i in range(400))] and kept == {i for i in range(400) if i % 4}
 
 
+def test_queries_learn_from_no_sample(spark, tmp_path, monkeypatch):
+    """Nothing of the model of op4_toxicity and of the pipeline's stage comes from a sample of the labelled rows."""
+    from fathom.llm import queries, stages
+
+    def stop(*args, **more):
+        raise AssertionError("a sample")
+
+    monkeypatch.setattr(toxicity, "first_weights", stop)
+    monkeypatch.setattr(toxicity, "train", stop)
+    rows, labels = corpus(600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op4_toxicity(spark, str(tmp_path)).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted == labels[r.doc_id][2] for r in held) >= 0.93 * len(held)
+    assert {r.doc_id for r in stages.toxicity(spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in got if not r.rejected}
+
+
 def test_words_of_blank_texts():
     words, codes, offsets = toxicity.split_words(["", " a  b ", " ", "b"])
     assert offsets.tolist() == [0, 0, 2, 2, 3] and [words[c].as_py() for c in codes] == ["a", "b", "b"]
