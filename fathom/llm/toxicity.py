@@ -7,8 +7,8 @@ training rows, the rest at random; all weights are then trained with Adagrad on
 
 All labelled rows that are not held out are learned from, whatever their number and size. A third of them
 (crc32(doc_id) mod 4 = 3) only serves to calibrate. The others are counted once for the log-odds, and then trained on in
-``ROUNDS`` rounds: they are dealt by a hash to parts of about ``PART_BYTES`` of text, each part trains on its rows from the
-same weights, and Spark averages what the parts changed, in whole numbers, so the order of tasks doesn't matter. A hashed
+``ROUNDS`` rounds: they are dealt once, by a hash, to parts of about ``PART_BYTES`` of text, in every round each part trains on
+its rows from the same weights, and Spark averages what the parts changed, in whole numbers, so the order of tasks doesn't matter. A hashed
 row's change is averaged over the parts that moved it. op4_toxicity and the pipeline take no sample (``sample=0``): filters
 start at random. Other callers may have the driver train first filters on a bounded sample (about ``sample`` rows of each
 class, at most ``SAMPLE_BYTES`` of text of each).
@@ -313,61 +313,71 @@ def count_features(fit: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(seen[0, row]), pa.array(seen[1, row])], names=["row", "clean", "toxic"])
         give_back()
 
-    got = fit.select("text", "toxic").mapInArrow(count, "row int, clean long, toxic long").groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    with settings(fit.sparkSession, WRITING):
+        got = fit.select("text", "toxic").mapInArrow(count, "row int, clean long, toxic long").groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     seen = np.zeros((2, ROWS), np.int64)
     seen[:, got.column("row").to_numpy()] = got.column("clean").to_numpy(), got.column("toxic").to_numpy()
     return seen
 
 
-def train_round(m: Model, fit: DataFrame, parts: int, seed: int) -> None:
-    """One epoch over all rows of ``fit``, in ``parts`` parts; then their changes are averaged in ``m``."""
-    shared = fit.sparkSession.sparkContext.broadcast(m)
+def train_round(m: Model, packed: DataFrame, seed: int) -> None:
+    """One epoch over all parts, each from ``m``; then their changes are averaged in ``m``."""
+    shared = packed.sparkSession.sparkContext.broadcast(m)
     names = [f"d{k}" for k in range(DIM)]
 
-    def step(part: pa.Table) -> pa.Table:
-        part = part.take(pc.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+    def step(batches):
         old = shared.value
-        new = Model(table=old.table.copy(), filters=[f.copy() for f in old.filters], bias=old.bias.copy(), out=old.out.copy(), out_bias=old.out_bias)
-        moved = np.flatnonzero(descend(new, part.column("text").to_pylist(), part.column("toxic").to_numpy().astype(np.float32), 1, seed))
-        moved = moved[moved > 0]
-        rest = (dense(new) - dense(old)) * part.num_rows
-        change = np.concatenate((new.table[moved].astype(np.float64) - old.table[moved], rest))
-        row = np.concatenate((moved, ROWS + np.arange(len(rest))))
-        n = np.where(row < ROWS, 1, part.num_rows)
-        change = np.rint(change * UNIT).astype(np.int64)
+        start = dense(old)
+        change, n = np.zeros((ROWS + len(start), DIM), np.int64), np.zeros(ROWS + len(start), np.int64)
+        for batch in batches:
+            for rows in batch.column(0):
+                part = rows.values
+                new = Model(table=old.table.copy(), filters=[f.copy() for f in old.filters], bias=old.bias.copy(), out=old.out.copy(), out_bias=old.out_bias)
+                moved = np.flatnonzero(descend(new, part.field("text").to_pylist(), part.field("toxic").to_numpy().astype(np.float32), 1, seed))
+                moved = moved[moved > 0]
+                change[moved] += np.rint((new.table[moved].astype(np.float64) - old.table[moved]) * UNIT).astype(np.int64)
+                n[moved] += 1
+                change[ROWS:] += np.rint((dense(new) - start) * len(part) * UNIT).astype(np.int64)
+                n[ROWS:] += len(part)
+        (row,) = n.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(n[row]), *(pa.array(c) for c in change[row].T)], names=["row", "n", *names])
         give_back()
-        return pa.table([pa.array(row.astype(np.int32)), pa.array(n), *(pa.array(c) for c in change.T)], names=["row", "n", *names])
 
-    dealt = fit.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(parts)).alias("part"))
-    out = dealt.groupBy("part").applyInArrow(step, "row int, n long, " + ", ".join(f"{c} long" for c in names))
-    with settings(fit.sparkSession, WRITING):
-        got = out.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]).toArrow()  # at most ROWS and a few rows
-    row, n = got.column("row").to_numpy(), got.column("n").to_numpy()
-    change = np.stack([got.column(c).to_numpy() for c in names], 1) / UNIT / n[:, None]
+    out = packed.select("rows").mapInArrow(step, "row int, n long, " + ", ".join(f"{c} long" for c in names))
+    means = [(F.sum(c) / UNIT / F.sum("n")).cast("float").alias(c) for c in names]
+    with settings(packed.sparkSession, WRITING):
+        got = out.groupBy("row").agg(*means).toArrow()  # at most ROWS and a few rows
+    row = got.column("row").to_numpy()
     own = row < ROWS
-    m.table[row[own]] += change[own].astype(np.float32)
-    rest = np.zeros_like(dense(m))
-    rest[row[~own] - ROWS] = change[~own]
-    put_dense(m, dense(m) + rest)
-    shared.unpersist()
+    rest = dense(m)
+    for k, c in enumerate(names):
+        change = got.column(c).to_numpy()
+        m.table[row[own], k] += change[own]
+        rest[row[~own] - ROWS, k] += change[~own]
+    put_dense(m, rest)
+    del got, change
+    shared.destroy()
+    give_back()
 
 
-def calibrate_all(m: Model, rows: DataFrame) -> None:
-    """Scaling, and thresholds by language, from all calibration rows (lang, text, toxic)."""
+def calibrate_all(m: Model, rows: DataFrame, known: DataFrame) -> None:
+    """Scaling, and thresholds by language, from all calibration rows (doc_id, lang, text) that ``known`` labels. Logits
+    meet the labels, so no text moves."""
     shared = rows.sparkSession.sparkContext.broadcast(m)
 
     def place(parts):
         for part in parts:
             for a, b, texts in slices(part.column(2), CHARS):
                 z = np.rint(np.clip(shared.value.logits(texts).astype(np.float64), -30, 30) * STEPS).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0)[a:b], part.column(1)[a:b], pa.array(z)], names=["lang", "toxic", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0)[a:b], part.column(1)[a:b], pa.array(z)], names=["doc_id", "lang", "z"])
         give_back()
 
     def cut(part: pa.Table) -> pa.Table:
         z, y, n = (part.column(c).to_numpy().astype(np.float64) for c in ("z", "toxic", "n"))
         return pa.table([part.column("lang")[:1], pa.array([best_cut(z / STEPS, y, n)])], names=["lang", "cut"])
 
-    counted = materialise(rows.select("lang", "toxic", "text").mapInArrow(place, "lang string, toxic int, z int").groupBy("lang", "toxic", "z").agg(F.count("*").alias("n")), "toxicity-logits")
+    placed = rows.select("doc_id", "lang", "text").mapInArrow(place, "doc_id long, lang string, z int")
+    counted = materialise(placed.join(known, "doc_id").groupBy("lang", "toxic", "z").agg(F.count("*").alias("n")), "toxicity-logits")
     every = counted.groupBy("toxic", "z").agg(F.sum("n").alias("n")).orderBy("z", "toxic").toArrow()  # at most 2 x 60 x STEPS and 2 rows
     z, y, n = (every.column(c).to_numpy().astype(np.float64) for c in ("z", "toxic", "n"))
     calibrate(m, z / STEPS, y, n)
@@ -375,7 +385,15 @@ def calibrate_all(m: Model, rows: DataFrame) -> None:
     cuts = counted.join(both.select("lang"), "lang").groupBy("lang").applyInArrow(cut, "lang string, cut double").collect()
     m.by_language = {r.lang: float(1 / (1 + np.exp(-np.clip(m.slope * r.cut + m.shift, -40, 40)))) for r in cuts}
     forget(counted)
-    shared.unpersist()
+    shared.destroy()
+
+
+def dealt(texts: DataFrame, known: DataFrame, parts: int) -> DataFrame:
+    """Distinct labelled rows in ``parts`` parts, one row each: their structs (doc_id, text, toxic) in order. A text moves at most
+    twice, to its label and to its part, and every round reads the parts where they lie."""
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(parts))
+    rows = texts.join(known.hint("merge"), "doc_id").select(part.alias("part"), F.struct("doc_id", "text", "toxic").alias("row"))
+    return materialise(rows.groupBy("part").agg(F.sort_array(F.collect_set("row")).alias("rows")), "toxicity-parts")
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -384,21 +402,22 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), language(docs).alias("lang"))
-    start = first_weights(texts, known.where(~is_third(F.col("doc_id"))), sample) if sample else Model()
-    labelled = materialise(texts.join(known, "doc_id"), "toxicity-labelled")
-    third = labelled.where(is_third(F.col("doc_id")))
-    fit = materialise(labelled.where(~is_third(F.col("doc_id"))).groupBy("doc_id", "text").agg(F.max("toxic").alias("toxic")), "toxicity-fit")
-    size = {r.toxic: (r.n, r.bytes) for r in fit.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()}
+    texts = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    third = is_third(F.col("doc_id"))
+    start = first_weights(texts, known.where(~third), sample) if sample else Model()
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(known, "doc_id").groupBy(third.alias("third"), "toxic").agg(F.sum("bytes").alias("bytes")).collect()
     m = Model()
-    if len(size) == 2 and third.select("toxic").distinct().count() == 2:
-        m = fresh_model(count_features(fit), np.array([size[0][0], size[1][0]]))
+    if len(sizes) == 4:  # both classes to fit, and both to calibrate
+        packed = dealt(texts.where(~third), known.where(~third), max(1, -(-sum(r.bytes for r in sizes if not r.third) // PART_BYTES)))
+        fit = packed.select(F.inline("rows"))
+        n = {r.toxic: r.n for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        m = fresh_model(count_features(fit), np.array([n[0], n[1]]))
         if start.trained:
             put_dense(m, dense(start))
-        parts = max(1, -(-sum(b for _, b in size.values()) // PART_BYTES))
         for k in range(ROUNDS):
-            train_round(m, fit, parts, 11 + k)
-        calibrate_all(m, third)
-    forget(labelled, fit)
+            train_round(m, packed, 11 + k)
+        calibrate_all(m, texts.where(third), known.where(third))
+        forget(packed)
     give_back()
     return m
 

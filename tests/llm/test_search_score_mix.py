@@ -193,6 +193,35 @@ def test_queries_learn_from_no_sample(spark, tmp_path, monkeypatch):
     assert {r.doc_id for r in stages.toxicity(spark, docs, str(tmp_path)).collect()} == {r.doc_id for r in got if not r.rejected}
 
 
+def test_texts_move_twice_at_most(spark):
+    """All of a model's shuffles write less than the text: rounds read their parts where they lie, texts that calibrate stay."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(300)) + " vile" * (i % 3 == 0), "en") for i in range(1000)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string").coalesce(2)
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    sc = spark.sparkContext
+    sc.setJobGroup("toxicity-shuffles", "")
+    try:
+        assert toxicity.fit_model(docs, known, sample=0).trained
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("toxicity-shuffles") for s in tracker.getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 0 < moved < sum(len(r[1]) for r in rows)
+
+
+def test_parts_hold_each_row_once(spark):
+    rows = [(i % 40, f"text {i % 60}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = toxicity.dealt(docs, spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id long, toxic int"), 5).collect()
+    assert len({r.part for r in packed}) == len(packed) <= 5 and all(r.rows == sorted(r.rows) for r in packed)
+    got = [tuple(x) for r in packed for x in r.rows]
+    assert sorted(got) == sorted({(i, t, i % 2) for i, t in rows if i % 3 == 0})
+
+
 def test_words_of_blank_texts():
     words, codes, offsets = toxicity.split_words(["", " a  b ", " ", "b"])
     assert offsets.tolist() == [0, 0, 2, 2, 3] and [words[c].as_py() for c in codes] == ["a", "b", "b"]
