@@ -20,7 +20,7 @@ components. While lists still hold many components, their documents
 meet a few more partners each. In the last,
 lists are looked at again, but only pairs from different components count, all of them: no link between components
 is lost, none inside one is needed. Texts are verified on (partner, salt) groups of bounded size. What goes to the
-driver is bounded: the sketch (CELLS / 2 bytes) and the fingerprints of the largest classes.
+driver is bounded: the sketch (CELLS / 2 bytes before compression) and the fingerprints of the largest classes.
 
 Defined cases: null text, or text without words: n_shingles 0, linked with nothing; fewer words than ``size``: the
 whole sequence is the one shingle; repeated rows link with each other; rows with equal doc_id and other text each
@@ -154,10 +154,11 @@ def noise_of(total: int) -> float:
     return 4 * total / CELLS + 16
 
 
-def sketch_of(scan: DataFrame, noise: float) -> list[np.ndarray]:
-    """Classes of counts, half a byte for each cell (CELLS / 2 bytes, in parts): 0 up to ``noise``, then powers of two of it.
-    A task's counts stop at 255, so they are lower bounds. Parts of at most about FAN tasks are added in one group, and
-    their sums again, until one sum is left."""
+def sketch_of(scan: DataFrame, noise: float) -> list[bytes]:
+    """Classes of counts, half a byte for each cell, in CHUNKS parts: 0 up to ``noise``, then powers of two of it. Few cells are
+    above the noise, so the parts are compressed where they are made and stay so on their way through the driver, which would
+    hold CELLS / 2 bytes several times at once; unpacked_sketch() takes them apart. A task's counts stop at 255, so they are lower
+    bounds. Parts of at most about FAN tasks are added in one group, and their sums again, until one sum is left."""
     kinds = {-1: np.uint8, -8: np.int64}
 
     def add(part: pa.Table) -> np.ndarray:
@@ -172,7 +173,7 @@ def sketch_of(scan: DataFrame, noise: float) -> list[np.ndarray]:
     def whole(part: pa.Table) -> pa.Table:
         classes = np.clip(np.floor(np.log2(np.maximum(add(part), 1) / noise)) + 1, 0, 15).astype(np.uint8)
         classes = classes[::2] | (classes[1::2] << 4)
-        return pa.table({"k": part.column("doc_id")[:1], "classes": pa.array([classes.tobytes()], pa.binary())})
+        return pa.table({"k": part.column("doc_id")[:1], "classes": pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())})
 
     parts = scan.where("n < 0")
     most = -(-parts.count() // CHUNKS)
@@ -181,11 +182,16 @@ def sketch_of(scan: DataFrame, noise: float) -> list[np.ndarray]:
         dealt = parts.withColumn("salt", F.floor(F.rand(most) * most))
         parts = materialise(dealt.groupBy("doc_id", "salt").applyInArrow(partial, "doc_id long, n long, fp binary"), "jaccard-sketch")
     rows = parts.groupBy("doc_id").applyInArrow(whole, "k long, classes binary").collect()
-    known = {r.k: np.frombuffer(r.classes, np.uint8) for r in rows}
-    none = np.zeros(CELLS // CHUNKS // 2, np.uint8)
+    known = {r.k: bytes(r.classes) for r in rows}
+    none = zlib.compress(bytes(CELLS // CHUNKS // 2), 1)
     return [known.get(k, none) for k in range(CHUNKS)]
 
 
+def unpacked_sketch(parts: list[bytes]) -> np.ndarray:
+    """The classes of all cells of ``parts``, half a byte each."""
+    return np.concatenate([np.frombuffer(zlib.decompress(part), np.uint8) for part in parts])
+
+
 def classes_of(tokens: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     cells = _cells(tokens)
     return (sketch[cells >> 1] >> ((cells & 1) << 2).astype(np.uint8)) & 15
@@ -238,17 +244,18 @@ def largest_classes(rows: DataFrame) -> dict[bytes, int]:
     return {bytes(r.fp): r.d for r in sizes.orderBy(F.col("k").desc(), "fp").limit(LARGEST).collect()}
 
 
-def postings(docs: DataFrame, sketch: list[np.ndarray], noise: float, total: int, largest: dict[bytes, int], size: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, sketch: list[bytes], noise: float, total: int, largest: dict[bytes, int], size: int, percent: int) -> DataFrame:
     """(g, d, n, l, pos, least): tokens that prefixes of two or more classes share; d stands for its class, pos is the
     token's place in the global order of its set, least a lower bound of l in the token's list. ``total``: shingles."""
     spark = docs.sparkSession
     heavy = max(1, min(15, math.ceil(math.log2(1 + HEAVY / noise)) + 1))
-    counts = sum(np.bincount(part & 15, minlength=16) + np.bincount(part >> 4, minlength=16) for part in sketch)
+    pairs = sum(np.bincount(unpacked_sketch([part]), minlength=256) for part in sketch).reshape(16, 16)  # of neighbouring cells' classes
+    counts = pairs.sum(0) + pairs.sum(1)
     often = float((counts[heavy:] * _COUNT[heavy:]).sum() * 2 * noise)
     plain_buckets = max(1, math.ceil(total * SHARE / BUCKET_BYTES))
     heavy_buckets = max(1, math.ceil(min(often, total) * SHARE / BUCKET_BYTES))
     per = -(-(plain_buckets + heavy_buckets) // WAYS)
-    shared = spark.sparkContext.broadcast((sketch, largest))  # CELLS / 2 bytes, at most LARGEST fingerprints
+    shared = spark.sparkContext.broadcast((sketch, largest))  # CELLS / 2 bytes before compression, at most LARGEST fingerprints
 
     def buckets(t, lo, sketch):
         often = classes_of(t, sketch) >= heavy
@@ -265,7 +272,7 @@ def postings(docs: DataFrame, sketch: list[np.ndarray], noise: float, total: int
             held = 0
             return pack_tokens(buckets(t, info[o, 1].view(np.uint64), sketch) // per, t, o, q, info)
 
-        sketch, largest = np.concatenate(shared.value[0]), shared.value[1]
+        sketch, largest = unpacked_sketch(shared.value[0]), shared.value[1]
         for part in parts:
             for a, b, texts in slices(part.column(1), CHARS):
                 for doc_id, s in zip(part.column(0)[a:b].to_pylist(), shingle_sets(texts, size)):
@@ -293,7 +300,7 @@ def postings(docs: DataFrame, sketch: list[np.ndarray], noise: float, total: int
 
     def split(parts):
         """From coarse buckets to buckets."""
-        sketch = np.concatenate(shared.value[0])
+        sketch = unpacked_sketch(shared.value[0])
         for part in parts:
             if part.num_rows:
                 t, o, q, info = unpack_tokens(part)
